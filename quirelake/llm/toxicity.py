@@ -4,32 +4,50 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, long_schema, small_batches, staged
+from .common import as_bytes, chunks, long_schema, shingle_sets, small_batches, staged
 
-TOKEN = re.compile(rb"[a-z0-9\x80-\xff]+")
-#: A task sends its counts on when it holds so many words.
-FLUSH = 300_000
+TOKEN = re.compile(r"[^\W_]+")
+#: A task sends its counts on when it holds so many features; and forgets the weights of so many tokens.
+FLUSH, CACHE = 300_000, 400_000
+#: Inflected words share a stem: the first characters, so many.
+STEMS = (4, 5)
+
+
+def features(word: str) -> list[str]:
+    """The word and its stems."""
+    return [word, *(word[:n] + "*" for n in STEMS if len(word) >= n)]
 
 
 @dataclass
 class Model:
-    """weights: log-odds of the words that stand out; drift: what every other token costs; decay and scale: lambda and K of the
-    extreme-value law of a clean text's best segment; slope and shift: from evidence to probability."""
+    """weights: log-odds and z of the words and stems that stand out; drift: what every other token costs; decay and scale: lambda
+    and K of the extreme-value law of a clean text's best segment; slope and shift: from evidence to probability."""
 
-    weights: dict[bytes, float]
+    weights: dict[str, tuple[float, float]]
     drift: float = 0.5
     decay: float = 1.0
     scale: float = 0.1
     slope: float = 1.0
     shift: float = 0.0
+    cache: dict[str, float | None] = field(default_factory=dict)
+
+    def weight(self, token: str) -> float | None:
+        """The log-odds of the token's most significant feature, or None."""
+        try:
+            return self.cache[token]
+        except KeyError:
+            if len(self.cache) > CACHE:
+                self.cache.clear()
+            known = [w for f in features(token) if (w := self.weights.get(f))]
+            out = self.cache[token] = max(known, key=lambda w: abs(w[1]))[0] if known else None
+            return out
 
 
 def segments(scores: list[float]) -> list[tuple[int, int, float]]:
@@ -70,46 +88,60 @@ def sparse_segments(places: list[int], weights: list[float], drift: float) -> li
     return [(at[a], at[b - 1] + 1, s) for a, b, s in segments(scores)]
 
 
+def tokens(text: str | None) -> list[str]:
+    return TOKEN.findall(text.lower()) if text else []
+
+
 def _count(batches):
-    seen: dict[bytes, list[int]] = {}
+    """(feature, clean, toxic): in how many texts of each label a word or stem occurs."""
+    seen: dict[str, list[int]] = {}
 
     def rows():
         words = list(seen)
-        out = pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), *(pa.array([seen[w][k] for w in words], pa.int64()) for k in (0, 1))], ["word", "clean", "toxic"])
+        out = pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *(pa.array([seen[w][k] for w in words], pa.int64()) for k in (0, 1))], ["word", "clean", "toxic"])
         seen.clear()
         return out
 
     for batch in batches:
-        counts = (Counter(), Counter())
-        for text, label in zip(as_bytes(batch.column("text")), batch.column("toxic").to_pylist()):
-            counts[bool(label)].update(TOKEN.findall(text.lower()))
-        for k, c in enumerate(counts):
-            for w, n in c.items():
-                seen.setdefault(w, [0, 0])[k] += n
-        if len(seen) > FLUSH:
-            yield rows()
+        for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
+            words = set(tokens(text))
+            for f in words.union(*({w[:n] + "*" for w in words if len(w) >= n} for n in STEMS)):
+                seen.setdefault(f, [0, 0])[label] += 1
+            if len(seen) > FLUSH:
+                yield rows()
     yield rows()
 
 
-def fit_words(labelled: DataFrame, prior: float = 10_000.0, least_z: float = 3.0, most_words: int = 50_000, drift: float = 0.5) -> Model:
-    """labelled (text, toxic): word counts of all rows by label, log-odds with a Dirichlet prior in proportion to all counts.
+def _first_of_copies(batches):
+    """(m_id, mark): the least hash of a text's runs of three words. Copies share it, near copies mostly."""
+    for batch in batches:
+        texts, marks = as_bytes(batch.column("text")), []
+        for first, last in chunks(texts, 1 << 19):
+            marks += [int(x[0]) - (1 << 63) if len(x) else None for x in shingle_sets(texts[first:last], 3)]
+        yield pa.RecordBatch.from_arrays([batch.column("m_id"), pa.array(marks, pa.int64())], ["m_id", "mark"])
+
+
+def fit_words(labelled: DataFrame, prior: float = 0.05, least_z: float = 2.2, least_odds: float = 1.5, most_words: int = 50_000, drift: float = 0.5) -> Model:
+    """labelled (text, toxic): in how many texts of each label a word or stem occurs, and its log-odds with a Dirichlet prior
+    of prior times its count in all.
 
-    most_words bounds what is broadcast: the words with the largest |z| among those with |z| >= least_z.
+    most_words bounds what is broadcast: the features with the largest |z| among those with |z| >= least_z
+    and log-odds of least_odds at least, up or down.
     """
-    counted = labelled.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(_count, long_schema("word binary, clean long, toxic long"))
+    counted = labelled.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(_count, long_schema("word string, clean long, toxic long"))
     words = staged(counted.groupBy("word").agg(F.sum("clean").alias("y0"), F.sum("toxic").alias("y1")), "words")
     n0, n1 = words.agg(F.coalesce(F.sum("y0"), F.lit(0)), F.coalesce(F.sum("y1"), F.lit(0))).first()
     if not n1 or not n0:
         return Model({}, drift)
-    a = (F.col("y0") + F.col("y1")) * F.lit(prior / (n0 + n1))
-    odds = lambda y, n: F.log((F.col(y) + F.col("a")) / (F.lit(float(n + prior)) - F.col(y) - F.col("a")))
+    a, mass = (F.col("y0") + F.col("y1")) * F.lit(prior), prior * (n0 + n1)
+    odds = lambda y, n: F.log((F.col(y) + F.col("a")) / (F.lit(n + mass) - F.col(y) - F.col("a")))
     delta = odds("y1", n1) - odds("y0", n0)
-    z = delta / F.sqrt(1 / (F.col("y1") + F.col("a")) + 1 / (F.col("y0") + F.col("a")))
-    scored = words.withColumn("a", a).withColumn("delta", delta).withColumn("z", z).where(F.abs("z") >= least_z)
-    top = scored.orderBy(F.abs("z").desc(), "word").limit(most_words).select("word", "delta", "y0", "a").collect()
-    weights = {bytes(r.word): float(r.delta) for r in top}
+    z = F.col("delta") / F.sqrt(1 / (F.col("y1") + F.col("a")) + 1 / (F.col("y0") + F.col("a")))
+    scored = words.withColumn("a", a).withColumn("delta", delta).withColumn("z", z).where((F.abs("z") >= least_z) & (F.abs("delta") >= least_odds))
+    top = scored.orderBy(F.abs("z").desc(), "word").limit(most_words).select("word", "delta", "z", "y0", "a").collect()
+    weights = {r.word: (float(r.delta), float(r.z)) for r in top}
     # lambda: the positive root of E[exp(lambda * score)] = 1 over the tokens of clean texts
-    p = np.array([(r.y0 + r.a) / (n0 + prior) for r in top])
+    p = np.array([(r.y0 + r.a) / (n0 + mass) for r in top])
     s = np.array([r.delta for r in top])
     rest = max(0.0, 1 - p.sum())
 
@@ -125,17 +157,17 @@ def fit_words(labelled: DataFrame, prior: float = 10_000.0, least_z: float = 3.0
     return Model(weights, drift, (low + high) / 2)
 
 
-def evidence(model: Model, tokens: list[bytes]) -> tuple[float, int, list[tuple[int, int, float]]]:
+def evidence(model: Model, words: list[str]) -> tuple[float, int, list[tuple[int, int, float]]]:
     """lambda * best score - ln(K * tokens), the number of significant segments, and these; the evidence is the negative log of
     the number of such segments that a clean text of this length has by chance."""
-    get = model.weights.get
+    get = model.weight
     places, weights = [], []
-    for i, t in enumerate(tokens):
+    for i, t in enumerate(words):
         w = get(t)
         if w is not None:
             places.append(i)
             weights.append(w)
-    room = math.log(model.scale * max(1, len(tokens)))
+    room = math.log(model.scale * max(1, len(words)))
     found = sparse_segments(places, weights, model.drift)
     best = max((s for _, _, s in found), default=0.0)
     strong = [x for x in found if model.decay * x[2] - room > math.log(20)]
@@ -192,6 +224,9 @@ def fit(docs: DataFrame, labels: DataFrame, fold: int = 2, folds: int = 4, most_
     if (n := marks.count()) > most_rows:
         marks = staged(marks.where(F.pmod(F.xxhash64("m_id"), F.lit(1 << 20)) < int(0.98 * most_rows / n * (1 << 20))), "labels")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    # of copies and near copies with one label, one teaches: a word that only they have says little about others
+    seen = texts.join(F.broadcast(marks.select("m_id")), F.col("doc_id") == F.col("m_id")).select("m_id", "text").mapInArrow(_first_of_copies, long_schema("m_id long, mark long"))
+    marks = staged(seen.join(marks, "m_id").groupBy("mark", "toxic").agg(F.min("m_id").alias("m_id")).groupBy("m_id").agg(F.max("toxic").alias("toxic")), "teachers")
     labelled = texts.join(F.broadcast(marks), F.col("doc_id") == F.col("m_id")).select("text", "toxic")
     model = fit_words(labelled)
     if not model.weights:
@@ -202,8 +237,8 @@ def fit(docs: DataFrame, labels: DataFrame, fold: int = 2, folds: int = 4, most_
         """Evidence in steps of a quarter, by label: (bin, clean, toxic)."""
         bins: dict[int, list[int]] = {}
         for batch in batches:
-            for text, label in zip(as_bytes(batch.column("text")), batch.column("toxic").to_pylist()):
-                bins.setdefault(round(4 * clipped(evidence(shared.value, TOKEN.findall(text.lower()))[0])), [0, 0])[label] += 1
+            for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
+                bins.setdefault(round(4 * clipped(evidence(shared.value, tokens(text))[0])), [0, 0])[label] += 1
         yield pa.RecordBatch.from_arrays([pa.array(list(bins), pa.int64()), *(pa.array([v[k] for v in bins.values()], pa.int64()) for k in (0, 1))], ["bin", "clean", "toxic"])
 
     bins = labelled.mapInArrow(tally, long_schema("bin long, clean long, toxic long")).groupBy("bin").agg(F.sum("clean"), F.sum("toxic")).orderBy("bin").collect()
@@ -227,7 +262,7 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = 0.3, fold:
 
     def run(batches):
         for batch in batches:
-            made = [evidence(shared.value, TOKEN.findall(t.lower())) for t in as_bytes(batch.column("text"))]
+            made = [evidence(shared.value, tokens(t)) for t in batch.column("text").to_pylist()]
             scores = [score(shared.value, x[0]) for x in made]
             spans = [",".join(f"{a}:{b}" for a, b, _ in x[2]) for x in made]
             yield pa.RecordBatch.from_arrays(
@@ -246,7 +281,7 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.3, text_col:
 
     def run(batches):
         for batch in batches:
-            keep = [score(shared.value, evidence(shared.value, TOKEN.findall(t.lower()))[0]) < threshold for t in as_bytes(batch.column(place))]
+            keep = [score(shared.value, evidence(shared.value, tokens(t))[0]) < threshold for t in batch.column(place).to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
