@@ -138,62 +138,135 @@ def _forest(cost: np.ndarray) -> list[tuple[int, int]]:
             return edges
 
 
-def _candidates(limit: int, floor: float, last_round: bool):
-    """Rows come sorted by bucket. In the first round: every candidate of small buckets, and of large ones a spanning forest;
-    in the last: every candidate between members that aren't connected yet."""
+def _by_group(keys: tuple[str, ...], done):
+    """Rows come sorted by keys: done() gets tables of whole groups and yields record batches."""
 
-    def large(ids, n, sig, comp):
-        rows_a, rows_b = [], []
+    def run(batches):
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table])
+            cols = [held.column(c).to_numpy() for c in keys]
+            same = np.logical_and.reduce([k == k[-1] for k in cols])
+            cut = len(same) - int(np.argmin(same[::-1])) if not same.all() else 0
+            if cut:
+                yield done(held.slice(0, cut))
+                held = held.slice(cut)
+        if held is not None and held.num_rows:
+            yield done(held)
+
+    return run
+
+
+def _groups(table: pa.Table, keys: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Where each group starts, and its size."""
+    cols = np.stack([table.column(c).to_numpy() for c in keys])
+    new = np.flatnonzero(np.concatenate([[True], (cols[:, 1:] != cols[:, :-1]).any(axis=0)]))
+    return new, np.diff(np.append(new, table.num_rows))
+
+
+def _signs(table: pa.Table, column: str = "sig") -> np.ndarray:
+    return np.frombuffer(b"".join(table.column(column).to_pylist()), dtype=np.uint64).reshape(table.num_rows, -1)
+
+
+KEYS = ("key", "bi", "bj")
+
+
+def _candidates(limit: int, floor: float):
+    """Every candidate pair of small buckets, and of each block of a large one a spanning forest of its candidates."""
+
+    def large(ids, n, sig):
         cost = np.full((len(ids), len(ids)), 255, dtype=np.uint8)
         for i in range(len(ids) - 1):
             differ = unequal(sig[i + 1 :], sig[i])
             ok = (differ <= limit) & (np.minimum(n[i], n[i + 1 :]) >= floor * np.maximum(n[i], n[i + 1 :]))
-            if last_round:
-                j = np.flatnonzero(ok & (comp[i + 1 :] != comp[i])) + i + 1
-                rows_a.append(np.full(len(j), ids[i]))
-                rows_b.append(ids[j])
-            else:
-                cost[i, i + 1 :] = np.where(ok, differ, 255)
-        if not last_round:
-            for i, j in _forest(np.minimum(cost, cost.T)):
-                rows_a.append(ids[[i]])
-                rows_b.append(ids[[j]])
-        return [(np.concatenate(rows_a), np.concatenate(rows_b))] if rows_a else []
+            cost[i, i + 1 :] = np.where(ok, differ, 255)
+        edges = np.array(_forest(np.minimum(cost, cost.T)), dtype=np.int64).reshape(-1, 2)
+        return ids[edges[:, 0]], ids[edges[:, 1]]
 
     def done(table):
-        ids, n, comp = (table.column(c).to_numpy() for c in ("node", "n", "comp"))
-        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), dtype=np.uint64).reshape(len(ids), -1)
-        keys = np.stack([table.column(c).to_numpy() for c in ("key", "bi", "bj")])
-        new = np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(axis=0)]))
-        sizes = np.diff(np.append(new, len(ids)))
-        group = np.repeat(np.arange(len(new)), sizes)
-        out = []
-        if not last_round:
-            few = (sizes <= SMALL)[group]
-            out += _pairs_of_small(ids[few], n[few], sig[few], group[few], limit, floor)
-        for g in np.flatnonzero(sizes > SMALL) if not last_round else range(len(new)):
+        ids, n, sig = table.column("node").to_numpy(), table.column("n").to_numpy(), _signs(table)
+        new, sizes = _groups(table, KEYS)
+        few = np.repeat(sizes <= SMALL, sizes)
+        out = _pairs_of_small(ids[few], n[few], sig[few], np.repeat(np.arange(len(new)), sizes)[few], limit, floor)
+        for g in np.flatnonzero(sizes > SMALL):
             s = slice(new[g], new[g] + sizes[g])
-            out += large(ids[s], n[s], sig[s], comp[s])
+            out.append(large(ids[s], n[s], sig[s]))
         a, b = (np.concatenate([x[k] for x in out]) if out else np.zeros(0, dtype=np.int64) for k in (0, 1))
         ab = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
         ab = ab[:, ab[0] != ab[1]]
         return pa.RecordBatch.from_arrays([pa.array(ab[0], pa.int64()), pa.array(ab[1], pa.int64())], ["a", "b"])
 
+    return _by_group(KEYS, done)
+
+
+def _links_of_apart(limit: int, threshold: float):
+    """Of each block of a large bucket, links that join what isn't connected yet. The members bring their full sets, so
+    candidates are confirmed here and no pair leaves the task but the links of a spanning forest.
+
+    A pair that shares several bands is looked at in the first of them alone.
+    """
+    top = round(threshold * 100)
+
+    def block(ids, n, comp, sig, bands, sets, key):
+        parent = {c: c for c in set(comp.tolist())}
+
+        def root(c):
+            while parent[c] != c:
+                parent[c] = c = parent[parent[c]]
+            return c
+
+        local = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        stops = np.cumsum([len(x) for x in sets])
+        starts = stops - np.array([len(x) for x in sets])
+        mark = np.zeros(int(local.max()) + 1, dtype=bool)
+        place = int(np.flatnonzero(bands[0] == key)[0])
+        out = []
+        for i in range(len(ids) - 1):
+            j = np.flatnonzero((comp[i + 1 :] != comp[i]) & (np.minimum(n[i], n[i + 1 :]) >= threshold * np.maximum(n[i], n[i + 1 :]))) + i + 1
+            j = j[unequal(sig[j], sig[i]) <= limit]
+            if place and len(j):
+                j = j[~(bands[j, :place] == bands[i, :place]).any(axis=1)]
+            if not len(j):
+                continue
+            mark[local[starts[i] : stops[i]]] = True
+            for k in j:
+                common = int(np.count_nonzero(mark[local[starts[k] : stops[k]]]))
+                if 100 * common >= top * (n[i] + n[k] - common) and (x := root(comp[i])) != (y := root(comp[k])):
+                    parent[y] = x
+                    out.append((ids[i], ids[k]))
+            mark[local[starts[i] : stops[i]]] = False
+        return out
+
+    def done(table):
+        ids, n, comp = (table.column(c).to_numpy() for c in ("node", "n", "comp"))
+        sig, keys = _signs(table), table.column("key").to_numpy()
+        bands = np.array(table.column("bands").to_pylist(), dtype=np.int64)
+        sets = [np.frombuffer(x, dtype=np.uint64) for x in table.column("set").to_pylist()]
+        out = []
+        for first, size in zip(*_groups(table, KEYS)):
+            s = slice(first, first + size)
+            if size > 1 and (comp[s] != comp[first]).any():
+                out += block(ids[s], n[s], comp[s], sig[s], bands[s], sets[s], keys[first])
+        ab = np.array(out, dtype=np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(ab.min(axis=1), pa.int64()), pa.array(ab.max(axis=1), pa.int64())], ["a", "b"])
+
+    return _by_group(KEYS, done)
+
+
+def _sets(width: int):
+    """(node, set): the full shingle set of each text, if it is that of its class."""
+
     def run(batches):
-        held = None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            table = pa.Table.from_batches([batch])
-            held = table if held is None else pa.concat_tables([held, table])
-            keys = [held.column(c).to_numpy() for c in ("key", "bi", "bj")]
-            same = np.logical_and.reduce([k == k[-1] for k in keys])
-            cut = len(same) - int(np.argmin(same[::-1])) if not same.all() else 0
-            if cut:
-                yield done(held.slice(0, cut))
-                held = held.slice(cut)
-        if held is not None and held.num_rows:
-            yield done(held)
+            texts, sets = as_bytes(batch.column("text")), []
+            for first, last in chunks(texts, 1 << 19):
+                sets += shingle_sets(texts[first:last], width)
+            own = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() == c for s, c in zip(sets, batch.column("cls").to_pylist())]
+            made = pa.RecordBatch.from_arrays([batch.column("node"), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "set"])
+            yield made.filter(pa.array(own, pa.bool_()))
 
     return run
 
@@ -231,8 +304,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, id_
        At a similarity of 0.8 a pair shares no band in under 3 of 100,000 cases.
     2. Equal sets are one class, its node the smallest id. Classes that share a band key are a bucket. In a bucket, bit counts
        of the packed signatures estimate the similarity; what is within SLACK standard errors of the threshold is confirmed on
-       the full sets. Large buckets are dealt in blocks. They first confirm a spanning forest of candidates; then every
-       candidate between members that are still apart, so that no link is lost and a group of copies isn't expanded to pairs.
+       the full sets. Large buckets are dealt in blocks. They first name a spanning forest of candidates; then members that
+       are still apart meet with their full sets, so that no link is lost and a group isn't expanded to pairs.
     3. Components of the confirmed links.
 
     Words: runs without 0x20 and 0x09-0x0D, A-Z lower-cased. Texts with fewer words than width: the whole sequence is the one
@@ -252,41 +325,44 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, id_
     limit = most_unequal(threshold)
     signs = classes.select(F.col("node").alias("s_node"), "n", "sig")
 
-    def bucketed(members: DataFrame) -> DataFrame:
-        """members (key, size, node, comp): a row for each pair of blocks that the member is in."""
+    def dealt(members: DataFrame) -> DataFrame:
+        """members (key, size, node, ..): a row for each pair of blocks that the member is in."""
         blocks = F.ceil(F.col("size") / BLOCK).cast("int")
         own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-        dealt = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        dealt = dealt.select("key", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "node", "comp")
-        dealt = dealt.join(signs, F.col("node") == F.col("s_node")).select("key", "bi", "bj", "node", "comp", "n", "sig")
-        return dealt.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "node")
+        out = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        return out.withColumn("bi", F.least("own", "other")).withColumn("bj", F.greatest("own", "other")).drop("own", "other", "size")
+
+    def grouped(rows: DataFrame) -> DataFrame:
+        return rows.repartition(*KEYS).sortWithinPartitions(*KEYS, "node")
 
     pair_schema = long_schema("a long, b long")
     class_of = classes.select("node", "cls")
 
-    def confirmed(pairs: DataFrame, tag: str) -> DataFrame:
-        """pairs (a, b) -> (a, b, ok)."""
-        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct().join(class_of, "node")
-        nodes = sized(staged(nodes.select("node", "cls"), f"nodes-{tag}"))
-        texts = rows.where(F.col("doc_id").isNotNull()).join(nodes, F.col("doc_id") == F.col("node")).select("node", "cls", "text")
-        texts = staged(texts.dropDuplicates(["node", "cls"]), f"texts-{tag}")
-        b = texts.select(F.col("node").alias("b"), F.col("cls").alias("cls_b"), F.col("text").alias("text_b"))
-        a = texts.select(F.col("node").alias("a"), F.col("cls").alias("cls_a"), F.col("text").alias("text_a"))
-        both = pairs.join(b, "b").join(a, "a").select("a", "b", "cls_a", "cls_b", "text_a", "text_b")
-        return staged(both.mapInArrow(_confirm(width, threshold), long_schema("a long, b long, ok boolean")), f"confirmed-{tag}")
-
-    pairs = staged(bucketed(met.withColumn("comp", F.col("node"))).mapInArrow(_candidates(limit, threshold, False), pair_schema).distinct(), "pairs-1")
-    first = confirmed(pairs, "1")
-    comps = components(first.where("ok"))
-    # what large buckets have left: candidates between members that the forest hasn't connected
+    def texts_of(nodes: DataFrame, tag: str) -> DataFrame:
+        """nodes (node) -> (node, cls, text): a text of each class."""
+        named = sized(staged(nodes.join(class_of, "node").select("node", "cls"), f"nodes-{tag}"))
+        return rows.where(F.col("doc_id").isNotNull()).join(named, F.col("doc_id") == F.col("node")).select("node", "cls", "text")
+
+    met_signs = dealt(met).join(signs, F.col("node") == F.col("s_node")).select(*KEYS, "node", "n", "sig")
+    pairs = staged(grouped(met_signs).mapInArrow(_candidates(limit, threshold), pair_schema).distinct(), "pairs")
+    texts = texts_of(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct(), "pairs")
+    texts = staged(texts.dropDuplicates(["node", "cls"]), "texts")
+    b = texts.select(F.col("node").alias("b"), F.col("cls").alias("cls_b"), F.col("text").alias("text_b"))
+    a = texts.select(F.col("node").alias("a"), F.col("cls").alias("cls_a"), F.col("text").alias("text_a"))
+    both = pairs.join(b, "b").join(a, "a").select("a", "b", "cls_a", "cls_b", "text_a", "text_b")
+    links = staged(both.mapInArrow(_confirm(width, threshold), long_schema("a long, b long, ok boolean")).where("ok").select("a", "b"), "links")
+    comps = components(links)
+
+    # what large buckets have left: members that the forest hasn't connected
     wide = met.where(F.col("size") > SMALL).join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     apart = wide.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    more = bucketed(wide.join(apart, "key")).mapInArrow(_candidates(limit, threshold, True), pair_schema).distinct()
-    more = staged(more.join(first.select("a", "b"), ["a", "b"], "left_anti"), "pairs-2")
-    second = confirmed(more, "2")
-    joined = second.where("ok").select("a", "b")
-    if not joined.isEmpty():
-        comps = components(first.where("ok").select("a", "b").union(joined))
+    wide = staged(wide.join(apart, "key"), "apart")
+    sets = texts_of(wide.select("node").distinct(), "apart").mapInArrow(_sets(width), long_schema("node long, set binary")).dropDuplicates(["node"])
+    full = classes.select("node", "n", "sig", "bands").join(sets, "node")
+    more = grouped(dealt(wide).join(full, "node").select(*KEYS, "node", "comp", "n", "sig", "bands", "set"))
+    late = staged(more.mapInArrow(_links_of_apart(limit, threshold), pair_schema), "late-links")
+    if not late.isEmpty():
+        comps = components(links.union(late))
     named = class_of.join(comps, "node", "left").select("cls", F.coalesce("comp", "node").alias("comp"))
     out = signed.select("doc_id", "n_shingles", "cls").join(named, "cls", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id"))
