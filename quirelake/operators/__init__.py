@@ -1,0 +1 @@
+"""Relational operators on pages, lines, frames, maps, candidates and jobs."""

@@ -1,0 +1 @@
+"""Derived inputs, the registered queries, and the page pipeline."""

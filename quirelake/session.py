@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -39,3 +40,13 @@ def ship(spark: SparkSession) -> None:
             z.write(f, f.relative_to(ROOT.parent))
     spark.sparkContext.addPyFile(str(path))
     _shipped.add(app)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in what driver and executors share: spark.checkpoint.dir; where it is unset, a temporary one in local mode, else
+    one in the warehouse."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        local = spark.sparkContext.master.split("[")[0] == "local"
+        base = tempfile.mkdtemp(prefix="quirelake-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
