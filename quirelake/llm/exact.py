@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, ascii_lower, long_schema, sized, small_batches, staged
+from .common import as_bytes, long_schema, sized, small_batches, staged
 
 #: Three primes under 2**31 and a base for each.
 PRIMES = (2147483647, 2147483629, 2147483587)
@@ -88,7 +88,7 @@ def _compare(batches):
     """Rows come sorted by group and salt, the leader first; each is compared with its leader."""
     group, leader = None, b""
     for batch in batches:
-        texts, out = as_bytes(batch.column("text")), []
+        texts, out = [t.lower() for t in as_bytes(batch.column("text"))], []
         for text, is_leader, *key in zip(texts, *(batch.column(c).to_pylist() for c in ("is_leader", "print", "length", "salt"))):
             if is_leader:
                 group, leader = key, text
@@ -124,7 +124,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     members = staged(members, "members")
     salts = F.ceil(F.col("n") / salt_rows).cast("int")
     found = rows.join(sized(members).withColumnRenamed("doc_id", "m_id").withColumnRenamed("rk", "m_rk"), F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("rk") == F.col("m_rk")))
-    found = found.select("doc_id", "rk", ascii_lower("text").alias("text"), *key, "n", (F.col("doc_id").eqNullSafe(F.col("top_id")) & (F.col("rk") == F.col("top_rk"))).alias("top"))
+    found = found.select("doc_id", "rk", "text", *key, "n", (F.col("doc_id").eqNullSafe(F.col("top_id")) & (F.col("rk") == F.col("top_rk"))).alias("top"))
     plain = found.select("doc_id", "rk", "text", *key, F.pmod(F.xxhash64("doc_id", "rk"), salts).cast("int").alias("salt"), F.lit(False).alias("is_leader"))
     lead = found.where("top").dropDuplicates(["doc_id", "rk"]).select("doc_id", "rk", "text", *key, F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.lit(True).alias("is_leader"))
     stream = plain.unionByName(lead).repartition(*key, "salt").sortWithinPartitions(*key, "salt", F.desc("is_leader"))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import LOWER, UPPER, staged
 
 #: Characters of words, the phrases asked for, and phrases of common licenses.
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 BASE = {"cc-by": "cc by", "gpl": "general public license", "reserved": "all rights reserved"}
 TEMPLATES = {
     "mit": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction",
@@ -26,6 +27,12 @@ FUNCTION_WORDS = "a an and any are as at by for in is it may of or such that the
 GAP, SHARE = 3, 0.5
 
 
+def folded(text: Column) -> Column:
+    """Lower case for matching ASCII phrases. lower() is much faster than translating A-Z; the two characters whose lower case
+    holds an ASCII letter, U+0130 and U+212A, must not become one, so texts that have them are translated."""
+    return F.when(text.contains("\u0130") | text.contains("\u212a"), F.translate(text, UPPER, LOWER)).otherwise(F.lower(text))
+
+
 def template_grams(spark: SparkSession, base: dict[str, str] = BASE, templates: dict[str, str] = TEMPLATES) -> DataFrame:
     """(gram, left, right, label, exact, at, anchors): the word pairs of all templates. Its size is that of the templates, a parameter."""
     rows = []
@@ -49,7 +56,7 @@ def license_hits(docs: DataFrame, base: dict[str, str] = BASE, templates: dict[s
     which are then the whole phrase. Otherwise diagonals at most GAP apart, and near in place, are one span: insertions and
     deletions move the diagonal. A span is kept if it holds SHARE of the template's anchors.
     """
-    words = F.regexp_extract_all(ascii_lower("text"), F.lit(WORDS), F.lit(0))
+    words = F.regexp_extract_all(folded(F.col("text")), F.lit(WORDS), F.lit(0))
     rows = docs.select("doc_id", "rk", words.alias("w"))
     pairs = F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w") - 1), lambda a, b: F.struct(F.xxhash64(a, b).alias("gram"), a.alias("a"), b.alias("b")))
     rolling = rows.where(F.size("w") > 1).select("doc_id", "rk", F.posexplode(pairs).alias("place", "p")).select("doc_id", "rk", "place", F.col("p.gram").alias("gram"), F.col("p.a").alias("a"), F.col("p.b").alias("b"))
@@ -57,7 +64,7 @@ def license_hits(docs: DataFrame, base: dict[str, str] = BASE, templates: dict[s
     met = rolling.join(grams, "gram").where((F.col("a") == F.col("left")) & (F.col("b") == F.col("right")))
     key = ["doc_id", "rk", "label"]
     # rows that repeat vote once: distinct places
-    votes = met.groupBy(*key, "exact", "anchors", (F.col("place") - F.col("at")).alias("diagonal")).agg(F.collect_set("at").alias("ats"), F.min("place").alias("lo"), F.max("place").alias("hi"))
+    votes = staged(met.groupBy(*key, "exact", "anchors", (F.col("place") - F.col("at")).alias("diagonal")).agg(F.collect_set("at").alias("ats"), F.min("place").alias("lo"), F.max("place").alias("hi")), "votes")
     whole = votes.where("exact AND size(ats) = anchors").select(*key, "exact", F.col("diagonal").cast("long").alias("first"), F.col("diagonal").cast("long").alias("last"), F.lit(1.0).alias("share"))
 
     # a text's diagonals of one template: sorted, then folded into runs whose neighbours are at most GAP apart
@@ -89,7 +96,7 @@ def scan_licenses(docs: DataFrame, base: dict[str, str] = BASE, templates: dict[
     at = lambda c: F.when(F.col("exact"), F.col(c))
     labels = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
     found = hits.groupBy(F.col("doc_id").alias("h_id"), F.col("rk").alias("h_rk")).agg(F.count(at("first")).alias("n_base"), F.min(at("first")).alias("first_word"), F.max(at("last")).alias("last_word"), labels(at("label")).alias("base_labels"), labels(F.col("label")).alias("labels"), F.max("share").alias("score"))
-    every = rows.select("doc_id", "rk", F.regexp_count(ascii_lower("text"), F.lit(WORDS)).cast("long").alias("n_words"))
+    every = rows.select("doc_id", "rk", F.regexp_count("text", F.lit(ANY_CASE)).cast("long").alias("n_words"))
     out = every.join(found, F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("rk") == F.col("h_rk")), "left")
     blank = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
     return out.select("doc_id", "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), "first_word", "last_word", blank("base_labels"), blank("labels"), F.coalesce("score", F.lit(0.0)).alias("score"))
