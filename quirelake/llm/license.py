@@ -7,9 +7,15 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER, staged
 
-#: Characters of words, the phrases asked for, and phrases of common licenses.
-WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+def _but(letters: str) -> str:
+    """A run of what isn't ASCII but the digits and these letters. The separators stand one by one: Java looks such a class up
+    in a table, where ranges are tried in turn."""
+    return "[^" + "".join(f"\\x{c:02X}" for c in range(128) if chr(c) not in "0123456789" + letters) + "]+"
+
+
+#: Words of a lower-cased text, and of any.
+WORDS, ANY_CASE = _but(LOWER), _but(LOWER + UPPER)
+#: The phrases asked for, and phrases of common licenses.
 BASE = {"cc-by": "cc by", "gpl": "general public license", "reserved": "all rights reserved"}
 TEMPLATES = {
     "mit": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction",
