@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import base64
 import zlib
+from array import array
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -14,54 +17,28 @@ from .common import long_schema, small_batches, staged
 LENGTH = 1024
 #: Pieces that one task packs; more pieces, more tasks.
 PIECES = 8192
-CACHE = 400_000
-_tokenizers: dict[str, tuple] = {}
-
-
-class Units:
-    """Token ids of texts. A text is cut before every space that stands between two other characters, neither of them white
-    space: a token of the byte-level pattern never goes over such a place, so each unit can be encoded by itself, once."""
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, text: str) -> bytes:
-        """Little-endian 32-bit ids."""
-        head, *rest = text.split(" ")
-        units = [head, *(" " + w for w in rest)] if rest else [head]
-        if any(not w or w[0].isspace() or w[-1].isspace() for w in (head, *rest)):
-            units = self._safe(text)
-        known = self.known
-        if new := [u for u in dict.fromkeys(units) if u not in known]:
-            if len(known) + len(new) > CACHE:
-                known.clear()
-                new = list(dict.fromkeys(units))
-            known.update(zip(new, self._encode(new)))
-        return b"".join([known[u] for u in units])
-
-    @staticmethod
-    def _safe(text: str) -> list[str]:
-        """The units of a text with other white space than single spaces between words."""
-        out, start, at = [], 0, text.find(" ", 1)
-        while at >= 0:
-            if not text[at - 1].isspace() and at + 1 < len(text) and not text[at + 1].isspace():
-                out.append(text[start:at])
-                start = at
-            at = text.find(" ", at + 1)
-        return [*out, text[start:]]
-
-
-def units(path: str) -> Units:
-    if path not in _tokenizers:
-        _tokenizers[path] = Units(path)
-    return _tokenizers[path]
+_encoders: dict[str, Callable] = {}
+
+
+def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
+    """Texts to little-endian 32-bit ids, without special tokens: their strings are ordinary text. A .json file is read by
+    tokenizers, a .tiktoken file of ranks by tiktoken, which gives the same ids for the same vocabulary in a sixth of the time."""
+    if path not in _encoders:
+        if path.endswith(".json"):
+            from tokenizers import Tokenizer
+
+            one = Tokenizer.from_file(path)
+            one.encode_special_tokens = True
+            _encoders[path] = lambda texts: [array("I", e.ids).tobytes() for e in one.encode_batch_fast(texts, add_special_tokens=False)]
+        else:
+            import public_tokenizers
+            import tiktoken
+
+            with open(path, "rb") as f:
+                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+            own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+            _encoders[path] = lambda texts: [array("I", own.encode_ordinary(t)).tobytes() for t in texts]
+    return _encoders[path]
 
 
 def _pieces(path: str, end_id: int, length: int):
@@ -71,11 +48,12 @@ def _pieces(path: str, end_id: int, length: int):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        coder = units(path)
+        encode = encoder(path)
         for batch in batches:
             rows = []
-            for key, rk, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "rk", "text"))):
-                ids = (coder.encode(text) if text else b"") + end
+            coded = encode([t or "" for t in batch.column("text").to_pylist()])
+            for key, rk, ids in zip(batch.column("doc_id").to_pylist(), batch.column("rk").to_pylist(), coded):
+                ids += end
                 n = len(ids) // 4
                 # the first piece takes what doesn't fill a sequence, so all others are full
                 first = n % length or length

@@ -15,9 +15,10 @@ LANG_FOLD, LANG_FOLDS = 0, 5
 
 
 def tokenizer_path() -> str:
+    """The ranks of the vocabulary byte_bpe_50k.json: the same ids."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
