@@ -20,7 +20,8 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-TOKEN = re.compile(r"[^\s,;<>\"']*[0-9@][^\s,;<>\"']*")
+#: Only where a token begins: else a long run without a digit would be tried from each of its characters.
+TOKEN = re.compile(r"(?<![^\s,;<>\"'])[^\s,;<>\"'0-9@]*[0-9@][^\s,;<>\"']*")
 NOT_DIGIT, NOT_KEY = re.compile("[^0-9]+"), re.compile(r"[^0-9a-z@]+")
 #: The model keeps so many token shapes at most, the most frequent ones; all others share one.
 MOST_SHAPES = 20_000

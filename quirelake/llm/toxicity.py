@@ -15,7 +15,7 @@ from .common import as_bytes, chunks, long_schema, shingle_sets, small_batches,
 
 TOKEN = re.compile(r"[^\W_]+")
 #: A task sends its counts on when it holds so many features; and forgets the weights of so many tokens.
-FLUSH, CACHE = 300_000, 400_000
+FLUSH, CACHE = 150_000, 100_000
 #: Inflected words share a stem: the first characters, so many.
 STEMS = (4, 5)
 
