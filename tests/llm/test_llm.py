@@ -174,7 +174,7 @@ def test_base_spans_are_those_of_the_plain_patterns(text):
 
 def test_luhn_and_repeats():
     assert pii.luhn("4111111111111111") and not pii.luhn("4111111111111112")
-    shapes = {pii.shape("+15550109999"): np.array([0, 0, 0, 0, 50.0]), pii.shape("15550109999"): np.array([5, 0, 0, 0, 4.0])}
+    shapes = {pii.shape("99"): np.array([50.0, 0, 0, 0, 0]), pii.shape("+15550109999"): np.array([0, 0, 0, 0, 50.0]), pii.shape("15550109999"): np.array([5, 0, 0, 0, 4.0])}
     skip = np.zeros((5, 5))
     skip[4, 4] = 50
     skip[0, 0] = 50
