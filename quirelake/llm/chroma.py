@@ -87,12 +87,11 @@ def fingerprints(media: DataFrame, id_col: str = "id", audio_col: str = "audio",
     return rows.mapInArrow(_fingerprint, long_schema("id long, cls binary, prints array<long>"))
 
 
-def align(media: DataFrame, queries_every: int = 20, least_votes: int = 3, most_error: float = 0.2, id_col: str = "id", audio_col: str = "audio", rate_col: str = "rate") -> DataFrame:
+def align(media: DataFrame, queries_every: int = 20, least_votes: int = 3, most_error: float = 0.15, id_col: str = "id", audio_col: str = "audio", rate_col: str = "rate") -> DataFrame:
     """(query_id, match_id, copies, offset, votes, bit_error): recordings whose id queries_every divides, against all others.
 
     Recordings with equal prints are one class, its smallest id its name (match_id) and copies its members, so a hot group of copies
-    isn't expanded. Equal integers of a query and a recording vote for the difference of their places; integers that stand
-    close together in a recording vote once for each place. The best offset of a pair with least_votes votes is kept if the
+    isn't expanded. Equal pairs of integers, SPAN // 4 places apart, of a query and a recording vote for the difference of their places; the best offset of a pair with least_votes votes is kept if the
     share of unequal bits over the overlap is at most most_error. Ties: most votes, then the smallest offset.
 
     Recordings without prints and null ids match nothing. Rows that repeat an id and sound count once each in copies. A
@@ -101,9 +100,12 @@ def align(media: DataFrame, queries_every: int = 20, least_votes: int = 3, most_
     found = staged(fingerprints(media, id_col, audio_col, rate_col), "prints")
     usable = found.where(F.col("cls").isNotNull() & F.col("id").isNotNull())
     classes = staged(usable.groupBy("cls").agg(F.min("id").alias("name"), F.count("*").alias("copies"), F.first("prints").alias("prints"), F.max((F.col("id") % queries_every == 0).cast("int")).alias("asks")), "sounds")
-    # a steady sound repeats one integer: it is kept where it begins, in the query and in the recording alike
+    # a steady sound repeats one integer: it is kept where it begins, in the query and in the recording alike. One integer is
+    # common by chance, so the key is that integer with the SPAN // 4 following ones' last
     before = F.when(F.col("at") > 0, F.element_at("prints", F.col("at")))
-    starts = lambda df, who: df.select("name", "prints", F.posexplode("prints").alias("at", "print")).where(before.isNull() | (before != F.col("print"))).select(F.col("name").alias(who), F.col("at").alias(f"{who}_at"), "print")
+    after = F.get("prints", F.col("at") + SPAN // 4)
+    changed = (before.isNull() | (before != F.col("print"))) & after.isNotNull()
+    starts = lambda df, who: df.select("name", "prints", F.posexplode("prints").alias("at", "print")).where(changed).select(F.col("name").alias(who), F.col("at").alias(f"{who}_at"), F.xxhash64("print", after).alias("print"))
     hits = starts(classes.where("asks = 1"), "q").join(starts(classes, "r"), "print").where("q != r")
     votes = hits.groupBy("q", "r", (F.col("r_at") - F.col("q_at")).alias("offset")).agg(F.count("*").alias("votes"))
     best = votes.groupBy("q", "r").agg(F.max(F.struct("votes", (-F.col("offset")).alias("back"))).alias("b")).where(F.col("b.votes") >= least_votes)
