@@ -22,6 +22,9 @@ FILTERS = (
 SPAN = max(f[3] for f in FILTERS)
 #: Quantiser bounds: the log ratio of the two areas falls into four classes, in Gray code.
 BOUNDS = (-0.25, 0.0, 0.25)
+#: A query asks for each of its integers with every choice of so many least reliable bits flipped: a cut that doesn't begin on
+#: the recording's frames has few integers that are equal in all bits.
+WEAK = 4
 
 
 def chroma(pcm: np.ndarray, rate: int) -> np.ndarray:
@@ -41,20 +44,22 @@ def chroma(pcm: np.ndarray, rate: int) -> np.ndarray:
     return out / np.where(norm > 1e-6, norm, 1)
 
 
-def prints(frames: np.ndarray) -> np.ndarray:
-    """One unsigned 32-bit integer for each place of the sliding image: two bits a filter, from sums of the integral image."""
+def soft_prints(frames: np.ndarray, weak: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """One unsigned 32-bit integer for each place of the sliding image: two bits a filter, from sums of the integral image; and
+    of each the masks (places x weak) of its least reliable bits, those whose log ratios lie nearest to a quantiser bound."""
     n = len(frames) - SPAN + 1
     if n <= 0:
-        return np.zeros(0, dtype=np.uint32)
+        return np.zeros(0, dtype=np.uint32), np.zeros((0, weak), dtype=np.uint32)
     total = np.zeros((len(frames) + 1, 13))
     total[1:, 1:] = frames.cumsum(axis=0).cumsum(axis=1)
-    t = np.arange(n)
+    t, bounds = np.arange(n), np.array(BOUNDS)
 
     def area(t0: int, t1: int, p0: int, p1: int) -> np.ndarray:
         return total[t + t1, p1] - total[t + t0, p1] - total[t + t1, p0] + total[t + t0, p0]
 
     out = np.zeros(n, dtype=np.uint32)
-    for kind, p, h, w in FILTERS:
+    margins, masks = np.empty((n, len(FILTERS))), np.empty((n, len(FILTERS)), dtype=np.uint32)
+    for f, (kind, p, h, w) in enumerate(FILTERS):
         q, v = p + h, w // 2
         whole = area(0, w, p, q)
         part = (
@@ -65,9 +70,22 @@ def prints(frames: np.ndarray) -> np.ndarray:
             else area(w // 3, w - w // 3, p, q) if kind == 5
             else whole
         )
-        level = np.searchsorted(BOUNDS, np.log((1e-3 + part) / (1e-3 + whole - part)))
-        out = (out << np.uint32(2)) | (level ^ (level >> 1)).astype(np.uint32)
-    return out
+        ratio = np.log((1e-3 + part) / (1e-3 + whole - part))
+        level = np.searchsorted(bounds, ratio)
+        out = (out << np.uint32(2)) | _gray(level)
+        apart = np.abs(ratio[:, None] - bounds)
+        near = apart.argmin(axis=1)
+        margins[:, f] = apart[t, near]
+        masks[:, f] = (_gray(near) ^ _gray(near + 1)) << np.uint32(2 * (len(FILTERS) - 1 - f))
+    return out, np.take_along_axis(masks, np.argsort(margins, axis=1, kind="stable")[:, :weak], axis=1)
+
+
+def _gray(level: np.ndarray) -> np.ndarray:
+    return (level ^ (level >> 1)).astype(np.uint32)
+
+
+def prints(frames: np.ndarray) -> np.ndarray:
+    return soft_prints(frames)[0]
 
 
 def _fingerprint(batches):
@@ -75,23 +93,26 @@ def _fingerprint(batches):
         made = []
         for audio, rate in zip(batch.column("audio").to_pylist(), batch.column("rate").to_pylist()):
             pcm = np.frombuffer(audio[: len(audio) // 2 * 2], dtype="<i2") if audio and rate and rate > 0 else np.zeros(0, np.int16)
-            made.append(prints(chroma(pcm, rate or 1)))
-        cls = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x in made]
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(cls, pa.binary()), pa.array([x.astype(np.int64) for x in made], pa.list_(pa.int64()))], ["id", "cls", "prints"])
+            made.append(soft_prints(chroma(pcm, rate or 1), WEAK))
+        cls = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x, _ in made]
+        lists = [pa.array([x[k].astype(np.int64).ravel() for x in made], pa.list_(pa.int64())) for k in (0, 1)]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(cls, pa.binary()), *lists], ["id", "cls", "prints", "weak"])
 
 
 def fingerprints(media: DataFrame, id_col: str = "id", audio_col: str = "audio", rate_col: str = "rate") -> DataFrame:
-    """(id, cls, prints) of mono 16-bit little-endian recordings; too short, empty and null ones have no prints and a null class."""
+    """(id, cls, prints, weak) of mono 16-bit little-endian recordings; weak holds WEAK masks for each print, one after the
+    other. Too short, empty and null ones have no prints and a null class."""
     small_batches(media.sparkSession, rows=200)
     rows = media.select(F.col(id_col).cast("long").alias("id"), F.col(audio_col).alias("audio"), F.col(rate_col).cast("int").alias("rate"))
-    return rows.mapInArrow(_fingerprint, long_schema("id long, cls binary, prints array<long>"))
+    return rows.mapInArrow(_fingerprint, long_schema("id long, cls binary, prints array<long>, weak array<long>"))
 
 
-def align(media: DataFrame, queries_every: int = 20, least_votes: int = 3, most_error: float = 0.15, id_col: str = "id", audio_col: str = "audio", rate_col: str = "rate") -> DataFrame:
+def align(media: DataFrame, queries_every: int = 20, least_votes: int = 3, most_error: float = 0.2, id_col: str = "id", audio_col: str = "audio", rate_col: str = "rate") -> DataFrame:
     """(query_id, match_id, copies, offset, votes, bit_error): recordings whose id queries_every divides, against all others.
 
     Recordings with equal prints are one class, its smallest id its name (match_id) and copies its members, so a hot group of copies
-    isn't expanded. Equal pairs of integers, SPAN // 4 places apart, of a query and a recording vote for the difference of their places; the best offset of a pair with least_votes votes is kept if the
+    isn't expanded. Integers of a query, as they are or with any of their WEAK least reliable bits flipped, vote for the
+    difference of their places and those of equal integers of a recording. The best offset of a pair with least_votes votes is kept if the
     share of unequal bits over the overlap is at most most_error. Ties: most votes, then the smallest offset.
 
     Recordings without prints and null ids match nothing. Rows that repeat an id and sound count once each in copies. A
@@ -99,14 +120,13 @@ def align(media: DataFrame, queries_every: int = 20, least_votes: int = 3, most_
     """
     found = staged(fingerprints(media, id_col, audio_col, rate_col), "prints")
     usable = found.where(F.col("cls").isNotNull() & F.col("id").isNotNull())
-    classes = staged(usable.groupBy("cls").agg(F.min("id").alias("name"), F.count("*").alias("copies"), F.first("prints").alias("prints"), F.max((F.col("id") % queries_every == 0).cast("int")).alias("asks")), "sounds")
-    # a steady sound repeats one integer: it is kept where it begins, in the query and in the recording alike. One integer is
-    # common by chance, so the key is that integer with the SPAN // 4 following ones' last
+    classes = staged(usable.groupBy("cls").agg(F.min("id").alias("name"), F.count("*").alias("copies"), F.first("prints").alias("prints"), F.min(F.struct("id", "weak"))["weak"].alias("weak"), F.max((F.col("id") % queries_every == 0).cast("int")).alias("asks")), "sounds")
+    # a steady sound repeats one integer: it is kept where it begins, in the query and in the recording alike
     before = F.when(F.col("at") > 0, F.element_at("prints", F.col("at")))
-    after = F.get("prints", F.col("at") + SPAN // 4)
-    changed = (before.isNull() | (before != F.col("print"))) & after.isNotNull()
-    starts = lambda df, who: df.select("name", "prints", F.posexplode("prints").alias("at", "print")).where(changed).select(F.col("name").alias(who), F.col("at").alias(f"{who}_at"), F.xxhash64("print", after).alias("print"))
-    hits = starts(classes.where("asks = 1"), "q").join(starts(classes, "r"), "print").where("q != r")
+    starts = lambda df, who: df.select("name", "prints", "weak", F.posexplode("prints").alias("at", "print")).where(before.isNull() | (before != F.col("print"))).select(F.col("name").alias(who), F.col("at").alias(f"{who}_at"), "print", F.slice("weak", F.col("at") * WEAK + 1, WEAK).alias("weak"))
+    flipped = F.aggregate("weak", F.array("print"), lambda acc, m: F.concat(acc, F.transform(acc, lambda x: x.bitwiseXOR(m))))
+    asked_for = starts(classes.where("asks = 1"), "q").select("q", "q_at", F.explode(flipped).alias("print"))
+    hits = asked_for.join(starts(classes, "r").drop("weak"), "print").where("q != r")
     votes = hits.groupBy("q", "r", (F.col("r_at") - F.col("q_at")).alias("offset")).agg(F.count("*").alias("votes"))
     best = votes.groupBy("q", "r").agg(F.max(F.struct("votes", (-F.col("offset")).alias("back"))).alias("b")).where(F.col("b.votes") >= least_votes)
     side = lambda who: classes.select(F.col("name").alias(who), F.col("prints").alias(f"{who}_prints"), F.col("copies").alias(f"{who}_copies"))

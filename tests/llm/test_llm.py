@@ -287,6 +287,30 @@ def test_recordings_are_aligned(spark):
     assert len(chroma.prints(frames)) == 40 - chroma.SPAN + 1 and len(chroma.prints(frames[:3])) == 0
 
 
+def test_recall_of_noisy_cuts_that_begin_between_frames(spark):
+    """Against brute force: every offset of every recording, by bit errors alone."""
+    rng = np.random.default_rng(9)
+    t = np.arange(1024) / 8000
+    pcm = lambda x: bytearray((x * 9000).astype("<i2").tobytes())
+    songs = [np.concatenate([np.sin(2 * np.pi * 440 * 2 ** (k / 12) * t) for k in rng.integers(-12, 12, 60)]) for _ in range(40)]
+    cuts = []
+    for i, s in enumerate(songs):
+        first = 1024 * int(rng.integers(0, 20)) + (128, 256)[i % 2]
+        cuts.append(s[first : first + 1024 * 40] + (0.02, 0.1, 0.2)[i % 3] * rng.standard_normal(1024 * 40))
+    rows = [(20 * i, pcm(x), 8000) for i, x in enumerate(cuts)] + [(20 * i + 1, pcm(x), 8000) for i, x in enumerate(songs)]
+    printed = {i: chroma.prints(chroma.chroma(np.frombuffer(bytes(x), "<i2"), r)) for i, x, r in rows}
+    want = set()
+    for q in range(len(cuts)):
+        a = printed[20 * q]
+        for r in range(len(songs)):
+            b = printed[20 * r + 1]
+            if min(np.bitwise_count(a ^ b[o : o + len(a)]).sum() for o in range(len(b) - len(a) + 1)) <= 0.2 * 32 * len(a):
+                want.add((20 * q, 20 * r + 1))
+    got = {(r.query_id, r.match_id) for r in chroma.align(spark.createDataFrame(rows, "id long, audio binary, rate int")).collect()}
+    assert len(want) >= 40 and len(got & want) >= 0.9 * len(want)
+    assert len({m for m in got if m[1] % 20 == 1} - want) <= 4
+
+
 def test_pipeline_keeps_clean_documents_once(spark):
     import corpus_pipeline
 
