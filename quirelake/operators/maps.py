@@ -77,6 +77,13 @@ def components(mask: DataFrame) -> DataFrame:
     return mask.groupBy("page_id").applyInPandas(label, schema)
 
 
+def evenly(points: Column) -> Column:
+    """A tenth of the points of an array, 2 at least and MAX_POINTS at most, evenly taken."""
+    n = F.size(points)
+    k = F.greatest(F.lit(2), F.least(F.lit(MAX_POINTS), F.floor(n / 10).cast("int")))
+    return F.transform(F.sequence(F.lit(0), k - 1), lambda i: F.get(points, (i * ((n - 1) / (k - 1))).cast("int")))
+
+
 def lines_of(labelled: DataFrame, width: int) -> DataFrame:
     """(page_id, comp, n_pixels, baseline, asc, desc): components of over MIN_PIXELS cells and MIN_WIDTH columns.
 
@@ -87,9 +94,7 @@ def lines_of(labelled: DataFrame, width: int) -> DataFrame:
     size = by.agg(F.count("*").alias("n_pixels"), F.percentile(F.greatest(F.lit(0.0), F.col("asc_h")), F.lit(0.5)).alias("asc"), F.percentile(F.greatest(F.lit(0.0), F.col("desc_h")), F.lit(0.5)).alias("desc")).where(F.col("n_pixels") > MIN_PIXELS)
     columns = labelled.groupBy("page_id", "comp", "x").agg(F.bround(F.median("y")).cast("int").alias("y"))
     points = columns.groupBy("page_id", "comp").agg(F.array_sort(F.collect_list(F.struct("x", "y"))).alias("all"))
-    n = F.size("all")
-    k = F.greatest(F.lit(2), F.least(F.lit(MAX_POINTS), F.floor(n / 10).cast("int")))
-    chosen = F.transform(F.sequence(F.lit(0), k - 1), lambda i: F.get("all", (i * ((n - 1) / (k - 1))).cast("int")))
+    n, chosen = F.size("all"), evenly(F.col("all"))
     rows = points.where(n >= 2).withColumn("baseline", chosen)
     rows = rows.where(F.element_at("baseline", -1)["x"] - F.element_at("baseline", 1)["x"] >= MIN_WIDTH)
     last = F.size("baseline") - 1

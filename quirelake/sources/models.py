@@ -41,6 +41,38 @@ class ModelPort(Protocol):
         """(n, height, width) bytes -> (n, width // 2, classes) scores."""
 
 
+class LayoutPort(Protocol):
+    """A layout network: loaded once a worker, run on one page at a time."""
+
+    def load(self) -> None: ...
+
+    def maps(self, image: np.ndarray) -> np.ndarray:
+        """(h, w, 3) bytes in BGR order, both sides multiples of 32 -> (5, h, w): ascender, descender, baseline, end point, separator."""
+
+
+class StubLayout:
+    """For tests: the last dark row of each bar is a baseline as tall as the bar, and black columns of the first row are separators."""
+
+    def load(self) -> None:
+        pass
+
+    def maps(self, image: np.ndarray) -> np.ndarray:
+        dark = image.mean(axis=2) < 128
+        out = np.zeros((5, *dark.shape), dtype=np.float32)
+        run = np.zeros(dark.shape, dtype=np.float32)
+        for y in range(1, len(dark)):
+            run[y] = np.where(dark[y], run[y - 1] + 1, 0)
+        below = np.vstack([dark[1:], np.zeros((1, dark.shape[1]), dtype=bool)])
+        foot = dark & ~below
+        out[2] = foot
+        for dy in (-1, 1):
+            out[2] += 0.6 * np.roll(foot, dy, axis=0)
+        out[0], out[1] = np.where(foot, run, 0), np.where(foot, 2, 0)
+        for dy in (-1, 1):
+            out[0] = np.maximum(out[0], np.roll(np.where(foot, run, 0), dy, axis=0))
+        return out
+
+
 class StubModel:
     """A tiny deterministic network for tests: the darkness of every second column, read as class numbers."""
 
@@ -62,7 +94,7 @@ class StubModel:
 _loaded: dict[int, object] = {}
 
 
-def recognise(crops: DataFrame, model: ModelPort, max_width: int = 1600) -> DataFrame:
+def recognise(crops: DataFrame, model: ModelPort, max_width: int = 1600, id_type: str = "long") -> DataFrame:
     """crops (line_id, crop_w, pixels of 40 rows) -> frames (line_id, t, logits); batches hold crops of one width, each worker
     loads the model once, and columns beyond max_width are cut off."""
 
@@ -79,4 +111,4 @@ def recognise(crops: DataFrame, model: ModelPort, max_width: int = 1600) -> Data
                 n, t, _ = scores.shape
                 yield pd.DataFrame({"line_id": np.repeat(group["line_id"].to_numpy(), t), "t": np.tile(np.arange(t, dtype=np.int32), n), "logits": [s.astype(float).tolist() for s in scores.reshape(n * t, -1)]})
 
-    return crops.select("line_id", "crop_w", "pixels").mapInPandas(run, "line_id long, t int, logits array<double>")
+    return crops.select("line_id", "crop_w", "pixels").mapInPandas(run, f"line_id {id_type}, t int, logits array<double>")

@@ -150,3 +150,27 @@ def test_images_models_and_settings(spark, tmp_path):
     (tmp_path / ".env").write_text("QUIRELAKE_ADAPTIVE=no\nQUIRELAKE_MAX_QUEUE=3\n")
     got = load_env({"QUIRELAKE_MAX_QUEUE": "5"}, tmp_path / ".env")
     assert (got.adaptive, got.max_queue) == (False, 5)
+
+
+def test_pages_are_read_from_pixels_to_text(spark, tmp_path):
+    from quirelake.plans.pages import process
+    from quirelake.sources.images import png
+    from quirelake.sources.models import StubLayout
+
+    def page(bars):
+        a = np.full((600, 900), 255, np.uint8)
+        for y, x0, x1 in bars:
+            a[y - 30 : y, x0:x1] = 90
+        return png(a)
+
+    (tmp_path / "two.png").write_bytes(page([(120, 90, 390), (200, 90, 390), (120, 510, 810), (200, 510, 810)]))
+    (tmp_path / "blank.png").write_bytes(page([]))
+    (tmp_path / "broken.png").write_bytes(b"no image")
+    vocab = spark.createDataFrame([(i, chr(96 + i)) for i in range(1, 16)], "idx int, ch string")
+    got = {r.page_id: r for r in process(read_pages(spark, str(tmp_path)), StubLayout(), StubModel(16), vocab, adaptive_levels=False).collect()}
+    assert (got["broken"].status, got["broken"].text) == (422, None) and (got["blank"].text, got["blank"].n_lines) == ("\n", 0)
+    two = got["two"]
+    assert two.n_lines == 4 and two.alto.count("<TextLine") == 4 and two.alto.count("<TextBlock") == 2
+    assert len(two.text.split("\n\n")) == 2 and 0 < two.mean_conf <= 1
+    first = [int(x.split('"')[0]) for x in two.alto.split('<TextLine ID="')[1].split('HPOS="')[1:2]]
+    assert abs(first[0] - 90) < 15
