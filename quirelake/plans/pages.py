@@ -168,7 +168,7 @@ def one_pass(pages: DataFrame, layout: LayoutPort, model: ModelPort, vocab: Data
 
 
 def process(pages: DataFrame, layout: LayoutPort, model: ModelPort, vocab: DataFrame, adaptive_levels: bool = True, height_scale: float = 1.0, max_width: int = 1600, processed_at: str = "1970-01-01T00:00:00Z") -> DataFrame:
-    """read_pages() -> (page_id, status, ds, mean_conf, n_lines, text, alto).
+    """read_pages() -> (page_id, origin, status, ds, mean_conf, n_lines, text, alto).
 
     With adaptive_levels every page is read at three resolutions, and the choice is that of the rule that tries them one after
     the other. Pages that can't be read keep their status and have no text; pages without lines have an empty one.
@@ -182,9 +182,9 @@ def process(pages: DataFrame, layout: LayoutPort, model: ModelPort, vocab: DataF
     rows, words = (every(k).join(chosen.select("page_id", "ds"), ["page_id", "ds"]) for k in (0, 1))
     rows = _kept(rows, "chosen-lines")
     n = blocks.kept_lines(rows).groupBy("page_id").agg(F.count("*").alias("n_lines"))
-    out = keyed.select("page_id", "name", "status").join(chosen, "page_id", "left").join(n, "page_id", "left").join(blocks.page_text(rows), "page_id", "left").join(alto.to_alto(rows, words, processed_at), "page_id", "left")
+    out = keyed.select("page_id", "name", "origin", "status").join(chosen, "page_id", "left").join(n, "page_id", "left").join(blocks.page_text(rows), "page_id", "left").join(alto.to_alto(rows, words, processed_at), "page_id", "left")
     read = lambda c: F.when(F.col("status") == 202, c)
-    return out.select(F.col("name").alias("page_id"), "status", "ds", F.bround("conf", 4).alias("mean_conf"), read(F.coalesce("n_lines", F.lit(0))).alias("n_lines"), read(F.coalesce("page_text", F.lit("\n"))).alias("text"), "alto")
+    return out.select(F.col("name").alias("page_id"), "origin", "status", "ds", F.bround("conf", 4).alias("mean_conf"), read(F.coalesce("n_lines", F.lit(0))).alias("n_lines"), read(F.coalesce("page_text", F.lit("\n"))).alias("text"), "alto")
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:

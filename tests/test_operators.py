@@ -174,3 +174,20 @@ def test_pages_are_read_from_pixels_to_text(spark, tmp_path):
     assert len(two.text.split("\n\n")) == 2 and 0 < two.mean_conf <= 1
     first = [int(x.split('"')[0]) for x in two.alto.split('<TextLine ID="')[1].split('HPOS="')[1:2]]
     assert abs(first[0] - 90) < 15
+
+
+def test_command_line_writes_files(spark, tmp_path):
+    import json
+
+    from quirelake.__main__ import main, named
+    from quirelake.sources.images import png
+
+    a = np.full((400, 600), 255, np.uint8)
+    a[80:110, 60:420] = 90
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "one.png").write_bytes(png(a))
+    (tmp_path / "v.json").write_text(json.dumps({"characters": [chr(200 + i) for i in range(63)]}))
+    models = ["--layout", "quirelake.sources.models:StubLayout", "--model", "quirelake.sources.models:StubModel", "--vocab", str(tmp_path / "v.json")]
+    assert main([str(tmp_path / "in"), "--out-dir", str(tmp_path / "out"), "--format", "multi", "--no-adaptive", *models]) == 0
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["one.alto.xml", "one.txt"]
+    assert "<TextLine" in (tmp_path / "out" / "one.alto.xml").read_text() and named("math:pi") > 3
