@@ -329,3 +329,32 @@ def test_hash_of_equal_words_in_other_places():
     h, stops = common.word_hashes([b"A b a", b"", b"  a\tB "])
     assert h[0] == h[2] == h[3] and h[1] == h[4] and stops.tolist() == [3, 3, 5]
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+def test_license_base_places_are_those_of_brute_force(spark):
+    rng = random.Random(8)
+    words = "cc by general public license all rights reserved x Kéy".split()
+    texts = ["".join(rng.choice([w, w.upper()]) + rng.choice([" ", "\n", ", ", "-"]) for w in rng.choices(words, k=rng.randint(0, 60))) for _ in range(60)]
+    rows = [(i, t, None, None, 0) for i, t in enumerate(texts)]
+    got = {r.doc_id: r for r in license.scan_licenses(spark.createDataFrame(rows, SCHEMA)).collect()}
+    for i, t in enumerate(texts):
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.translate({c: c + 32 for c in range(65, 91)}))
+        at = [(k, label) for label, phrase in license.BASE.items() for k in range(len(w)) if w[k : k + len(phrase.split())] == phrase.split()]
+        want = (len(w), len(at), min((k for k, _ in at), default=None), max((k for k, _ in at), default=None), ",".join(sorted({x for _, x in at})))
+        r = got[i]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == want
+
+
+def test_messages_and_recordings_of_hard_rows(spark):
+    clashes = {c: F.lit(1) for c in ("conv", "level", "digest", "thread_id", "node", "t", "cls", "name", "q", "r", "prints", "print", "copies", "b")}
+    talk = [(1, None, "u", "> a\nb"), (1, 0, "u", ""), (1, 0, "u", None), (2, 0, "u", "> " * 50 + "deep"), (2, 1, None, "x" * 200_000), (2, 1, None, "x" * 200_000), (None, None, None, None)]
+    df = spark.createDataFrame(talk, "conv_id long, turn long, role string, text string").withColumns(clashes)
+    got = quotes.link_quotes(df).collect()
+    assert sorted((str(r.conv_id), str(r.turn)) for r in got) == sorted((str(c), str(t)) for c, t, _, _ in talk)
+    assert sorted(r.reply_order for r in got if r.conv_id == 2) == [0, 1, 2] and max(r.max_level for r in got if r.conv_id == 2) == 50
+    sound = bytearray((np.sin(np.arange(60_000) * 0.3) * 9000).astype("<i2").tobytes())
+    rows = [(20, sound, 8000), (20, sound, 8000), (None, sound, 8000), (40, bytearray(), 8000), (60, sound, None), (80, sound, 0), (81, bytearray(400_000), 8000), (100, bytearray(400_000), 8000)]
+    media = spark.createDataFrame(rows, "id long, audio binary, rate int").withColumns(clashes)
+    found = {(r.query_id, r.match_id): r.copies for r in chroma.align(media).collect()}
+    assert found == {(20, 20): 2, (100, 81): 2}
+    assert chroma.align(media.limit(0)).count() == 0
