@@ -613,6 +613,15 @@ def image_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", "height", "width", "nChannels", "status", F.sha2("data", 256).alias("sha"))
 
 
+@query()
+def page_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From layout maps to lines in reading order: fragments joined, regions, columns, order."""
+    from quirelake.plans import pages
+
+    rows = pages.maps_to_regions(V.v_cell(spark, sf_dir).withColumn("wd", F.lit(V.CELL_W)))
+    return rows.select("page_id", "region_idx", "line_idx", F.size("baseline").alias("n_points"), "x0", "x1", r6("cy").alias("cy"), r6("asc").alias("asc"), r6("desc").alias("desc"))
+
+
 def queries() -> dict:
     return dict(QUERIES)
 

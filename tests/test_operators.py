@@ -191,3 +191,21 @@ def test_command_line_writes_files(spark, tmp_path):
     assert main([str(tmp_path / "in"), "--out-dir", str(tmp_path / "out"), "--format", "multi", "--no-adaptive", *models]) == 0
     assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["one.alto.xml", "one.txt"]
     assert "<TextLine" in (tmp_path / "out" / "one.alto.xml").read_text() and named("math:pi") > 3
+
+
+def test_regions_of_maps(spark):
+    from quirelake.plans import catalog, views
+
+    rows = catalog.page_regions(spark, "/root/testdata/sf0.001").collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r.page_id, []).append(r)
+    assert sorted(by) == [0, 1, 2, 3, 4]
+    for page in by.values():
+        page.sort(key=lambda r: r.line_idx)
+        assert [r.line_idx for r in page] == list(range(len(page)))
+        assert [r.region_idx for r in page] == sorted(r.region_idx for r in page)
+        assert all(0 <= r.x0 < r.x1 < views.CELL_W for r in page)
+        assert all(a.cy <= b.cy for a, b in zip(page, page[1:]) if a.region_idx == b.region_idx)
+        # text rows lie at 5, 17, 29, 41 and 53
+        assert {round(r.cy) for r in page} == {5, 17, 29, 41, 53}
