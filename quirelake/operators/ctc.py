@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirelake.functions import argmax, top_probability
@@ -45,3 +45,27 @@ def word_spans(chars: DataFrame, *keys: str) -> DataFrame:
     )
     order = F.row_number().over(Window.partitionBy(*keys).orderBy("island")) - 1
     return made.select(*keys, order.alias("word_idx"), "word", "t0", F.coalesce("stop", "last_t").alias("t1"))
+
+
+def emitted_of(frames: Column) -> Column:
+    """emitted() of a line whose symbols are one array, null for blank: an array of (t, ch)."""
+    marked = F.transform(frames, lambda x, i: F.struct(i.alias("t"), x.alias("ch"), F.get(frames, i - 1).alias("before")))
+    return F.transform(F.filter(marked, lambda x: x["ch"].isNotNull() & ~x["before"].eqNullSafe(x["ch"])), lambda x: F.struct(x["t"].alias("t"), x["ch"].alias("ch")))
+
+
+def joined_of(chars: Column) -> Column:
+    return F.array_join(F.transform(chars, lambda x: x["ch"]), "")
+
+
+def words_of(lines: DataFrame, chars: str, *keep: str) -> DataFrame:
+    """word_spans() of lines whose emitted (t, ch) are one array: (keep, word_idx, word, t0, t1)."""
+    spaces = F.filter(F.transform(F.col(chars), lambda x, i: F.when(x["ch"] == " ", i)), lambda i: i.isNotNull())
+    rows = lines.select(*keep, F.col(chars).alias("chars"), F.concat(F.array(F.lit(-1)), spaces, F.array(F.size(chars))).alias("bounds"))
+
+    def word(a, i):
+        b = F.get("bounds", i + 1)
+        return F.struct(F.slice("chars", a + 2, b - a - 1).alias("own"), F.get("chars", b)["t"].alias("space_t"))
+
+    between = F.transform(F.slice("bounds", 1, F.size("bounds") - 1), word)
+    made = rows.select(*keep, F.posexplode(F.filter(between, lambda x: F.size(x["own"]) > 0)).alias("word_idx", "x"))
+    return made.select(*keep, "word_idx", joined_of(F.col("x.own")).alias("word"), F.get("x.own", F.lit(0))["t"].alias("t0"), F.coalesce(F.col("x.space_t") - 1, F.element_at("x.own", -1)["t"]).alias("t1"))

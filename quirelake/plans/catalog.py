@@ -101,7 +101,7 @@ v_ch AS (
 
 @query(V.V_LINE, V.V_CTC, _CHARS, sql="SELECT page_id, line_idx, string_agg(ch, '' ORDER BY t) AS text FROM v_ch GROUP BY ALL")
 def ctc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ctc.text_of(ctc.emitted(V.v_ctc(spark, sf_dir), "ch", None), "page_id", "line_idx")
+    return V.v_ctc(spark, sf_dir).select("page_id", "line_idx", ctc.joined_of(ctc.emitted_of(F.col("frames"))).alias("text"))
 
 
 _SPANS = """
@@ -116,9 +116,10 @@ v_word AS (
 v_span AS (SELECT page_id, line_idx, (row_number() OVER (PARTITION BY page_id, line_idx ORDER BY island) - 1)::INT AS word_idx, word, t0::INT AS t0, t1::INT AS t1 FROM v_word)"""
 
 
-def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = V.v_ctc(spark, sf_dir).where(F.col("t") * 2 < 1600)
-    return ctc.word_spans(ctc.emitted(kept, "ch", None), "page_id", "line_idx")
+def spans(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
+    """Words of the frames within the recogniser's width, 1,600 at a stride of 2."""
+    lines = V.v_ctc(spark, sf_dir).withColumn("kept", F.slice("frames", 1, 800))
+    return ctc.words_of(lines.withColumn("chars", ctc.emitted_of(F.col("kept"))), "chars", "page_id", "line_idx", *keep)
 
 
 @query(V.V_LINE, V.V_CTC, _CHARS.replace("FROM v_ctc)", "FROM v_ctc WHERE t * 2 < 1600)"), _SPANS, sql="SELECT page_id, line_idx, word_idx, word, t0, t1 FROM v_span")
@@ -134,11 +135,10 @@ FROM (
     FROM v_span s JOIN v_line l ON s.page_id = l.page_id AND s.line_idx = l.line_idx
 )""")
 def word_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    box = V.v_line(spark, sf_dir).where("page_id % 10 = 0").select("page_id", "line_idx", "hpos", "vpos", "width", "height")
     d = lambda c: F.col(c).cast("double")
     zero = F.lit(0.0)
     m = F.array(d("width") / 1000.0, zero, d("hpos"), zero, d("height") / 40.0, d("vpos"), zero, zero, F.lit(1.0))
-    rows = spans(spark, sf_dir).join(box, ["page_id", "line_idx"]).withColumn("m", m)
+    rows = spans(spark, sf_dir, "hpos", "vpos", "width", "height").withColumn("m", m)
     b = rows.withColumn("b", word_box(F.col("t0"), F.col("t1"), F.lit(1600), F.col("m")))
     return b.select("page_id", "line_idx", "word_idx", "word", "b.x", "b.y", "b.w", "b.h")
 

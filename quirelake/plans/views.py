@@ -47,11 +47,12 @@ v_line AS (
 
 
 def v_ctc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Symbol frames (line_id, page_id, line_idx, t, ch), ch null for blank: two frames a character of each tenth page's lines."""
-    rows = v_line(spark, sf_dir).where("page_id % 10 = 0").where(F.trim("text") != "")
-    rows = rows.withColumn("cs", F.split(F.substring("text", 1, 1000), "")).withColumn("cs", F.filter("cs", lambda c: c != ""))
+    """v_line's lines that aren't blank, with (line_id, frames): two frames a character of the whole text, null for blank. The
+    frames of a line stay in its row: as rows of their own they would be sorted and dealt, twice the corpus' characters."""
+    rows = v_line(spark, sf_dir).where(F.trim("text") != "")
+    rows = rows.withColumn("cs", F.split("text", "")).withColumn("cs", F.filter("cs", lambda c: c != ""))
     framed = F.flatten(F.transform("cs", lambda c, i: F.array(c, F.when(F.get("cs", i + 1).eqNullSafe(c), F.lit(None).cast("string")).otherwise(c))))
-    return rows.select((F.col("page_id") * 10000 + F.col("line_idx")).alias("line_id"), "page_id", "line_idx", F.posexplode(framed).alias("t", "ch"))
+    return rows.withColumn("line_id", F.col("page_id") * 10000 + F.col("line_idx")).withColumn("frames", framed).drop("cs")
 
 
 V_CTC = """

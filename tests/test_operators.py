@@ -1,6 +1,8 @@
 """Hand-computed cases and properties of the page operators."""
 
+import math
 import random
+import re
 from xml.etree import ElementTree
 
 import numpy as np
@@ -9,6 +11,8 @@ from pyspark.sql import functions as F
 
 from quirelake.functions import argmax, bbox_from_quad, softmax, text_features
 from quirelake.operators import adaptive, alto, blocks, crops, ctc, jobs, lines, maps, requests
+from quirelake.plans import catalog
+from quirelake.plans import views as V
 from quirelake.sources import Config, StubModel, load_env
 from quirelake.sources.images import read_pages, scan_folder, write_samples
 from quirelake.sources.models import load_vocab, recognise, resolve
@@ -209,3 +213,24 @@ def test_regions_of_maps(spark):
         assert all(a.cy <= b.cy for a, b in zip(page, page[1:]) if a.region_idx == b.region_idx)
         # text rows lie at 5, 17, 29, 41 and 53
         assert {round(r.cy) for r in page} == {5, 17, 29, 41, 53}
+
+
+def test_ctc_queries_take_every_line_and_its_whole_text(spark, tmp_path):
+    texts = {3: "a  bb c\n" + "xyz " * 700 + "end", 10: "one", 11: None, 12: "\taab\n   \n é😀é"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    lines = {(r.page_id, r.line_idx): r for r in V.v_line(spark, str(tmp_path)).collect() if r.text.strip(" ")}
+    assert {k[0] for k in lines} == {3, 10, 12} and max(len(r.text) for r in lines.values()) > 2000
+    # decoding what was encoded gives the text
+    assert {(r.page_id, r.line_idx): r.text for r in catalog.ctc_roundtrip(spark, str(tmp_path)).collect()} == {k: r.text for k, r in lines.items()}
+    want, boxes = set(), set()
+    for k, r in lines.items():
+        n = -1
+        for m in re.finditer("[^ ]+", r.text[:400]):
+            n += 1
+            t0, t1 = 2 * m.start(), 2 * m.end() - 1
+            # a repeated character ends before its blank, so the last one of the kept text is emitted at its own first frame
+            t1 = t1 if m.end() < len(r.text[:400]) else 2 * (m.end() - 1)
+            want.add((*k, n, m[0], t0, t1))
+            boxes.add((*k, n, math.floor(r.width / 1000 * 2 * t0 + r.hpos)))
+    assert {tuple(r) for r in catalog.ctc_words(spark, str(tmp_path)).select("page_id", "line_idx", "word_idx", "word", "t0", "t1").collect()} == want
+    assert {(r.page_id, r.line_idx, r.word_idx, r.x) for r in catalog.word_boxes(spark, str(tmp_path)).collect()} == boxes
