@@ -192,6 +192,20 @@ def test_ids_of_both_tokenizer_files_are_the_same(texts):
     assert pack.encoder(public_tokenizers.path("byte_bpe_50k.json"))(texts) == pack.encoder(queries.tokenizer_path())(texts)
 
 
+def test_ids_of_added_tokens_and_long_white_space(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    untouched = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a<|endoftext|> b", "<|endoftext|>", "a" + " " * 1_000_000 + "b", "\n" * 1_000_000, "\u3000 \t" * 400_000, "x " + " " * 999 + "y"]
+    want = [np.array(untouched.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert np.frombuffer(want[1], "<u4").tolist() == [50256]
+    for name in ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken"):
+        assert pack.encoder(public_tokenizers.path(name))(texts) == want
+    got = pack.pack(spark.createDataFrame([(k, t) for k, t in enumerate(texts[:2])], "doc_id long, text string"), queries.tokenizer_path())
+    assert {r.doc_id: r.ids_crc32 for r in got.collect()} == {k: zlib.crc32(w + np.array([2], "<u4").tobytes()) for k, w in enumerate(want[:2])}
+
+
 def test_packing_is_gapless_and_tight(spark):
     got = queries.op5_pack(spark, SF).toPandas()
     assert got.groupby("sequence_id").length.sum().max() <= 1024
