@@ -25,7 +25,8 @@ TOKEN = re.compile(r"(?<![^\s,;<>\"'])[^\s,;<>\"'0-9@]*[0-9@][^\s,;<>\"']*")
 NOT_DIGIT, NOT_KEY = re.compile("[^0-9]+"), re.compile(r"[^0-9a-z@]+")
 #: The model keeps so many token shapes at most, the most frequent ones; all others share one.
 MOST_SHAPES = 20_000
-ROUNDS = 10
+#: A bound against messages that swing for ever; they settle long before.
+MOST_ROUNDS = 1_000
 
 
 def luhn(digits: str) -> bool:
@@ -107,20 +108,28 @@ class Model:
     def infer(self, nodes) -> np.ndarray:
         """Marginals of each node by loopy sum-product; base spans are held at their kinds.
 
-        Repeated keys are linked from each occurrence to the next: the same evidence reaches all of them, at a cost that
-        grows with their number and not with its square.
+        A token whose key a base span has is linked to the first base span of each kind with that key, so the same evidence
+        reaches every repeat however many there are, unweakened; other repeated keys are linked from each occurrence to the
+        next. The cost grows with the number of nodes and not with its square. Messages are sent until they settle.
         """
         n, m = len(nodes), len(KINDS) + 1
         local = np.stack([self.shape.get(x[3], self.other) for x in nodes])
         for i, x in enumerate(nodes):
             if x[2]:
-                local[i] = -30.0
+                local[i] = -1e9  # held whatever the number of messages that meet here
                 local[i, 1 + KINDS.index(x[2])] = 0.0
+        held: dict[str, dict[str, int]] = {}
+        for i, x in enumerate(nodes):
+            if x[2] and len(x[4]) >= 4:
+                held.setdefault(x[4], {}).setdefault(x[2], i)
         edges, last = [], {}
         for i, x in enumerate(nodes):
             if i:
                 edges.append((i - 1, i, 0))
-            if x[4] and len(x[4]) >= 4:
+            if x[4] in held:
+                if not x[2]:
+                    edges += [(j, i, 1) for j in held[x[4]].values()]
+            elif x[4] and len(x[4]) >= 4:
                 if x[4] in last:
                     edges.append((last[x[4]], i, 1))
                 last[x[4]] = i
@@ -132,7 +141,7 @@ class Model:
         back = np.concatenate([np.arange(len(a)) + len(a), np.arange(len(a))])
         msg = np.zeros((len(src), m))
         belief = local
-        for _ in range(ROUNDS):
+        for _ in range(MOST_ROUNDS):
             out = belief[src] - msg[back]
             out = np.exp(out - out.max(axis=1, keepdims=True))
             new = np.log(np.einsum("ei,eij->ej", out, pot) + 1e-30)

@@ -184,6 +184,21 @@ def test_luhn_and_repeats():
     assert base == [(5, 17, "phone")] and every == [(5, 17, "phone"), (29, 40, "phone")]
 
 
+@pytest.mark.parametrize("n", [1, 5, 8, 12, 30, 300])
+@pytest.mark.parametrize("first", [True, False])
+def test_every_repeat_of_a_base_span_is_labelled(n, first):
+    assert pii.luhn("4111111111111111") and not pii.luhn("4111111111111112")
+    shapes = {pii.shape("99"): np.array([50.0, 0, 0, 0, 0]), pii.shape("+15550109999"): np.array([0, 0, 0, 0, 50.0]), pii.shape("15550109999"): np.array([5, 0, 0, 0, 4.0])}
+    skip = np.zeros((5, 5))
+    skip[4, 4] = 50
+    skip[0, 0] = 50
+    model = pii.Model(shapes, np.ones((5, 5)), skip)
+    base, bare = "+15550109999", "15550109999"
+    text = " and ".join([base] + [bare] * n if first else [bare] * n + [base])
+    found, every = pii.spans_of(text, pii.Model(shapes, np.ones((5, 5)), skip))
+    assert len(found) == 1 and [text[a:b].lstrip("+") for a, b, k in every if k == "phone"] == [bare] * (n + 1)
+
+
 @given(st.lists(st.text(max_size=40), max_size=5))
 @settings(max_examples=100, deadline=None)
 def test_ids_of_both_tokenizer_files_are_the_same(texts):
