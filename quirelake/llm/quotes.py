@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import staged
@@ -30,39 +30,100 @@ def passages(messages: DataFrame) -> DataFrame:
 
     runs = F.aggregate(parsed, empty, fold)
     rows = messages.select("conv", "turn", F.posexplode(runs).alias("passage", "x")).select("conv", "turn", "passage", F.col("x.level").alias("level"), F.col("x.plain").alias("text"))
-    normal = F.trim(F.regexp_replace(F.lower("text"), r"\s+", " "))
-    return rows.withColumn("normal", normal).withColumn("digest", F.when(F.col("normal") != "", F.sha2("normal", 256)))
+    return rows.withColumn("normal", _normal("text")).withColumn("digest", F.when(F.col("normal") != "", F.sha2("normal", 256)))
+
+
+def _normal(text: str) -> Column:
+    return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
+
+
+def _asked(quoted: DataFrame) -> DataFrame:
+    """(conv, turn, passage, level, run, par, line, digest, times): each quoted passage as a whole (par -1), its paragraphs (line -1)
+    and their lines, without blank ones. Passages that repeat in every column are one, times their number."""
+    passage = ["conv", "turn", "passage", "level", F.col("digest").alias("run")]
+    once = quoted.groupBy("conv", "turn", "passage", "level", "digest").agg(F.count("*").alias("times"), F.min("text").alias("text"))
+    pars = once.select(*passage, "times", F.posexplode(F.split("text", r"\n[ \t]*\n")).alias("par", "own"))
+    lines = pars.select("conv", "turn", "passage", "level", "run", "times", "par", F.posexplode(F.split("own", "\n")).alias("line", "own"))
+    parts = pars.withColumn("line", F.lit(-1)).unionByName(lines).withColumn("normal", _normal("own")).where("normal != ''")
+    whole = once.select(*passage, F.lit(-1).alias("par"), F.lit(-1).alias("line"), "digest", "times")
+    return whole.unionByName(parts.select("conv", "turn", "passage", "level", "run", "par", "line", F.sha2("normal", 256).alias("digest"), "times"))
+
+
+def _origins(asked: DataFrame, own: DataFrame) -> DataFrame:
+    """(conv, turn, digest, origin): for the digests that a message asks, the smallest (conv, turn) in another conversation, or
+    earlier in its own; own (digest, conv, turn) has the first turn of each conversation."""
+    place = F.struct("conv", "turn")
+    wanted = asked.select("conv", "turn", "digest").distinct()
+    first = own.join(wanted.select("digest").distinct(), "digest", "left_semi").groupBy("digest").agg(F.min(place).alias("one"))
+    # only a conversation that is itself the first needs the second one
+    both = staged(wanted.join(first, "digest"), "first-origins")
+    lone = both.where(F.col("one.conv") == F.col("conv")).select("digest", F.col("conv").alias("but")).distinct()
+    second = own.join(lone, "digest").where("conv != but").groupBy("digest").agg(F.min(place).alias("two"))
+    at_home = own.select("digest", "conv", F.col("turn").alias("home"))
+    out = both.join(second, "digest", "left").join(at_home, ["digest", "conv"], "left")
+    # as structs, so that a null turn is the earliest
+    earlier = F.col("home").eqNullSafe(F.col("home")) & (F.struct(F.col("home").alias("turn")) < F.struct("turn"))
+    here = F.when((F.col("one.conv") == F.col("conv")) & earlier, F.col("one"))
+    away = F.when(F.col("one.conv") == F.col("conv"), F.col("two")).otherwise(F.col("one"))
+    return out.select("conv", "turn", "digest", F.coalesce(here, away).alias("origin")).where("origin IS NOT NULL")
+
+
+def _used(asked: DataFrame, origins: DataFrame) -> DataFrame:
+    """The largest pieces that link, of the passages that link: (conv, turn, passage, level, run, origin, times)."""
+    passage = ["conv", "turn", "passage", "level", "run"]
+    keys = lambda names: [F.col(f"l.{n}").eqNullSafe(F.col(f"r.{n}")) for n in names]
+    found = asked.alias("l").join(origins.alias("r"), keys(["conv", "turn", "digest"]), "left").select("l.*", "r.origin")
+    got, no = F.col("origin").isNotNull(), F.col("origin").isNull()
+    pars = found.where("par >= 0").groupBy(*passage, "par").agg(F.count(F.when((F.col("line") < 0) & got, 1)).alias("as_one"), F.count(F.when((F.col("line") >= 0) & no, 1)).alias("lost"))
+    runs = found.where("par < 0").select(*passage, got.alias("whole"))
+    lost = pars.where("as_one = 0 AND lost > 0").select(*passage).distinct()
+    runs = runs.alias("l").join(lost.select("*", F.lit(True).alias("part_lost")).alias("r"), keys(passage), "left").select("l.*", "r.part_lost")
+    runs = runs.where("whole OR part_lost IS NULL").drop("part_lost")
+    kept = found.alias("l").join(runs.alias("r"), keys(passage)).select("l.*", "r.whole")
+    kept = kept.alias("l").join(pars.alias("r"), keys([*passage, "par"]), "left").select("l.*", "r.as_one")
+    leaf = F.when(F.col("whole"), F.col("par") < 0).otherwise((F.col("par") >= 0) & ((F.col("line") < 0) == (F.col("as_one") > 0)))
+    return kept.where(leaf).select(*passage, "origin", "times")
 
 
 def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text") -> DataFrame:
     """(conv_id, turn, thread_id, reply_order, parent_conv, parent_turn, n_quoted, n_linked, max_level, own_text) of every message.
 
-    Quoted passages are hashed after their marks are taken off and white space and case are normalised; the hash meets those
-    of the paragraphs and passages that messages wrote themselves, of which the first (smallest conversation and turn) is the
-    origin, so a common passage has one origin and no pairs are made. Level 1's first linked passage names the parent; without one it
-    is the turn before in the same conversation. thread_id is the smallest conversation reachable over links; reply_order
-    counts a thread's messages from 0 by turn and conversation. own_text is the message without its quoted lines.
+    Quoted passages and what messages wrote themselves are hashed as whole runs, as paragraphs and as lines, after marks are
+    taken off and white space and case are normalised. A passage links if its whole hash meets one, or else if each of its
+    paragraphs does, as a paragraph or by all of its lines; so a quote of a part links, and one with a line that nobody wrote
+    doesn't. A hash has one origin for a message, so no pairs are made: the smallest (conversation, turn) that isn't in the
+    message's own conversation at its turn or later. Conversation ids are no times: the origin may have a larger one. The
+    passage's origin is the one of most of its pieces, then the smallest.
+
+    Level 1's first linked passage names the parent; without one it is the turn before in the same conversation. thread_id is
+    the smallest conversation reachable over the links of all pieces; reply_order counts a thread's messages from 0 by turn
+    and conversation. own_text is the message without its quoted lines.
 
     The order is counted in buckets of turns, so a hot thread isn't sorted by one task. Null or empty texts have no passage.
     Null conversations form no thread: null thread and order. Rows that repeat conversation and turn are one position
-    after the other. Quotes of a message's own words, or of later ones, don't link. An empty table gives an empty result.
+    after the other. Quotes of a message's own words, or of later ones of its conversation, don't link. An empty table gives an
+    empty result.
     """
     rows = messages.select(F.col(conv_col).cast("long").alias("conv"), F.col(turn_col).cast("long").alias("turn"), F.col(text_col).alias("text"))
     found = staged(passages(rows).where(F.col("conv").isNotNull()), "passages")
     written = found.where("level = 0")
-    # a reply may quote a whole message part or one of its paragraphs or lines
+    # a reply may quote a whole message part or some of its paragraphs or lines
     pieces = F.array_distinct(F.concat(F.array("text"), F.split("text", r"\n[ \t]*\n"), F.split("text", "\n")))
     own = written.select("conv", "turn", F.explode(pieces).alias("piece"))
-    normal = F.trim(F.regexp_replace(F.lower("piece"), r"\s+", " "))
-    origins = own.withColumn("normal", normal).where("normal != ''").groupBy(F.sha2("normal", 256).alias("digest")).agg(F.min(F.struct("conv", "turn")).alias("origin"))
-    quoted = found.where("level > 0 AND digest IS NOT NULL").select("conv", "turn", "passage", "level", "digest")
-    linked = quoted.join(origins, "digest").where(F.col("origin") < F.struct("conv", "turn"))
-    linked = staged(linked.select("conv", "turn", "passage", "level", F.col("origin.conv").alias("o_conv"), F.col("origin.turn").alias("o_turn")), "quote-links")
+    own = own.withColumn("normal", _normal("piece")).where("normal != ''").groupBy(F.sha2("normal", 256).alias("digest"), "conv").agg(F.min("turn").alias("turn"))
+    own = staged(own, "own-pieces")
+    asked = staged(_asked(found.where("level > 0 AND digest IS NOT NULL")), "quoted-pieces")
+    used = staged(_used(asked, _origins(asked, own)), "piece-links")
+
+    passage = ["conv", "turn", "passage", "level", "run"]
+    votes = used.groupBy(*passage, "origin").agg(F.count("*").alias("n"), F.max("times").alias("times"))
+    linked = votes.groupBy(*passage).agg(F.min(F.struct(-F.col("n"), F.col("origin").alias("origin"))).getField("origin").alias("origin"), F.max("times").alias("times"))
+    linked = staged(linked.select(*passage, "times", F.col("origin.conv").alias("o_conv"), F.col("origin.turn").alias("o_turn")), "quote-links")
     parents = linked.where("level = 1").groupBy(F.col("conv").alias("p_conv"), F.col("turn").alias("p_turn")).agg(F.min(F.struct("passage", "o_conv", "o_turn")).alias("p"))
-    links = linked.groupBy(F.col("conv").alias("l_conv"), F.col("turn").alias("l_turn")).agg(F.count("*").alias("n_linked"))
+    links = linked.groupBy(F.col("conv").alias("l_conv"), F.col("turn").alias("l_turn")).agg(F.sum("times").alias("n_linked"))
     counts = found.groupBy(F.col("conv").alias("c_conv"), F.col("turn").alias("c_turn")).agg(F.count(F.when((F.col("level") > 0) & F.col("digest").isNotNull(), 1)).alias("n_quoted"), F.max("level").alias("max_level"))
 
-    edges = linked.select(F.col("conv").alias("a"), F.col("o_conv").alias("b")).where("a != b").distinct()
+    edges = used.select(F.col("conv").alias("a"), F.col("origin.conv").alias("b")).where("a != b").distinct()
     threads = components(edges).withColumnRenamed("node", "t_conv").withColumnRenamed("comp", "t")
     on = lambda a, b: (F.col("conv") == F.col(a)) & (F.col("turn") == F.col(b))
     before = rows.where(F.col("conv").isNotNull()).select(F.col("conv").alias("b_conv"), (F.col("turn") + 1).alias("b_turn")).distinct()

@@ -302,6 +302,59 @@ def test_quotes_are_linked_and_ordered(spark):
     assert quotes.link_quotes(df.limit(0)).count() == 0
 
 
+def plain_links(rows):
+    """n_linked and first level-1 origin of each message, by comparing every piece with all pieces of all messages."""
+    norm = lambda t: " ".join(t.lower().split())
+    cut = lambda t: [t, *re.split("\n[ \t]*\n", t), *t.split("\n")]
+    runs = {}
+    for conv, turn, text in rows:
+        of = runs[conv, turn] = []
+        for line in text.split("\n"):
+            m = re.match(r"[ \t]*((?:>[ \t]?)*)", line)
+            level, body = m[1].count(">"), line[m.end() :]
+            if of and of[-1][0] == level:
+                of[-1][1] += "\n" + body
+            else:
+                of.append([level, body])
+    wrote = {k: {norm(p) for level, t in of if not level for p in cut(t)} - {""} for k, of in runs.items()}
+    out = {}
+    for (conv, turn), of in runs.items():
+        may = sorted(k for k in wrote if k[0] != conv or k[1] < turn)
+        at = lambda p: next((k for k in may if norm(p) in wrote[k]), None)
+        n, parent = 0, None
+        for level, text in of:
+            if not level or not norm(text):
+                continue
+            hits = [at(text)]
+            if not hits[0]:
+                hits = []
+                for par in re.split("\n[ \t]*\n", text):
+                    if norm(par):
+                        hits += [at(par)] if at(par) else [at(line) for line in par.split("\n") if norm(line)]
+            if all(hits):
+                n += 1
+                parent = parent or (level == 1 and min(hits, key=lambda k: (-hits.count(k), k))) or None
+        out[conv, turn] = n, parent
+    return out
+
+
+def test_partial_quotes_link_as_by_brute_force(spark):
+    rows = [(1, 0, "a\nb\nc"), (1, 1, "> a\n> b\nyes"), (1, 2, "> a\n> c"), (1, 3, "> a\n> z"), (2, 0, "p one\np two\n\nq\n\nr"), (2, 1, "> p one p two\n>\n> r\nfine"), (2, 2, "> q\n>\n> p two\n>\n> never")]
+    # of a conversation with a larger id, of the message itself, of a later turn, and of one in two places
+    rows += [(3, 0, "> from nine\nok"), (9, 0, "from nine"), (4, 0, "> mine\nmine"), (4, 1, "> later\nx"), (4, 2, "later"), (5, 0, "> both\nboth"), (6, 4, "both"), (7, 0, ">> both\n> a\n>\n> from nine")]
+    rng = random.Random(5)
+    for conv in range(20, 32):
+        rows += [(conv, turn, "\n".join(rng.choice(["", "", "> ", "> ", ">> "]) + rng.choice(["l1", "l2", "l3", "L4  x", "l5", "l6", "l7", "", ""]) for _ in range(rng.randint(1, 6)))) for turn in range(3)]
+    got = {(r.conv_id, r.turn): r for r in quotes.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, text string")).collect()}
+    turns = {(c, t) for c, t, _ in rows}
+    for (conv, turn), (n, parent) in plain_links(rows).items():
+        r = got[conv, turn]
+        before = (conv, turn - 1) if (conv, turn - 1) in turns else (None, None)
+        assert (r.n_linked, (r.parent_conv, r.parent_turn)) == (n, parent or before), (conv, turn)
+    assert [got[k].n_linked for k in ((1, 1), (1, 2), (1, 3), (2, 1), (2, 2), (3, 0), (4, 0), (4, 1), (5, 0), (7, 0))] == [1, 1, 0, 1, 0, 1, 0, 0, 1, 2]
+    assert got[3, 0].thread_id == got[9, 0].thread_id == 1
+
+
 def test_recordings_are_aligned(spark):
     rng = np.random.default_rng(4)
     t = np.arange(1024) / 8000
