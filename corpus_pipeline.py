@@ -16,20 +16,28 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.drop_toxic(docs, model, threshold=0.3)
 
 
-def _without(docs: DataFrame, dropped: DataFrame, tag: str) -> DataFrame:
-    """docs without the ids of dropped; rows with a null id stay."""
-    gone = sized(staged(dropped.select(F.col("doc_id").alias("gone_id")).where("gone_id IS NOT NULL").distinct(), tag))
-    return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+def _numbered(docs: DataFrame, nulls_first: bool) -> DataFrame:
+    """docs with row_key, a number of each row in the order of doc_id: ids may be null or repeat, these aren't and don't."""
+    first = F.col("doc_id").asc_nulls_first() if nulls_first else F.col("doc_id").asc_nulls_last()
+    return staged(docs.orderBy(first, F.xxhash64("text")).withColumn("row_key", F.monotonically_increasing_id()), "numbered")
+
+
+def _without(numbered: DataFrame, dropped: DataFrame, tag: str) -> DataFrame:
+    """numbered without the rows of dropped, whose doc_id are row keys."""
+    gone = sized(staged(dropped.select(F.col("doc_id").alias("gone_key")), tag))
+    return numbered.join(gone, F.col("row_key") == F.col("gone_key"), "left_anti").drop("row_key")
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id stays."""
-    return _without(docs, exact.exact_groups(docs).where("NOT kept"), "exact-gone")
+    """Of equal texts one row of the largest doc_id stays; null is smaller than any other."""
+    rows = _numbered(docs, nulls_first=True)
+    return _without(rows, exact.exact_groups(rows, id_col="row_key").where("NOT kept"), "exact-gone")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five words, 0.8) the document with the smallest doc_id stays."""
-    return _without(docs, minhash.near_duplicates(docs, width=5, threshold=0.8).where("NOT kept"), "near-gone")
+    """Of each group of near duplicates (five words, 0.8) one row of the smallest doc_id stays, of a null one if there is no other."""
+    rows = _numbered(docs, nulls_first=False)
+    return _without(rows, minhash.near_duplicates(rows, width=5, threshold=0.8, id_col="row_key").where("NOT kept"), "near-gone")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

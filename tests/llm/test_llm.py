@@ -407,6 +407,19 @@ def test_pipeline_keeps_clean_documents_once(spark):
     assert kept == want
 
 
+def test_dedup_of_repeated_and_null_ids(spark):
+    import corpus_pipeline
+
+    x, y, z, u = (" ".join(f"{w}{i}" for i in range(60)) for w in "xyzu")
+    make = lambda rows: spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    left = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    rows = [(5, x), (5, y), (9, x), (7, z), (7, z), (None, u), (None, u), (None, x), (None, y + " end")]
+    assert left(corpus_pipeline.exact_dedup(spark, make(rows), SF)) == sorted([(5, y), (9, x), (7, z), (None, u), (None, y + " end")], key=str)
+    rows = [(5, x + " end"), (5, y), (3, x), (7, z), (7, z + " end"), (None, u), (None, u + " end"), (None, y + " end")]
+    got = left(corpus_pipeline.near_dedup(spark, make(rows), SF))
+    assert [(k, t.removesuffix(" end")) for k, t in got] == sorted([(3, x), (5, y), (7, z), (None, u)], key=str)
+
+
 def test_hash_of_equal_words_in_other_places():
     h, stops = common.word_hashes([b"A b a", b"", b"  a\tB "])
     assert h[0] == h[2] == h[3] and h[1] == h[4] and stops.tolist() == [3, 3, 5]
