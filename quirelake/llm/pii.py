@@ -23,8 +23,7 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: Only where a token begins: else a long run without a digit would be tried from each of its characters.
 TOKEN = re.compile(r"(?<![^\s,;<>\"'])[^\s,;<>\"'0-9@]*[0-9@][^\s,;<>\"']*")
 NOT_DIGIT, NOT_KEY = re.compile("[^0-9]+"), re.compile(r"[^0-9a-z@]+")
-#: The model keeps so many token shapes at most, the most frequent ones; all others share one.
-MOST_SHAPES = 20_000
+DIGITS, LETTERS, LETTER = re.compile("[0-9]+"), re.compile(r"[^\W\d_]+"), re.compile("[A-Za-z@]")
 #: A bound against messages that swing for ever; they settle long before.
 MOST_ROUNDS = 1_000
 
@@ -50,7 +49,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
             out.append((start, end := m.end(), "email"))
         at = text.find("@", at + 1)
     for m in IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        if all(len(p) <= 3 and int(p or 0) <= 255 for p in (x.lstrip("0") for x in m[0].split("."))):
             out.append((m.start(), m.end(), "ip"))
     for m in CARD.finditer(text):
         if 12 <= len(d := NOT_DIGIT.sub("", m[0])) <= 19 and luhn(d):
@@ -63,21 +62,31 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def shape(token: str) -> str:
-    """Runs of digits, letters and other characters, with their lengths in steps; of a long token the first twelve runs."""
-    parts = re.findall(r"([0-9]+)|([^\W\d_]+)|(.)", token[:200], re.S)[:12]
-    return "".join(f"9{min(len(a), 9)}" if a else f"a{min(len(b), 3)}" if b else c for a, b, c in parts)
-
-
-def keyed(token: str) -> str:
-    """What repeated or similar tokens share: the digits of a number whatever stands between them, else letters and digits."""
+    """What a token looks like as a whole, in steps, so that there are at most 18 * 6 * 3 * 2 * 5 * 4 * 2 * 2 shapes, twice: its digits and
+    runs of digits, letters, @, points, hyphens or spaces, a plus at its head, and other characters."""
+    runs = DIGITS.findall(token)
+    digits = sum(map(len, runs))
+    at, points, joints = token.count("@"), token.count("."), token.count("-") + token.count(" ")
+    letters = sum(map(len, LETTERS.findall(token)))
+    plus = token[0] == "+"
+    other = len(token) > digits + letters + at + points + joints + plus
+    return f"{min(digits, 17)}/{min(len(runs), 5)}/{min((letters + 2) // 3, 2)}/{min(at, 1)}/{min(points, 4)}/{min(joints, 3)}/{int(plus)}/{int(other)}"
+
+
+def keyed(token: str) -> tuple[str, str]:
+    """What repeated tokens share, and what similar ones do; "" is shared with none. Repeated: the digits of a number whatever stands
+    between them, else letters and digits. Similar: the last seven of a number's digits, as with and without a country's code, or
+    what an address has before its @."""
     digits = NOT_DIGIT.sub("", token)
-    if len(digits) >= 7 and not re.search(r"[A-Za-z@]", token):
-        return digits
-    return NOT_KEY.sub("", token.lower())
+    if len(digits) >= 7 and not LETTER.search(token):
+        return digits, f"~{digits[-7:]}"
+    whole = NOT_KEY.sub("", token.lower())
+    name = whole.partition("@")[0] if "@" in whole else ""
+    return (whole if len(whole) >= 4 else ""), (f"{name}@" if len(name) >= 4 else "")
 
 
-def nodes_of(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str | None, str, str]]:
-    """(start, end, base kind or None, shape, key): the base spans, and the tokens with a digit or @ that no base span touches."""
+def nodes_of(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str | None, str, tuple[str, str]]]:
+    """(start, end, base kind or None, shape, keys): the base spans, and the tokens with a digit or @ that no base span touches."""
     out = [(s, e, k, shape(text[s:e]), keyed(text[s:e])) for s, e, k in base]
     i, top = 0, 0
     for m in TOKEN.finditer(text):
@@ -89,70 +98,101 @@ def nodes_of(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int
         while i < len(base) and base[i][0] < b:
             top, i = max(top, base[i][1]), i + 1
         if a < b and top <= a:
-            out.append((a, b, None, shape(text[a:b]), keyed(text[a:b])))
+            token = text[a:b]
+            # what a pattern finds in a token and its check refuses is evidence of its own
+            refused = IP.search(token) or PHONE.search(token) or any(len(NOT_DIGIT.sub("", m[0])) >= 12 for m in CARD.finditer(token))
+            out.append((a, b, None, shape(token) + "!" * bool(refused), keyed(token)))
     return sorted(out, key=lambda n: (n[0], n[1], n[2] or ""))
 
 
+def edges_of(nodes) -> list[tuple[int, int, int]]:
+    """(node, node, 0 neighbours, 1 repeated, 2 similar tokens) of one document.
+
+    A token whose key a base span has is linked to the first base span of each kind with that key, so the same evidence reaches
+    every repeat however many there are, unweakened; other repeated keys are linked from each occurrence to the next. Similar
+    tokens are linked likewise where no base span has the key itself. There are at most a few edges for each node.
+    """
+    held: dict[str, dict[str, int]] = {}
+    for i, x in enumerate(nodes):
+        if x[2]:
+            for k in x[4]:
+                if k:
+                    held.setdefault(k, {}).setdefault(x[2], i)
+    edges, last = [], {}
+    for i, x in enumerate(nodes):
+        if i:
+            edges.append((i - 1, i, 0))
+        for kind, k in enumerate(x[4], 1):
+            if k in held:
+                if not x[2]:
+                    edges += [(j, i, kind) for j in held[k].values()]
+                    break
+            elif k:
+                if k in last:
+                    edges.append((last[k], i, kind))
+                last[k] = i
+    return edges
+
+
 class Model:
     """Potentials of a skip-chain field over the labels none and KINDS: of a token by its shape, of neighbours, and of tokens
-    that share a key. All are smoothed log-frequencies of the corpus; other is the potential of shapes it doesn't have."""
+    that are repeated or similar. All are smoothed log-frequencies of the corpus; other is the potential of shapes it doesn't have."""
 
-    def __init__(self, shapes: dict[str, np.ndarray], chain: np.ndarray, skip: np.ndarray):
+    def __init__(self, shapes: dict[str, np.ndarray], chain: np.ndarray, skip: np.ndarray, alike: np.ndarray | None = None):
         n = len(KINDS) + 1
+        alike = skip if alike is None else alike
         total = sum(shapes.values(), np.zeros(n)) + 1
         self.shape = {k: np.log((v + 0.1) / (v.sum() + 0.1 * n)) for k, v in shapes.items()}
         self.other = np.log(total / total.sum())
         # how much likelier a pair of labels is than the two by themselves
-        self.chain, self.skip = (np.log(c * c.sum() / np.outer(c.sum(1), c.sum(0))) for c in (chain + 1.0, skip + skip.T + np.eye(n) + 0.02))
+        pairs = (chain + 1.0, *(c + c.T + np.eye(n) + 0.02 for c in (skip, alike)))
+        self.pairs = np.stack([c * c.sum() / np.outer(c.sum(1), c.sum(0)) for c in pairs])
 
-    def infer(self, nodes) -> np.ndarray:
-        """Marginals of each node by loopy sum-product; base spans are held at their kinds.
+    def infer(self, docs: list) -> list[np.ndarray]:
+        """For each document's nodes the marginals by loopy sum-product; base spans are held at their kinds.
 
-        A token whose key a base span has is linked to the first base span of each kind with that key, so the same evidence
-        reaches every repeat however many there are, unweakened; other repeated keys are linked from each occurrence to the
-        next. The cost grows with the number of nodes and not with its square. Messages are sent until they settle.
+        Messages of all documents are sent at once, of each until its own settle: a document's result doesn't depend on the others.
+        The cost grows with the number of nodes and not with its square.
         """
-        n, m = len(nodes), len(KINDS) + 1
-        local = np.stack([self.shape.get(x[3], self.other) for x in nodes])
-        for i, x in enumerate(nodes):
+        m = len(KINDS) + 1
+        sizes = [len(nodes) for nodes in docs]
+        firsts = np.cumsum([0, *sizes])
+        every = [x for nodes in docs for x in nodes]
+        if not every:
+            return [np.zeros((0, m)) for _ in docs]
+        local = np.stack([self.shape.get(x[3], self.other) for x in every])
+        for i, x in enumerate(every):
             if x[2]:
                 local[i] = -1e9  # held whatever the number of messages that meet here
-                local[i, 1 + KINDS.index(x[2])] = 0.0
-        held: dict[str, dict[str, int]] = {}
-        for i, x in enumerate(nodes):
-            if x[2] and len(x[4]) >= 4:
-                held.setdefault(x[4], {}).setdefault(x[2], i)
-        edges, last = [], {}
-        for i, x in enumerate(nodes):
-            if i:
-                edges.append((i - 1, i, 0))
-            if x[4] in held:
-                if not x[2]:
-                    edges += [(j, i, 1) for j in held[x[4]].values()]
-            elif x[4] and len(x[4]) >= 4:
-                if x[4] in last:
-                    edges.append((last[x[4]], i, 1))
-                last[x[4]] = i
-        if not edges:
-            return _norm(local)
-        a, b, kind = (np.array(c) for c in zip(*edges))
-        both = np.exp(np.stack([self.chain, self.skip]))[kind]
-        src, dst, pot = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([both, both.transpose(0, 2, 1)])
-        back = np.concatenate([np.arange(len(a)) + len(a), np.arange(len(a))])
-        msg = np.zeros((len(src), m))
-        belief = local
+                local[i, _label(x[2])] = 0.0
+        edges = np.array([(a + f, b + f, k, d) for d, (nodes, f) in enumerate(zip(docs, firsts)) for a, b, k in edges_of(nodes)], dtype=np.int64).reshape(-1, 4)
+        belief = local.copy()
+        a, b, kind, doc = edges.T
+        pot = self.pairs[kind]
+        msg = np.zeros((2, len(edges), m))  # to b, and back to a
         for _ in range(MOST_ROUNDS):
-            out = belief[src] - msg[back]
-            out = np.exp(out - out.max(axis=1, keepdims=True))
-            new = np.log(np.einsum("ei,eij->ej", out, pot) + 1e-30)
-            new -= new.max(axis=1, keepdims=True)
-            moved = float(np.abs(new - msg).max())
-            msg = 0.5 * (msg + new)
-            belief = local.copy()
-            np.add.at(belief, dst, msg)
-            if moved < 1e-3:
+            if not len(a):
                 break
-        return _norm(belief)
+            new = np.empty_like(msg)
+            for way, (src, p) in enumerate(((a, pot), (b, pot.transpose(0, 2, 1)))):
+                out = belief[src] - msg[1 - way]
+                out = np.exp(out - out.max(axis=1, keepdims=True))
+                new[way] = np.log((out[:, :, None] * p).sum(axis=1) + 1e-30)
+            new -= new.max(axis=2, keepdims=True)
+            moved = np.abs(new - msg).max(axis=(0, 2))
+            msg = 0.5 * (msg + new)
+            at = np.concatenate([b, a])
+            belief[at] = local[at]
+            np.add.at(belief, b, msg[0])
+            np.add.at(belief, a, msg[1])
+            # a document whose largest change is small has settled; its edges stand together
+            new_doc = np.flatnonzero(np.diff(doc, prepend=-1))
+            most = np.maximum.reduceat(moved, new_doc)
+            going = np.repeat(most >= 1e-3, np.diff(np.append(new_doc, len(doc))))
+            if not going.all():
+                a, b, doc, pot, msg = a[going], b[going], doc[going], pot[going], msg[:, going]
+        p = _norm(belief)
+        return [p[f : f + n] for f, n in zip(firsts, sizes)]
 
 
 def _norm(x: np.ndarray) -> np.ndarray:
@@ -185,10 +225,11 @@ def _tally(batches):
                 seen["s" + x[3], y] += 1
                 if before is not None:
                     seen["chain", before * width + y] += 1
-                if len(x[4]) >= 4:
-                    if x[4] in last:
-                        seen["skip", last[x[4]] * width + y] += 1
-                    last[x[4]] = y
+                for what, k in zip(("skip", "alike"), x[4]):
+                    if k:
+                        if k in last:
+                            seen[what, last[k] * width + y] += 1
+                        last[k] = y
                 before = y
         if len(seen) > 200_000:
             yield rows()
@@ -196,34 +237,33 @@ def _tally(batches):
 
 
 def fit(docs: DataFrame) -> Model:
-    """Potentials from all texts, with the base patterns as labels. The driver gets MOST_SHAPES shapes at most."""
+    """Potentials from all texts, with the base patterns as labels. The driver gets the counts of shapes, whose number is bounded."""
     counts = staged(docs.select("text").mapInArrow(_tally, long_schema("what string, cell int, n long")).groupBy("what", "cell").agg(F.sum("n").alias("n")), "shapes")
-    # shapes that no base span has are told apart only if they are frequent
-    often = counts.groupBy("what").agg(F.sum("n").alias("total"), F.max("cell").alias("most")).where("most > 0 OR total >= 100").orderBy(F.desc("total"), "what").limit(MOST_SHAPES + 2)
     width = len(KINDS) + 1
     shapes: dict[str, np.ndarray] = {}
-    chain, skip = np.zeros((width, width)), np.zeros((width, width))
-    for what, cell, n in counts.join(often.select("what"), "what").collect():
-        if what in ("chain", "skip"):
-            (chain if what == "chain" else skip)[divmod(cell, width)] += n
+    pairs = {what: np.zeros((width, width)) for what in ("chain", "skip", "alike")}
+    for what, cell, n in counts.collect():
+        if what in pairs:
+            pairs[what][divmod(cell, width)] += n
         else:
             shapes.setdefault(what[1:], np.zeros(width))[cell] += n
-    return Model(shapes, chain, skip)
+    return Model(shapes, **pairs)
+
+
+def spans_of_all(texts: list[str | None], model: Model, least: float = 0.5) -> list[tuple[list, list]]:
+    """Of each text the base spans, and all spans: tokens whose likeliest label is a kind of at least that probability are added."""
+    bases = [base_spans(t) if t else [] for t in texts]
+    docs = [nodes_of(t, b) if t else [] for t, b in zip(texts, bases)]
+    out = []
+    for base, nodes, p in zip(bases, docs, model.infer(docs)):
+        best = p.argmax(axis=1).tolist()
+        more = [(x[0], x[1], KINDS[k - 1]) for x, k, q in zip(nodes, best, p.max(axis=1).tolist()) if not x[2] and k and q >= least]
+        out.append((base, sorted(base + more, key=lambda s: (s[0], KINDS.index(s[2]))) if more else base))
+    return out
 
 
 def spans_of(text: str | None, model: Model, least: float = 0.5) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
-    """The base spans, and all spans: tokens whose likeliest label is a kind of at least that probability are added."""
-    if not text:
-        return [], []
-    base = base_spans(text)
-    nodes = nodes_of(text, base)
-    # without a base span there is nothing to carry to other tokens, and shapes alone are what the patterns have refused
-    if not base or all(x[2] for x in nodes):
-        return base, base
-    p = model.infer(nodes)
-    best = p.argmax(axis=1)
-    more = [(x[0], x[1], KINDS[k - 1]) for x, k, q in zip(nodes, best, p.max(axis=1)) if not x[2] and k and q >= least]
-    return base, sorted(base + more, key=lambda s: (s[0], KINDS.index(s[2])))
+    return spans_of_all([text], model, least)[0]
 
 
 def joined(spans: list[tuple[int, int, str]]) -> str:
@@ -231,9 +271,10 @@ def joined(spans: list[tuple[int, int, str]]) -> str:
 
 
 def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) of every row; the counts and the digest are of base spans.
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans) of every row; the counts of kinds and the digest are of
+    base spans, n_spans is the number of all.
 
-    Two passes over the texts without a shuffle of them: one fits the field, one labels. Null texts are empty and have no span.
+    Two passes over the texts without a shuffle of them: one fits the field, one labels, on every document. Null texts are empty and have no span.
     Null ids and repeated rows are labelled like others; an empty table gives an empty result.
     """
     small_batches(docs.sparkSession)
@@ -242,10 +283,10 @@ def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def run(batches):
         for batch in batches:
-            made = [spans_of(t, shared.value) for t in batch.column("text").to_pylist()]
+            made = spans_of_all(batch.column("text").to_pylist(), shared.value)
             counts = [Counter(k for _, _, k in b) for b, _ in made]
             cols = [pa.array([c[k] for c in counts], pa.int64()) for k in KINDS]
             digest = pa.array([hashlib.sha256(joined(b).encode()).hexdigest() for b, _ in made], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *cols, digest, pa.array([joined(s) for _, s in made], pa.string())], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *cols, digest, pa.array([joined(s) for _, s in made], pa.string()), pa.array([len(s) for _, s in made], pa.int64())], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_spans"])
 
-    return rows.mapInArrow(run, long_schema("doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"))
+    return rows.mapInArrow(run, long_schema("doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long"))

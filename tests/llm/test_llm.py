@@ -172,6 +172,39 @@ def test_base_spans_are_those_of_the_plain_patterns(text):
     assert pii.base_spans(text) == sorted(want, key=lambda s: (s[0], pii.KINDS.index(s[2])))
 
 
+def test_long_parts_of_addresses_and_long_texts(spark):
+    text = "0" * 5000 + ".1.1.1 and 1.2.3." + "9" * 6000 + " 256.1.1.1 " + "@" * 100_000
+    assert pii.base_spans(text) == [(0, 5006, "ip")]
+    got = pii.find_personal(spark.createDataFrame([(1, text, None, None, 0), (2, "7" * 300_000, None, None, 0)], SCHEMA)).orderBy("doc_id").collect()
+    assert (got[0].n_ip, got[0].base_sha256, got[1].n_spans) == (1, hashlib.sha256(b"ip:0:5006").hexdigest(), 0)
+
+
+def test_documents_do_not_change_each_others_labels():
+    rng = random.Random(6)
+    pool = ["+15550109999", "15550109999", "555-010-9999", "(555)0109999", "a.b@c.de", "a.b@x.org", "10.0.0.1", "10.0.0.1:80", "4111111111111111", "4111-1111-1111-1111", "4111111111111112", "99", "word"]
+    texts = [" ".join(rng.choices(pool, k=rng.randint(0, 30))) for _ in range(60)] + [None, ""]
+    skip = np.diag([50.0] * 5)
+    model = pii.Model({pii.shape(t): np.array([5.0, 1, 1, 1, 1]) for t in pool[:-1]}, np.ones((5, 5)), skip)
+    together = pii.spans_of_all(texts, model)
+    assert together == [pii.spans_of(t, model) for t in texts] and any(len(a) > len(b) for b, a in together)
+    # the field runs where no base span is: here the shape alone says what the tokens are
+    sure = pii.Model({pii.shape("99"): np.array([1.0, 0, 0, 0, 200])}, np.ones((5, 5)), skip)
+    assert pii.spans_of("at 99 or 98", sure) == ([], [(3, 5, "phone"), (9, 11, "phone")])
+
+
+def test_marginals_on_a_tree_are_exact():
+    """Three nodes in a chain: sums over all labellings."""
+    rng = np.random.default_rng(3)
+    model = pii.Model({"s": rng.random(5) * 9, "t": rng.random(5) * 9}, rng.random((5, 5)) * 9, rng.random((5, 5)) * 9)
+    nodes = [(0, 1, None, "s", ("", "")), (2, 3, None, "t", ("", "")), (4, 5, None, "s", ("", ""))]
+    want = np.zeros((3, 5))
+    for y in itertools.product(range(5), repeat=3):
+        p = np.exp(sum(model.shape[n[3]][k] for n, k in zip(nodes, y))) * model.pairs[0][y[0], y[1]] * model.pairs[0][y[1], y[2]]
+        for i, k in enumerate(y):
+            want[i, k] += p
+    assert np.allclose(model.infer([nodes])[0], want / want.sum(axis=1, keepdims=True), atol=2e-3)
+
+
 def test_luhn_and_repeats():
     assert pii.luhn("4111111111111111") and not pii.luhn("4111111111111112")
     shapes = {pii.shape("99"): np.array([50.0, 0, 0, 0, 0]), pii.shape("+15550109999"): np.array([0, 0, 0, 0, 50.0]), pii.shape("15550109999"): np.array([5, 0, 0, 0, 4.0])}
