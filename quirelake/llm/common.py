@@ -38,6 +38,12 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def released(spark: SparkSession, path: str) -> None:
+    """Delete a staged folder, on whatever file system the shared folder is."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def sized(df: DataFrame, rows: int = 250_000) -> DataFrame:
     """A staged, narrow df (ids and numbers): marked for broadcast if it has at most so many rows, else left to a shuffle join."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
@@ -77,42 +83,64 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BASE = 0x5851F42D4C957F2D
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse modulo 2**64, n at least."""
-    if len(_powers.get("up", ())) < n:
-        n = max(n, 1 << 20)
-        for key, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            f = np.full(n, base, dtype=np.uint64)
-            f[0] = 1
-            _powers[key] = np.multiply.accumulate(f)
-    return _powers["up"], _powers["down"]
+#: Two primes under 2**31, and a base for each. A prime modulus, as long words with a regular structure have equal
+#: polynomial hashes modulo a power of two.
+PRIMES, BASES = (2147483647, 2147483629), (1270513943, 1824019577)
+_powers: list[np.ndarray] = []
+_LOW = np.arange(1, 257, dtype=np.uint64)
+_LOW[65:91] = _LOW[97:123]
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: Bytes that are hashed at once, but for a longer word.
+SEGMENT = 1 << 20
 
 
-def _byte_table() -> np.ndarray:
-    t = splitmix(256, 11)
-    t[65:91] = t[97:123]
-    return t
+def _power_tables(n: int) -> list[np.ndarray]:
+    """base**i modulo prime, for n values of i at least, by doubling."""
+    if not _powers:
+        _powers.extend(np.ones(1, dtype=np.uint64) for _ in PRIMES)
+    for k, (p, b) in enumerate(zip(PRIMES, BASES)):
+        while len(_powers[k]) < n:
+            _powers[k] = np.concatenate([_powers[k], _powers[k] * np.uint64(pow(b, len(_powers[k]), p)) % np.uint64(p)])
+    return _powers
 
 
-_BYTES = _byte_table()
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+def _hashes(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of buf, and where they start."""
+    edge = np.diff(_SPACE[buf].astype(np.int8), prepend=np.int8(1), append=np.int8(1))
+    starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    if not len(starts):
+        return np.zeros(0, dtype=np.uint64), starts
+    sizes = ends - starts
+    firsts = np.cumsum(sizes) - sizes
+    at = np.arange(int(sizes.sum())) - np.repeat(firsts, sizes)
+    value = _LOW[buf[at + np.repeat(starts, sizes)]]
+    parts = []
+    for p, up in zip(PRIMES, _power_tables(int(sizes.max()))):
+        term = value * up[at]
+        if sizes.max() >= 1 << 24:  # else the sums of 39-bit terms fit
+            term %= np.uint64(p)
+        parts.append(np.add.reduceat(term, firsts) % np.uint64(p))
+    with np.errstate(over="ignore"):
+        return mix64(mix64((parts[0] << np.uint64(31)) | parts[1]) + sizes.astype(np.uint64)), starts
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of all texts after lower-casing A-Z, and for each text the index after its last word."""
     buf = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
-    up, down = _power_tables(len(buf) + 1)
-    edge = np.diff(_SPACE[buf].astype(np.int8), prepend=np.int8(1))
-    starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    with np.errstate(over="ignore"):
-        sums = np.zeros(len(buf) + 1, dtype=np.uint64)
-        np.cumsum(_BYTES[buf] * up[: len(buf)], out=sums[1:])
-        h = mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    found, first = [], 0
+    while first < len(buf):
+        last = min(first + SEGMENT, len(buf))
+        if last < len(buf) and not _SPACE[buf[last]]:  # cut where a word ends
+            ends = np.flatnonzero(_SPACE[buf[first:last]])
+            while not len(ends):
+                more = np.flatnonzero(_SPACE[buf[last : last + SEGMENT]])
+                ends, last = (more + last - first, last) if len(more) else (more, last + SEGMENT)
+            last = first + int(ends[-1]) + 1 if ends[-1] < SEGMENT else first + int(ends[0]) + 1
+        h, starts = _hashes(buf[first:last])
+        found.append((h, starts + first))
+        first = last
+    h, starts = (np.concatenate(x) for x in zip(*found))
     stops = np.cumsum(np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts)))
     return h, np.searchsorted(starts, stops)
 

@@ -17,7 +17,7 @@ HASHES, ROWS, BITS = 80, 4, 4
 LANES = 64 // BITS
 #: Estimates this many standard errors under the threshold are still confirmed.
 SLACK = 4.5
-#: A bucket of at most SMALL members has all its candidates confirmed at once; larger ones go by blocks of BLOCK members.
+#: Members of unlike components meet by pairs in buckets of at most SMALL members, and by blocks of BLOCK members in larger ones.
 SMALL, BLOCK = 8, 1024
 
 
@@ -101,41 +101,17 @@ def _signatures(width: int):
     return run
 
 
-def _pairs_of_small(ids, n, sig, first, limit, floor):
-    """All candidates of many small buckets at once: members that stand d places apart, for each d."""
-    out = []
-    for d in range(1, SMALL):
-        i = np.flatnonzero(first[:-d] == first[d:]) if d < len(ids) else np.zeros(0, dtype=np.int64)
-        if not len(i):
-            break
-        j = i + d
-        i, j = (x[np.minimum(n[i], n[j]) >= floor * np.maximum(n[i], n[j])] for x in (i, j))
-        ok = unequal(sig[i], sig[j]) <= limit
-        out.append((ids[i[ok]], ids[j[ok]]))
-    return out
+def _estimated(limit: int, floor: float):
+    """Of the pairs (a, b, n_a, n_b, sig_a, sig_b) those that may be similar enough, with the number of unequal lanes."""
 
+    def run(batches):
+        for batch in batches:
+            n_a, n_b = (batch.column(c).to_numpy() for c in ("n_a", "n_b"))
+            differ = unequal(_signs(batch, "sig_a"), _signs(batch, "sig_b"))
+            ok = (differ <= limit) & (np.minimum(n_a, n_b) >= floor * np.maximum(n_a, n_b))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(differ)], ["a", "b", "differ"]).filter(pa.array(ok))
 
-def _forest(cost: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of the candidates (cost < 255) that prefers the most similar ones; Boruvka's rounds on a block."""
-    n, edges = len(cost), []
-    label = np.arange(n)
-    while True:
-        open_ = np.where(label[:, None] == label[None, :], 255, cost)
-        best = open_.argmin(axis=1)
-        value = open_[np.arange(n), best]
-        if value.min(initial=255) == 255:
-            return edges
-        merged = False
-        for i in np.lexsort((best, np.arange(n), value)):
-            if value[i] == 255:
-                break
-            a, b = label[i], label[best[i]]
-            if a != b:
-                label[label == b] = a
-                edges.append((i, int(best[i])))
-                merged = True
-        if not merged:
-            return edges
+    return run
 
 
 def _by_group(keys: tuple[str, ...], done):
@@ -167,50 +143,51 @@ def _groups(table: pa.Table, keys: tuple[str, ...]) -> tuple[np.ndarray, np.ndar
     return new, np.diff(np.append(new, table.num_rows))
 
 
-def _signs(table: pa.Table, column: str = "sig") -> np.ndarray:
+def _signs(table, column: str = "sig") -> np.ndarray:
     return np.frombuffer(b"".join(table.column(column).to_pylist()), dtype=np.uint64).reshape(table.num_rows, -1)
 
 
-KEYS = ("key", "bi", "bj")
+KEYS = ("key", "kind", "bi", "bj")
+
 
+def _near(ids, n, comp, major, sig, kind, limit, floor):
+    """Of a block (i, the places after it of unlike components that may be similar enough); in a block of kind 0 members of the
+    major component meet the others alone, as those meet each other elsewhere."""
+    for i in range(len(ids) - 1):
+        ok = (comp[i + 1 :] != comp[i]) & (np.minimum(n[i], n[i + 1 :]) >= floor * np.maximum(n[i], n[i + 1 :]))
+        if not kind:
+            ok &= major[i + 1 :] != major[i]
+        j = np.flatnonzero(ok) + i + 1
+        j = j[unequal(sig[j], sig[i]) <= limit]
+        if len(j):
+            yield i, j
 
-def _candidates(limit: int, floor: float):
-    """Every candidate pair of small buckets, and of each block of a large one a spanning forest of its candidates."""
 
-    def large(ids, n, sig):
-        cost = np.full((len(ids), len(ids)), 255, dtype=np.uint8)
-        for i in range(len(ids) - 1):
-            differ = unequal(sig[i + 1 :], sig[i])
-            ok = (differ <= limit) & (np.minimum(n[i], n[i + 1 :]) >= floor * np.maximum(n[i], n[i + 1 :]))
-            cost[i, i + 1 :] = np.where(ok, differ, 255)
-        edges = np.array(_forest(np.minimum(cost, cost.T)), dtype=np.int64).reshape(-1, 2)
-        return ids[edges[:, 0]], ids[edges[:, 1]]
+def _worth_a_look(limit: int, floor: float):
+    """(key, node): members of blocks that have a candidate in another component."""
 
     def done(table):
-        ids, n, sig = table.column("node").to_numpy(), table.column("n").to_numpy(), _signs(table)
-        new, sizes = _groups(table, KEYS)
-        few = np.repeat(sizes <= SMALL, sizes)
-        out = _pairs_of_small(ids[few], n[few], sig[few], np.repeat(np.arange(len(new)), sizes)[few], limit, floor)
-        for g in np.flatnonzero(sizes > SMALL):
-            s = slice(new[g], new[g] + sizes[g])
-            out.append(large(ids[s], n[s], sig[s]))
-        a, b = (np.concatenate([x[k] for x in out]) if out else np.zeros(0, dtype=np.int64) for k in (0, 1))
-        ab = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-        ab = ab[:, ab[0] != ab[1]]
-        return pa.RecordBatch.from_arrays([pa.array(ab[0], pa.int64()), pa.array(ab[1], pa.int64())], ["a", "b"])
+        ids, n, comp, major, kind = (table.column(c).to_numpy() for c in ("node", "n", "comp", "major", "kind"))
+        sig, keys = _signs(table), table.column("key").to_numpy()
+        seen = np.zeros(len(ids), dtype=bool)
+        for first, size in zip(*_groups(table, KEYS)):
+            s = slice(first, first + size)
+            for i, j in _near(ids[s], n[s], comp[s], major[s], sig[s], kind[first], limit, floor):
+                seen[first + i] = seen[first + j] = True
+        return pa.RecordBatch.from_arrays([pa.array(keys[seen], pa.int64()), pa.array(ids[seen], pa.int64())], ["key", "node"])
 
     return _by_group(KEYS, done)
 
 
 def _links_of_apart(limit: int, threshold: float):
-    """Of each block of a large bucket, links that join what isn't connected yet. The members bring their full sets, so
-    candidates are confirmed here and no pair leaves the task but the links of a spanning forest.
+    """Of each block links that join what isn't connected yet. The members bring their full sets, so candidates are confirmed here
+    and no pair leaves the task but the links of a spanning forest.
 
     A pair that shares several bands is looked at in the first of them alone.
     """
     top = round(threshold * 100)
 
-    def block(ids, n, comp, sig, bands, sets, key):
+    def block(ids, n, comp, major, sig, bands, sets, key, kind):
         parent = {c: c for c in set(comp.tolist())}
 
         def root(c):
@@ -224,13 +201,9 @@ def _links_of_apart(limit: int, threshold: float):
         mark = np.zeros(int(local.max()) + 1, dtype=bool)
         place = int(np.flatnonzero(bands[0] == key)[0])
         out = []
-        for i in range(len(ids) - 1):
-            j = np.flatnonzero((comp[i + 1 :] != comp[i]) & (np.minimum(n[i], n[i + 1 :]) >= threshold * np.maximum(n[i], n[i + 1 :]))) + i + 1
-            j = j[unequal(sig[j], sig[i]) <= limit]
-            if place and len(j):
+        for i, j in _near(ids, n, comp, major, sig, kind, limit, threshold):
+            if place:
                 j = j[~(bands[j, :place] == bands[i, :place]).any(axis=1)]
-            if not len(j):
-                continue
             mark[local[starts[i] : stops[i]]] = True
             for k in j:
                 common = int(np.count_nonzero(mark[local[starts[k] : stops[k]]]))
@@ -241,7 +214,7 @@ def _links_of_apart(limit: int, threshold: float):
         return out
 
     def done(table):
-        ids, n, comp = (table.column(c).to_numpy() for c in ("node", "n", "comp"))
+        ids, n, comp, major, kind = (table.column(c).to_numpy() for c in ("node", "n", "comp", "major", "kind"))
         sig, keys = _signs(table), table.column("key").to_numpy()
         bands = np.array(table.column("bands").to_pylist(), dtype=np.int64)
         sets = [np.frombuffer(x, dtype=np.uint64) for x in table.column("set").to_pylist()]
@@ -249,13 +222,32 @@ def _links_of_apart(limit: int, threshold: float):
         for first, size in zip(*_groups(table, KEYS)):
             s = slice(first, first + size)
             if size > 1 and (comp[s] != comp[first]).any():
-                out += block(ids[s], n[s], comp[s], sig[s], bands[s], sets[s], keys[first])
+                out += block(ids[s], n[s], comp[s], major[s], sig[s], bands[s], sets[s], keys[first], kind[first])
         ab = np.array(out, dtype=np.int64).reshape(-1, 2)
         return pa.RecordBatch.from_arrays([pa.array(ab.min(axis=1), pa.int64()), pa.array(ab.max(axis=1), pa.int64())], ["a", "b"])
 
     return _by_group(KEYS, done)
 
 
+def _dealt(members: DataFrame) -> DataFrame:
+    """members (key, node, comp) -> (*KEYS, node, comp, major): blocks in which all members of unlike components of a key meet.
+
+    Of each key the largest component is the major one: its members meet the others, block by block (kind 0), but not each other; the
+    others meet each other (kind 1). With m members of the major component and s others these are m * s / BLOCK + s * (m + s) / BLOCK
+    rows and a row for each member at least: in proportion to the bucket as long as m or s fit a block.
+    """
+    parts = members.groupBy("key", "comp").agg(F.count("*").alias("n_comp"))
+    tops = parts.groupBy("key").agg(F.max(F.struct("n_comp", "comp")).alias("top"), F.sum("n_comp").alias("size"))
+    tops = tops.select("key", F.col("top.comp").alias("top"), F.ceil(F.col("top.n_comp") / BLOCK).cast("int").alias("m"), F.ceil((F.col("size") - F.col("top.n_comp")) / BLOCK).cast("int").alias("s"))
+    rows = members.join(tops, "key").withColumn("major", F.col("comp") == F.col("top"))
+    own = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.when(F.col("major"), F.col("m")).otherwise(F.col("s"))).cast("int"))
+    every = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    cell = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.cast("int").alias("bi"), j.cast("int").alias("bj"))
+    mine = F.col("own")
+    cells = F.when(F.col("major"), F.transform(every("s"), lambda j: cell(0, mine, j))).otherwise(F.concat(F.transform(every("m"), lambda i: cell(0, i, mine)), F.transform(every("s"), lambda j: cell(1, F.least(mine, j), F.greatest(mine, j)))))
+    return own.withColumn("cell", F.explode(cells)).select("key", "cell.kind", "cell.bi", "cell.bj", "node", "comp", "major")
+
+
 def _sets(width: int):
     """(node, set): the full shingle set of each text, if it is that of its class."""
 
@@ -302,11 +294,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, id_
 
     1. One pass over the texts: distinct shingles, HASHES minima, the low BITS of each packed, and a key for each band of ROWS.
        At a similarity of 0.8 a pair shares no band in under 3 of 100,000 cases.
-    2. Equal sets are one class, its node the smallest id. Classes that share a band key are a bucket. In a bucket, bit counts
-       of the packed signatures estimate the similarity; what is within SLACK standard errors of the threshold is confirmed on
-       the full sets. Large buckets are dealt in blocks. They first name a spanning forest of candidates; then members that
-       are still apart meet with their full sets, so that no link is lost and a group isn't expanded to pairs.
-    3. Components of the confirmed links.
+    2. Equal sets are one class, its node the smallest id. Classes that share a band key are a bucket. Each member is paired with the
+       smallest one of its bucket; bit counts of the packed signatures estimate the similarity, and what is within SLACK standard
+       errors of the threshold is confirmed on the full sets: first each member's most similar pair, then those of the
+       others that still join two components. So a bucket costs its length.
+    3. Buckets that then hold several components: there members of unlike components meet, by pairs in small buckets, else in
+       blocks, first with their signatures, then those that have candidates with their full sets. No link is lost and a
+       group isn't expanded to pairs; only members that are alike by band but never linked cost more than their number.
+    4. Components of the confirmed links.
 
     Words: runs without 0x20 and 0x09-0x0D, A-Z lower-cased. Texts with fewer words than width: the whole sequence is the one
     shingle. Null texts and texts without words: 0 shingles, linked with nothing. Rows that repeat an id are one
@@ -320,49 +315,73 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, id_
     classes = staged(known.groupBy("cls").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "classes")
 
     keyed = classes.select("node", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    shared = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("least")).where("size > 1")
     met = staged(keyed.join(shared, "key"), "met")
     limit = most_unequal(threshold)
-    signs = classes.select(F.col("node").alias("s_node"), "n", "sig")
-
-    def dealt(members: DataFrame) -> DataFrame:
-        """members (key, size, node, ..): a row for each pair of blocks that the member is in."""
-        blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-        own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-        out = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        return out.withColumn("bi", F.least("own", "other")).withColumn("bj", F.greatest("own", "other")).drop("own", "other", "size")
-
-    def grouped(rows: DataFrame) -> DataFrame:
-        return rows.repartition(*KEYS).sortWithinPartitions(*KEYS, "node")
-
     pair_schema = long_schema("a long, b long")
     class_of = classes.select("node", "cls")
+    signs = lambda s: classes.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("sig").alias(f"sig_{s}"))
+
+    def likely(pairs: DataFrame) -> DataFrame:
+        """pairs (a, b) -> those whose estimate is near the threshold, with differ."""
+        full = pairs.join(signs("b"), "b").join(signs("a"), "a").select("a", "b", "n_a", "n_b", "sig_a", "sig_b")
+        return full.mapInArrow(_estimated(limit, threshold), long_schema("a long, b long, differ long"))
 
     def texts_of(nodes: DataFrame, tag: str) -> DataFrame:
         """nodes (node) -> (node, cls, text): a text of each class."""
         named = sized(staged(nodes.join(class_of, "node").select("node", "cls"), f"nodes-{tag}"))
         return rows.where(F.col("doc_id").isNotNull()).join(named, F.col("doc_id") == F.col("node")).select("node", "cls", "text")
 
-    met_signs = dealt(met).join(signs, F.col("node") == F.col("s_node")).select(*KEYS, "node", "n", "sig")
-    pairs = staged(grouped(met_signs).mapInArrow(_candidates(limit, threshold), pair_schema).distinct(), "pairs")
-    texts = texts_of(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct(), "pairs")
-    texts = staged(texts.dropDuplicates(["node", "cls"]), "texts")
-    b = texts.select(F.col("node").alias("b"), F.col("cls").alias("cls_b"), F.col("text").alias("text_b"))
-    a = texts.select(F.col("node").alias("a"), F.col("cls").alias("cls_a"), F.col("text").alias("text_a"))
-    both = pairs.join(b, "b").join(a, "a").select("a", "b", "cls_a", "cls_b", "text_a", "text_b")
-    links = staged(both.mapInArrow(_confirm(width, threshold), long_schema("a long, b long, ok boolean")).where("ok").select("a", "b"), "links")
+    def confirmed(pairs: DataFrame, tag: str) -> DataFrame:
+        """Those of the staged pairs (a, b) whose full sets are similar enough."""
+        if pairs.isEmpty():
+            return pairs
+        texts = texts_of(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct(), tag)
+        texts = staged(texts.dropDuplicates(["node", "cls"]), f"texts-{tag}")
+        b = texts.select(F.col("node").alias("b"), F.col("cls").alias("cls_b"), F.col("text").alias("text_b"))
+        a = texts.select(F.col("node").alias("a"), F.col("cls").alias("cls_a"), F.col("text").alias("text_a"))
+        both = pairs.join(b, "b").join(a, "a").select("a", "b", "cls_a", "cls_b", "text_a", "text_b")
+        return staged(both.mapInArrow(_confirm(width, threshold), long_schema("a long, b long, ok boolean")).where("ok").select("a", "b"), f"links-{tag}")
+
+    def unlike(pairs: DataFrame, comps: DataFrame) -> DataFrame:
+        """Those of the pairs (a, b) that comps doesn't connect."""
+        side = lambda s: comps.select(F.col("node").alias(s), F.col("comp").alias(f"comp_{s}"))
+        named = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
+        return named.where(F.coalesce("comp_a", "a") != F.coalesce("comp_b", "b")).select("a", "b")
+
+    def members_apart(buckets: DataFrame, comps: DataFrame) -> DataFrame:
+        """(key, node, comp) of the buckets that hold several components."""
+        named = buckets.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        apart = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+        return named.join(apart, "key").select("key", "node", "comp")
+
+    stars = staged(likely(met.where("node != least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()), "stars")
+    firsts = stars.groupBy("b").agg(F.min(F.struct("differ", "a")).alias("x")).select(F.col("x.a").alias("a"), "b")
+    links = confirmed(staged(firsts, "firsts"), "firsts")
     comps = components(links)
 
-    # what large buckets have left: members that the forest hasn't connected
-    wide = met.where(F.col("size") > SMALL).join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    apart = wide.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    wide = staged(wide.join(apart, "key"), "apart")
-    sets = texts_of(wide.select("node").distinct(), "apart").mapInArrow(_sets(width), long_schema("node long, set binary")).dropDuplicates(["node"])
-    full = classes.select("node", "n", "sig", "bands").join(sets, "node")
-    more = grouped(dealt(wide).join(full, "node").select(*KEYS, "node", "comp", "n", "sig", "bands", "set"))
-    late = staged(more.mapInArrow(_links_of_apart(limit, threshold), pair_schema), "late-links")
-    if not late.isEmpty():
-        comps = components(links.union(late))
+    few = members_apart(met.where(F.col("size").between(3, SMALL)), comps)
+    other = few.select("key", F.col("node").alias("b"), F.col("comp").alias("comp_b"))
+    pairs = few.select("key", F.col("node").alias("a"), "comp").join(other, "key").where("a < b AND comp != comp_b").select("a", "b").distinct()
+    others = unlike(stars.select("a", "b"), comps).union(likely(pairs.join(stars, ["a", "b"], "left_anti")).select("a", "b"))
+    # the most similar pairs that weren't confirmed aren't tried again
+    more = confirmed(staged(others.distinct().join(firsts, ["a", "b"], "left_anti"), "others"), "others")
+    if not more.isEmpty():
+        links = links.union(more)
+        comps = components(links)
+
+    wide = staged(members_apart(met.where(F.col("size") > SMALL), comps), "apart")
+    if not wide.isEmpty():
+        grouped = lambda rows: rows.repartition(*KEYS).sortWithinPartitions(*KEYS, "node")
+        looked = _dealt(wide).join(classes.select("node", "n", "sig"), "node").select(*KEYS, "node", "comp", "major", "n", "sig")
+        seen = staged(grouped(looked).mapInArrow(_worth_a_look(limit, threshold), long_schema("key long, node long")).distinct(), "seen")
+        some = staged(wide.join(seen, ["key", "node"]), "some")
+        sets = texts_of(some.select("node").distinct(), "apart").mapInArrow(_sets(width), long_schema("node long, set binary")).dropDuplicates(["node"])
+        full = classes.select("node", "n", "sig", "bands").join(sets, "node")
+        meet = grouped(_dealt(some).join(full, "node").select(*KEYS, "node", "comp", "major", "n", "sig", "bands", "set"))
+        late = staged(meet.mapInArrow(_links_of_apart(limit, threshold), pair_schema), "late-links")
+        if not late.isEmpty():
+            comps = components(links.union(late))
     named = class_of.join(comps, "node", "left").select("cls", F.coalesce("comp", "node").alias("comp"))
     out = signed.select("doc_id", "n_shingles", "cls").join(named, "cls", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id"))

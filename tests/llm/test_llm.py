@@ -143,6 +143,60 @@ def test_near_duplicates_are_those_of_brute_force(spark, k):
     assert got == {i: (len(s), root(i)) for i, s in enumerate(sets)}
 
 
+def test_long_words_with_a_regular_structure_are_told_apart(spark):
+    """Thue-Morse words and their complements have equal polynomial hashes modulo a power of two."""
+    word = "a"
+    while len(word) < 4096:
+        word += word.translate({97: 98, 98: 97})
+    flip = word.translate({97: 98, 98: 97})
+    rows = [(1, word), (2, flip), (3, f"x {word} y"), (4, f"x {flip} y"), (5, word.upper())]
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=2).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 4, 5: 1}
+
+
+def test_words_are_hashed_alike_in_every_segment(monkeypatch):
+    rng = random.Random(4)
+    texts = [" ".join("ab"[rng.random() < 0.5] * rng.choice([1, 2, 3, 40, 300]) for _ in range(rng.randint(0, 30))).encode() for _ in range(40)] + [b"", b" \n ", b"x" * 5000]
+    want = common.word_hashes(texts)
+    seen = {}
+    for t, first, stop in zip(texts, [0, *want[1]], want[1]):
+        words = t.split()
+        assert stop - first == len(words)
+        for w, h in zip(words, want[0][first:stop].tolist()):
+            assert seen.setdefault(w, h) == h
+    assert len(set(seen.values())) == len(seen)
+    for n in (1, 7, 64, 1000):
+        monkeypatch.setattr(common, "SEGMENT", n)
+        got = common.word_hashes(texts)
+        assert (got[0] == want[0]).all() and (got[1] == want[1]).all()
+
+
+def test_buckets_of_unlinked_members_lose_no_link(spark, monkeypatch):
+    """Texts that share half their words meet in large buckets without being similar; some pairs among them are."""
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    rng = random.Random(12)
+    common_part = [f"c{i}" for i in range(60)]
+    rows, sets = [], []
+    for i in range(150):
+        own = [f"w{rng.randint(0, 400)}" for _ in range(rng.choice([6, 10, 25]))]
+        rows.append((i, " ".join(common_part + own)))
+    sets = [shingles(t, 2) for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in itertools.combinations(range(len(rows)), 2):
+        if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+            x, y = sorted((root(a), root(b)))
+            parent[y] = x
+    want = {i: root(i) for i in range(len(rows))}
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=2).collect()}
+    assert len(set(want.values())) > 20 and got == want
+
+
 def test_b_bit_estimates():
     rng = np.random.default_rng(5)
     a = np.unique(rng.integers(0, 1 << 63, 2000, dtype=np.uint64))
