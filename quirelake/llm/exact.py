@@ -115,13 +115,15 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     small_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("rk"), text.alias("text"))
-    prints = staged(prints_of(rows, huge_chars), "prints")
+    # a number for each row, fixed once it is written: salts of rows that are the same in all else
+    prints = staged(prints_of(rows, huge_chars).withColumn("no", F.monotonically_increasing_id()), "prints")
     key = ["print", "length"]
     groups = prints.groupBy(*key).agg(F.count("*").alias("n"), F.max(F.struct("doc_id", "rk")).alias("top")).where("n > 1")
     groups = staged(groups.select(*key, "n", F.col("top.doc_id").alias("top_id"), F.col("top.rk").alias("top_rk")), "groups")
+    placed = staged(prints.join(sized(groups), key, "left"), "placed")
+    grouped = placed.where(F.col("n").isNotNull())
 
-    members = prints.join(groups, key).select("doc_id", "rk", *key, "n", "top_id", "top_rk").dropDuplicates(["doc_id", "rk"])
-    members = staged(members, "members")
+    members = staged(grouped.select("doc_id", "rk", *key, "n", "top_id", "top_rk").dropDuplicates(["doc_id", "rk"]), "members")
     salts = F.ceil(F.col("n") / salt_rows).cast("int")
     found = rows.join(sized(members).withColumnRenamed("doc_id", "m_id").withColumnRenamed("rk", "m_rk"), F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("rk") == F.col("m_rk")))
     found = found.select("doc_id", "rk", "text", *key, "n", (F.col("doc_id").eqNullSafe(F.col("top_id")) & (F.col("rk") == F.col("top_rk"))).alias("top"))
@@ -131,8 +133,12 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     checked = stream.mapInArrow(_compare, long_schema("doc_id long, rk long, same boolean"))
     odd = staged(checked.where("not same").select("doc_id", "rk").distinct().withColumn("odd", F.lit(True)), "collided")
 
-    odd = odd.withColumnRenamed("doc_id", "o_id").withColumnRenamed("rk", "o_rk")
-    labelled = prints.join(odd, F.col("doc_id").eqNullSafe(F.col("o_id")) & (F.col("rk") == F.col("o_rk")), "left").withColumn("own", F.when(F.col("odd"), F.col("sha")).otherwise("")).select("doc_id", *key, "own", "sha")
-    final = labelled.groupBy(*key, "own").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    out = labelled.join(final, [*key, "own"])
-    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))
+    odd = sized(odd.withColumnRenamed("doc_id", "o_id").withColumnRenamed("rk", "o_rk"))
+    labelled = grouped.join(odd, F.col("doc_id").eqNullSafe(F.col("o_id")) & (F.col("rk") == F.col("o_rk")), "left").withColumn("own", F.when(F.col("odd"), F.col("sha")).otherwise("")).select("doc_id", *key, "own", "sha", "n", "no")
+    # each group's result meets its rows in as many pieces as the group was compared in
+    final = staged(labelled.groupBy(*key, "own").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"), F.first("n").alias("n")), "kept")
+    pieces = final.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("n")
+    out = labelled.withColumn("salt", F.pmod("no", salts).cast("int")).join(pieces, [*key, "own", "salt"])
+    done = out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))
+    alone = placed.where(F.col("n").isNull())
+    return done.unionByName(alone.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("sha").alias("text_sha256")))

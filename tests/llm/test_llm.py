@@ -104,6 +104,18 @@ def test_huge_texts_are_hashed_in_parts(spark):
     assert got == {1: (3, 3), 2: (3, 3), 3: (3, 3), 4: (4, 1)}
 
 
+def test_hot_groups_of_copies_meet_in_pieces(spark):
+    rng = random.Random(7)
+    rows = [(rng.choice([None, *range(400)]), rng.choice(["Same", "same", "SAME"] * 5 + ["other", "Other", "", None, f"t{i}"]), None, None, 0) for i in range(600)]
+    groups = {}
+    for i, t, *_ in rows:
+        groups.setdefault((t or "").lower(), []).append(i)
+    top = {t: max((i for i in ids if i is not None), default=None) for t, ids in groups.items()}
+    want = sorted(((i, top[x], len(groups[x]), i == top[x], hashlib.sha256(x.encode()).hexdigest()) for i, x in ((i, (t or "").lower()) for i, t, *_ in rows)), key=str)
+    got = exact.exact_groups(spark.createDataFrame(rows, SCHEMA).repartition(5), salt_rows=20).collect()
+    assert sorted(map(tuple, got), key=str) == want
+
+
 def test_equal_prints_of_unequal_texts_are_told_apart(spark, monkeypatch):
     batch = [("a", True), ("a", False), ("b", False)]
     import pyarrow as pa
