@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirelake.llm import exact, minhash, mix, pack, toxicity
@@ -16,28 +18,33 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.drop_toxic(docs, model, threshold=0.3)
 
 
-def _numbered(docs: DataFrame, nulls_first: bool) -> DataFrame:
-    """docs with row_key, a number of each row in the order of doc_id: ids may be null or repeat, these aren't and don't."""
-    first = F.col("doc_id").asc_nulls_first() if nulls_first else F.col("doc_id").asc_nulls_last()
-    return staged(docs.orderBy(first, F.xxhash64("text")).withColumn("row_key", F.monotonically_increasing_id()), "numbered")
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs with row_key, a number of each row that is fixed as it is written: ids may be null or repeat, these aren't and don't."""
+    return staged(docs.withColumn("row_key", F.monotonically_increasing_id()), "numbered")
 
 
-def _without(numbered: DataFrame, dropped: DataFrame, tag: str) -> DataFrame:
-    """numbered without the rows of dropped, whose doc_id are row keys."""
-    gone = sized(staged(dropped.select(F.col("doc_id").alias("gone_key")), tag))
-    return numbered.join(gone, F.col("row_key") == F.col("gone_key"), "left_anti").drop("row_key")
+def _one_of_each(rows: DataFrame, groups: DataFrame, best: Callable[[Column], Column], order: list, tag: str) -> DataFrame:
+    """rows without all but the best row of each group; groups (row_key, group) has the rows of groups of more than one."""
+    ids = sized(staged(groups, f"{tag}-groups"))
+    named = staged(rows.select("row_key", "doc_id").join(ids, "row_key").select("group", F.struct(*order, "row_key").alias("rank")), f"{tag}-ranks")
+    kept = sized(staged(named.groupBy("group").agg(best(F.col("rank")).alias("top")), f"{tag}-kept"))
+    gone = named.join(kept, "group").where("rank != top").select(F.col("rank.row_key").alias("gone_key"))
+    return rows.join(sized(staged(gone, f"{tag}-gone")), F.col("row_key") == F.col("gone_key"), "left_anti").drop("row_key")
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts one row of the largest doc_id stays; null is smaller than any other."""
-    rows = _numbered(docs, nulls_first=True)
-    return _without(rows, exact.exact_groups(rows, id_col="row_key").where("NOT kept"), "exact-gone")
+    rows = _numbered(docs)
+    found = exact.exact_groups(rows, id_col="row_key").where("group_size > 1")
+    return _one_of_each(rows, found.select(F.col("doc_id").alias("row_key"), F.col("keep_id").alias("group")), F.max, ["doc_id"], "exact")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (five words, 0.8) one row of the smallest doc_id stays, of a null one if there is no other."""
-    rows = _numbered(docs, nulls_first=False)
-    return _without(rows, minhash.near_duplicates(rows, width=5, threshold=0.8, id_col="row_key").where("NOT kept"), "near-gone")
+    rows = _numbered(docs)
+    found = staged(minhash.near_duplicates(rows, width=5, threshold=0.8, id_col="row_key").select(F.col("doc_id").alias("row_key"), F.col("component_id").alias("group"), "kept"), "near-found")
+    several = sized(staged(found.where("NOT kept").select("group").distinct(), "near-several"))
+    return _one_of_each(rows, found.join(several, "group", "left_semi").select("row_key", "group"), F.min, [F.col("doc_id").isNull().alias("no_id"), "doc_id"], "near")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
