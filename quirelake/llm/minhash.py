@@ -17,8 +17,9 @@ HASHES, ROWS, BITS = 80, 4, 4
 LANES = 64 // BITS
 #: Estimates this many standard errors under the threshold are still confirmed.
 SLACK = 4.5
-#: Members of unlike components meet by pairs in buckets of at most SMALL members, and by blocks of BLOCK members in larger ones.
-SMALL, BLOCK = 8, 1024
+#: Members of unlike components meet by pairs in buckets of at most SMALL members, and by blocks of BLOCK members in larger ones;
+#: with their full sets, by blocks of about so many shingles if that is less.
+SMALL, BLOCK, BLOCK_SHINGLES = 8, 1024, 1 << 20
 
 
 def minima(sets: list[np.ndarray], hashes: int = HASHES) -> np.ndarray:
@@ -147,98 +148,106 @@ def _signs(table, column: str = "sig") -> np.ndarray:
     return np.frombuffer(b"".join(table.column(column).to_pylist()), dtype=np.uint64).reshape(table.num_rows, -1)
 
 
+def _set_views(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """The sets of a binary column, without copies."""
+    out = []
+    for chunk in column.chunks:
+        ends = np.frombuffer(chunk.buffers()[1], dtype=np.int32)[chunk.offset : chunk.offset + len(chunk) + 1]
+        data = memoryview(chunk.buffers()[2] or b"")
+        out += [np.frombuffer(data[a:b], dtype=np.uint64) for a, b in zip(ends, ends[1:])]
+    return out
+
+
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    """How many values two sorted sets share."""
+    x, y = (x, y) if len(x) < len(y) else (y, x)
+    return int(np.count_nonzero(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x))
+
+
 KEYS = ("key", "kind", "bi", "bj")
 
 
-def _near(ids, n, comp, major, sig, kind, limit, floor):
-    """Of a block (i, the places after it of unlike components that may be similar enough); in a block of kind 0 members of the
-    major component meet the others alone, as those meet each other elsewhere."""
-    for i in range(len(ids) - 1):
-        ok = (comp[i + 1 :] != comp[i]) & (np.minimum(n[i], n[i + 1 :]) >= floor * np.maximum(n[i], n[i + 1 :]))
-        if not kind:
-            ok &= major[i + 1 :] != major[i]
-        j = np.flatnonzero(ok) + i + 1
-        j = j[unequal(sig[j], sig[i]) <= limit]
-        if len(j):
-            yield i, j
+class _Blocks:
+    """The blocks of a table of members, and in each the pairs to look at."""
+
+    def __init__(self, table: pa.Table, limit: int, floor: float):
+        self.ids, self.n, self.comp, self.major, self.kind, self.keys = (table.column(c).to_numpy() for c in ("node", "n", "comp", "major", "kind", "key"))
+        self.sig, self.bands = _signs(table), np.array(table.column("bands").to_pylist(), dtype=np.int64)
+        self.starts, self.sizes, self.limit, self.floor = *_groups(table, KEYS), limit, floor
+
+    def near(self, first: int, size: int):
+        """Of a block (i, the places after it of members of unlike components that may be similar enough, and share no earlier
+        band: there they meet as well). In a block of kind 0 members of the major component meet the others alone."""
+        s = slice(first, first + size)
+        n, comp, major, sig, bands = self.n[s], self.comp[s], self.major[s], self.sig[s], self.bands[s]
+        if size < 2 or (comp == comp[0]).all():
+            return
+        place = int(np.flatnonzero(bands[0] == self.keys[first])[0])
+        for i in range(size - 1):
+            ok = (comp[i + 1 :] != comp[i]) & (np.minimum(n[i], n[i + 1 :]) >= self.floor * np.maximum(n[i], n[i + 1 :]))
+            if not self.kind[first]:
+                ok &= major[i + 1 :] != major[i]
+            j = np.flatnonzero(ok) + i + 1
+            j = j[unequal(sig[j], sig[i]) <= self.limit]
+            if place:
+                j = j[~(bands[j, :place] == bands[i, :place]).any(axis=1)]
+            if len(j):
+                yield first + i, first + j
 
 
 def _worth_a_look(limit: int, floor: float):
     """(key, node): members of blocks that have a candidate in another component."""
 
     def done(table):
-        ids, n, comp, major, kind = (table.column(c).to_numpy() for c in ("node", "n", "comp", "major", "kind"))
-        sig, keys = _signs(table), table.column("key").to_numpy()
-        seen = np.zeros(len(ids), dtype=bool)
-        for first, size in zip(*_groups(table, KEYS)):
-            s = slice(first, first + size)
-            for i, j in _near(ids[s], n[s], comp[s], major[s], sig[s], kind[first], limit, floor):
-                seen[first + i] = seen[first + j] = True
-        return pa.RecordBatch.from_arrays([pa.array(keys[seen], pa.int64()), pa.array(ids[seen], pa.int64())], ["key", "node"])
+        b = _Blocks(table, limit, floor)
+        seen = np.zeros(len(b.ids), dtype=bool)
+        for first, size in zip(b.starts, b.sizes):
+            for i, j in b.near(first, size):
+                seen[i] = seen[j] = True
+        return pa.RecordBatch.from_arrays([pa.array(b.keys[seen], pa.int64()), pa.array(b.ids[seen], pa.int64())], ["key", "node"])
 
     return _by_group(KEYS, done)
 
 
 def _links_of_apart(limit: int, threshold: float):
     """Of each block links that join what isn't connected yet. The members bring their full sets, so candidates are confirmed here
-    and no pair leaves the task but the links of a spanning forest.
-
-    A pair that shares several bands is looked at in the first of them alone.
-    """
+    and no pair leaves the task but the links of a spanning forest."""
     top = round(threshold * 100)
 
-    def block(ids, n, comp, major, sig, bands, sets, key, kind):
-        parent = {c: c for c in set(comp.tolist())}
-
-        def root(c):
-            while parent[c] != c:
-                parent[c] = c = parent[parent[c]]
-            return c
-
-        local = np.unique(np.concatenate(sets), return_inverse=True)[1]
-        stops = np.cumsum([len(x) for x in sets])
-        starts = stops - np.array([len(x) for x in sets])
-        mark = np.zeros(int(local.max()) + 1, dtype=bool)
-        place = int(np.flatnonzero(bands[0] == key)[0])
-        out = []
-        for i, j in _near(ids, n, comp, major, sig, kind, limit, threshold):
-            if place:
-                j = j[~(bands[j, :place] == bands[i, :place]).any(axis=1)]
-            mark[local[starts[i] : stops[i]]] = True
-            for k in j:
-                common = int(np.count_nonzero(mark[local[starts[k] : stops[k]]]))
-                if 100 * common >= top * (n[i] + n[k] - common) and (x := root(comp[i])) != (y := root(comp[k])):
-                    parent[y] = x
-                    out.append((ids[i], ids[k]))
-            mark[local[starts[i] : stops[i]]] = False
-        return out
-
     def done(table):
-        ids, n, comp, major, kind = (table.column(c).to_numpy() for c in ("node", "n", "comp", "major", "kind"))
-        sig, keys = _signs(table), table.column("key").to_numpy()
-        bands = np.array(table.column("bands").to_pylist(), dtype=np.int64)
-        sets = [np.frombuffer(x, dtype=np.uint64) for x in table.column("set").to_pylist()]
-        out = []
-        for first, size in zip(*_groups(table, KEYS)):
-            s = slice(first, first + size)
-            if size > 1 and (comp[s] != comp[first]).any():
-                out += block(ids[s], n[s], comp[s], major[s], sig[s], bands[s], sets[s], keys[first], kind[first])
+        b, sets, out = _Blocks(table, limit, threshold), _set_views(table.column("set")), []
+        for first, size in zip(b.starts, b.sizes):
+            parent = {c: c for c in b.comp[first : first + size].tolist()}
+
+            def root(c):
+                while parent[c] != c:
+                    parent[c] = c = parent[parent[c]]
+                return c
+
+            for i, places in b.near(first, size):
+                for k in places:
+                    if (x := root(b.comp[i])) != (y := root(b.comp[k])):
+                        common = _common(sets[i], sets[k])
+                        if 100 * common >= top * (b.n[i] + b.n[k] - common):
+                            parent[y] = x
+                            out.append((b.ids[i], b.ids[k]))
         ab = np.array(out, dtype=np.int64).reshape(-1, 2)
         return pa.RecordBatch.from_arrays([pa.array(ab.min(axis=1), pa.int64()), pa.array(ab.max(axis=1), pa.int64())], ["a", "b"])
 
     return _by_group(KEYS, done)
 
 
-def _dealt(members: DataFrame) -> DataFrame:
-    """members (key, node, comp) -> (*KEYS, node, comp, major): blocks in which all members of unlike components of a key meet.
+def _dealt(members: DataFrame, shingles: int | None = None) -> DataFrame:
+    """members (key, node, comp, n) -> (*KEYS, node, comp, major): blocks of BLOCK members, or of so many shingles in all, in which all members of unlike components of a key meet.
 
     Of each key the largest component is the major one: its members meet the others, block by block (kind 0), but not each other; the
     others meet each other (kind 1). With m members of the major component and s others these are m * s / BLOCK + s * (m + s) / BLOCK
     rows and a row for each member at least: in proportion to the bucket as long as m or s fit a block.
     """
-    parts = members.groupBy("key", "comp").agg(F.count("*").alias("n_comp"))
-    tops = parts.groupBy("key").agg(F.max(F.struct("n_comp", "comp")).alias("top"), F.sum("n_comp").alias("size"))
-    tops = tops.select("key", F.col("top.comp").alias("top"), F.ceil(F.col("top.n_comp") / BLOCK).cast("int").alias("m"), F.ceil((F.col("size") - F.col("top.n_comp")) / BLOCK).cast("int").alias("s"))
+    heavy = F.sum("n") / shingles if shingles else F.lit(0)
+    parts = members.groupBy("key", "comp").agg(F.count("*").alias("n_comp"), F.greatest(F.count("*") / BLOCK, heavy).alias("need"))
+    tops = parts.groupBy("key").agg(F.max(F.struct("n_comp", "need", "comp")).alias("top"), F.sum("need").alias("need"))
+    tops = tops.select("key", F.col("top.comp").alias("top"), F.ceil("top.need").cast("int").alias("m"), F.ceil(F.col("need") - F.col("top.need") + 1e-9).cast("int").alias("s"))
     rows = members.join(tops, "key").withColumn("major", F.col("comp") == F.col("top"))
     own = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.when(F.col("major"), F.col("m")).otherwise(F.col("s"))).cast("int"))
     every = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
@@ -281,7 +290,7 @@ def _confirm(width: int, threshold: float):
                 if key != (a[i], ca[i]):
                     text = ta[i].as_py()
                     key, kept = (a[i], ca[i]), shingle_sets([b"" if text is None else text.encode("utf-8", "surrogatepass")], width)[0]
-                common = len(np.intersect1d(kept, sets_b[i], assume_unique=True))
+                common = _common(kept, sets_b[i]) if len(kept) and len(sets_b[i]) else 0
                 ok.append(whole * common >= top * (len(kept) + len(sets_b[i]) - common) and common > 0)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(ok)], ["a", "b", "ok"])
 
@@ -370,15 +379,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, id_
         links = links.union(more)
         comps = components(links)
 
-    wide = staged(members_apart(met.where(F.col("size") > SMALL), comps), "apart")
+    wide = staged(members_apart(met.where(F.col("size") > SMALL), comps).join(classes.select("node", "n"), "node"), "apart")
     if not wide.isEmpty():
         grouped = lambda rows: rows.repartition(*KEYS).sortWithinPartitions(*KEYS, "node")
-        looked = _dealt(wide).join(classes.select("node", "n", "sig"), "node").select(*KEYS, "node", "comp", "major", "n", "sig")
-        seen = staged(grouped(looked).mapInArrow(_worth_a_look(limit, threshold), long_schema("key long, node long")).distinct(), "seen")
+        payload = [*KEYS, "node", "comp", "major", "n", "sig", "bands"]
+        looked = grouped(_dealt(wide).join(classes.select("node", "n", "sig", "bands"), "node").select(*payload))
+        seen = staged(looked.mapInArrow(_worth_a_look(limit, threshold), long_schema("key long, node long")).distinct(), "seen")
         some = staged(wide.join(seen, ["key", "node"]), "some")
         sets = texts_of(some.select("node").distinct(), "apart").mapInArrow(_sets(width), long_schema("node long, set binary")).dropDuplicates(["node"])
         full = classes.select("node", "n", "sig", "bands").join(sets, "node")
-        meet = grouped(_dealt(some).join(full, "node").select(*KEYS, "node", "comp", "major", "n", "sig", "bands", "set"))
+        meet = grouped(_dealt(some, BLOCK_SHINGLES).join(full, "node").select(*payload, "set"))
         late = staged(meet.mapInArrow(_links_of_apart(limit, threshold), pair_schema), "late-links")
         if not late.isEmpty():
             comps = components(links.union(late))
