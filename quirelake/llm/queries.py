@@ -117,31 +117,29 @@ l AS (
 t AS (SELECT source, source_size, CASE WHEN k.level IS NULL THEN cap ELSE least(cap, w * k.level) END AS target FROM l, k),
 p AS (
     SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole FROM t
-), m AS (SELECT source, count(*) AS n, sum(size * 1.0::DOUBLE) AS mass FROM d GROUP BY source),
+), e AS (SELECT *, floor(sqrt(size))::BIGINT AS odds FROM d),
+m AS (SELECT source, sum(size * odds)::DOUBLE AS mass FROM e GROUP BY source),
 o AS (
-    SELECT d.*, p.source_size, p.target, p.whole, p.target - p.whole * p.source_size AS rest, m.n,
-           least(0.999::DOUBLE, CASE WHEN m.mass > 0 THEN (p.target - p.whole * p.source_size) * 1.0::DOUBLE / m.mass ELSE 0.0 END) AS p
-    FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source JOIN m ON d.source IS NOT DISTINCT FROM m.source
+    SELECT e.*, p.source_size, p.target, p.whole, p.target - p.whole * p.source_size AS rest,
+           least(0.999::DOUBLE, CASE WHEN m.mass > 0 THEN (p.target - p.whole * p.source_size) * odds / m.mass ELSE 0.0 END) AS p
+    FROM e JOIN p ON e.source IS NOT DISTINCT FROM p.source JOIN m ON e.source IS NOT DISTINCT FROM m.source
 ), q AS (SELECT *, CASE WHEN p > 0 AND size > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS q FROM o),
-g AS (SELECT *, floor(q / (1 + q) * ceil(n / 512.0::DOUBLE)) AS bucket FROM q),
-h AS (SELECT source, bucket, sum(size)::BIGINT AS words, first(rest) AS rest FROM g WHERE q IS NOT NULL GROUP BY source, bucket),
-i AS (SELECT *, coalesce(sum(words) OVER (PARTITION BY source ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM h),
-edge AS (SELECT source, bucket, ahead FROM i WHERE ahead <= rest AND ahead + words > rest),
-j AS (SELECT g.*, edge.bucket AS edge, edge.ahead FROM g LEFT JOIN edge ON g.source IS NOT DISTINCT FROM edge.source),
-f AS (
-    SELECT source, source_size, target, whole, rest,
-           list_reduce(list({'size': size, 'doc_id': doc_id} ORDER BY q, doc_id NULLS FIRST, size),
-               lambda acc, x: {'room': CASE WHEN x.size <= acc.room THEN acc.room - x.size ELSE acc.room END,
-                               'out': list_append(acc.out, {'doc_id': x.doc_id, 'size': x.size, 'more': x.size <= acc.room})},
-               {'room': first(rest - ahead), 'out': []::STRUCT(doc_id BIGINT, size BIGINT, more BOOLEAN)[]}).out AS rows
-    FROM j WHERE bucket = edge GROUP BY source, source_size, target, whole, rest
+l1 AS (
+    SELECT source_size, target, whole, first(rest) AS rest, list({'x': q / (1 + q), 'doc_id': doc_id, 'size': size} ORDER BY q / (1 + q), doc_id NULLS FIRST, size) AS items
+    FROM q WHERE q IS NOT NULL GROUP BY source, source_size, target, whole
+), f1 AS (SELECT *, list_reduce(items, FILL, {'room': rest, 'out': []::OUT}) AS one FROM l1),
+f2 AS (
+    SELECT *, CASE WHEN rest >= 1 AND one.room > 0.001::DOUBLE * target THEN list_filter(one.out, lambda i: NOT i.more AND i.item.size <= rest)[1].item END AS lead FROM f1
+), f3 AS (
+    SELECT *, CASE WHEN lead IS NOT NULL THEN list_reduce(list_filter(items, lambda i: i IS DISTINCT FROM lead), FILL, {'room': rest - lead.size, 'out': []::OUT}) END AS two FROM f2
+), r1 AS (
+    SELECT source_size, target, whole, CASE WHEN two.room < one.room THEN list_concat(two.out, list_transform(list_filter(items, lambda i: i IS NOT DISTINCT FROM lead), lambda i, k: {'item': i, 'more': k = 1})) ELSE one.out END AS rows FROM f3
 ), x AS (
-    SELECT r.doc_id, r.size, source_size, target, whole, rest, r.more FROM (SELECT *, unnest(rows) AS r FROM f)
-    UNION ALL
-    SELECT doc_id, size, source_size, target, whole, rest, q IS NOT NULL AND (edge IS NULL OR bucket < edge) FROM j WHERE bucket IS DISTINCT FROM edge OR edge IS NULL
+    SELECT r.item.doc_id AS doc_id, r.item.size AS size, source_size, target, whole, r.more AS more FROM (SELECT *, unnest(rows) AS r FROM r1)
+    UNION ALL SELECT doc_id, size, source_size, target, whole, false FROM q WHERE q IS NULL
 )
-SELECT doc_id, size, source_size, target, (size * (whole + CASE WHEN more AND rest > 0 THEN 1 ELSE 0 END))::BIGINT AS taken FROM x
-"""
+SELECT doc_id, size, source_size, target, (size * (whole + CASE WHEN more THEN 1 ELSE 0 END))::BIGINT AS taken FROM x
+""".replace("FILL", "lambda acc, i: {'room': CASE WHEN i.size <= acc.room THEN acc.room - i.size ELSE acc.room END, 'out': list_append(acc.out, {'item': i, 'more': i.size <= acc.room})}").replace("OUT", "STRUCT(item STRUCT(x DOUBLE, doc_id BIGINT, size BIGINT), more BOOLEAN)[]")
 
 _OP3 = rf"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWERED}, '[^\x20\x09-\x0D]+') AS w FROM documents),

@@ -87,6 +87,92 @@ def test_mix_meets_its_targets(spark):
     assert (got.taken <= 2 * got["size"]).all()
 
 
+def greedy(rows, odds, share=1.5, most=2.0, seed="mix"):
+    """The rule of the mix by plain loops: sorted (doc_id, size, taken), and by source the target and the words taken."""
+    sizes = {}
+    for _, n, s in rows:
+        sizes[s] = sizes.get(s, 0) + n
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: mix.WEIGHTS[k % 3] for k, s in enumerate(names)}
+    goal, capped = sum(sizes.values()) * share, set()
+    while True:
+        free = [s for s in names if s not in capped]
+        level = (goal - sum(most * sizes[s] for s in capped)) / max(1, sum(weight[s] for s in free))
+        over = {s for s in free if most * sizes[s] / weight[s] < level}
+        if not over:
+            break
+        capped |= over
+    target = {s: min(most * sizes[s], weight[s] * level) for s in names} if free else {s: most * sizes[s] for s in names}
+    out, took = [], {}
+    for s in names:
+        whole = int(target[s] // sizes[s]) if sizes[s] else 0
+        room = target[s] - whole * sizes[s]
+        mass = sum(n * odds(n) for _, n, x in rows if x == s)
+        ranked = []
+        for i, n, x in rows:
+            if x == s:
+                u = (int(hashlib.md5(f"{'' if i is None else i}:{seed}".encode()).hexdigest()[:12], 16) + 0.5) / 16**12
+                p = min(0.999, room * odds(n) / mass) if mass else 0
+                q = (u / (1 - u)) / (p / (1 - p)) if p > 0 and n else None
+                ranked.append((q is None, 0 if q is None else q / (1 + q), i is not None, i or 0, n, i))
+        order, fills = [(i, n, x) for no, x, _, _, n, i in sorted(ranked) if not no], []
+        out += [(i, n, n * whole) for no, _, _, _, n, i in ranked if no]
+
+        def fill(items, room):
+            made = []
+            for i, n, _ in items:
+                made.append((i, n, n <= room))
+                room -= n * made[-1][2]
+            return room, made
+
+        miss, made = fill(order, room)
+        passed = [x for x, y in zip(order, made) if not y[2] and x[1] <= room]
+        if passed and room >= 1 and miss > 0.001 * target[s]:
+            lead = passed[0]
+            miss2, made2 = fill([x for x in order if x != lead], room - lead[1])
+            if miss2 < miss:
+                miss, made = miss2, made2 + [(lead[0], lead[1], not k) for k in range(order.count(lead))]
+        out += [(i, n, n * (whole + more)) for i, n, more in made]
+        took[s] = target[s], miss
+    return sorted(out, key=str), took
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_mix_is_the_plain_greedy_order_with_skewed_sizes(spark, seed):
+    """Many short documents and a few very long ones, hot and null sources, repeated ids: each target is met within a short one."""
+    rng = random.Random(seed)
+    rows = [(i, 10, "a") for i in range(2000)] + [(5000 + i, 20_000, "a") for i in range(3)] + [(6000 + i, rng.choice([0, 1, 7, 300]), rng.choice(["b", "b", "c", None])) for i in range(600)]
+    rows += [(9, 25, "d")] * 300 + [(9, 3, "d")] * 40 + [(7000, 1000, "e"), (None, 12, "a"), (None, 12, "a")]
+    docs = spark.createDataFrame([(i, " ".join(["w"] * n), "en", s, 0) for i, n, s in rows], SCHEMA)
+    for odds, plain, bucket in ((mix.root_of_size, lambda n: int(n**0.5), 16), (None, lambda n: 1, 512), (lambda size: 1 / (1 + size), lambda n: 1 / (1 + n), 40)):
+        got = mix.mix(docs, odds=odds, seed=f"s{seed}", bucket_rows=bucket).toPandas()
+        want, took = greedy(rows, plain, seed=f"s{seed}")
+        assert sorted(((None if i != i else int(i), n, t) for i, n, t in zip(got.doc_id, got["size"], got.taken)), key=str) == want
+        for source, g in got.assign(source=got.source.fillna("~")).groupby("source"):
+            target, miss = took[None if source == "~" else source]
+            assert abs(g.target.iloc[0] - target) < 1e-6 * max(1, target) and g.taken.sum() <= target + 1e-6
+            assert abs(target - g.taken.sum() - miss) < 1e-6
+            if source == "a":
+                assert miss < 20
+    by_odds = mix.mix(docs, odds="n_chars").toPandas()
+    assert (by_odds.taken % by_odds["size"].clip(lower=1) == 0).all()
+
+
+def test_pareto_order_keeps_to_its_inclusion_odds(spark):
+    """Over many seeds documents are taken about as often as their odds say."""
+    rows = [(i, " ".join(["w"] * n), "en", "a", 0) for i, n in enumerate([4, 16, 36, 64] * 60)]
+    docs = spark.createDataFrame(rows, SCHEMA).coalesce(1)
+    hits = {n: 0 for n in (4, 16, 36, 64)}
+    for seed in range(5):
+        for r in mix.mix(docs, seed=f"o{seed}").where("copies = 2").collect():
+            hits[r.size] += 1
+    share = {n: k / 300 for n, k in hits.items()}
+    mass = sum(n * n**0.5 for n in hits)
+    for n in hits:
+        assert abs(share[n] - 0.5 * sum(hits) * n**0.5 / mass) < 0.09
+    assert share[4] < share[16] < share[36] < share[64]
+
+
 def test_polynomial_prints_compose():
     data = random.Random(1).randbytes(300_000)
     slow = tuple(0 for _ in exact.PRIMES)
