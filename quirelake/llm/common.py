@@ -8,7 +8,7 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,6 +49,16 @@ def sized(df: DataFrame, rows: int = 250_000) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def numbered(df: DataFrame, *order: Column) -> DataFrame:
+    """df with no, the place of each row in the order, from 0; part and at, its range and its place there. Sorted by ranges and
+    counted by range: no task has more than its range, whatever the keys. Written to the shared folder."""
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = staged(rows.withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), "numbered")
+    counts = rows.groupBy(F.col("part").alias("n_part")).agg(F.count("*").alias("n_rows"))
+    ahead = counts.select("n_part", F.coalesce(F.sum("n_rows").over(Window.orderBy("n_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("n_ahead"))
+    return rows.join(F.broadcast(ahead), F.col("part") == F.col("n_part")).withColumn("no", F.col("n_ahead") + F.col("at")).drop("n_part", "n_ahead")
+
+
 def small_batches(spark: SparkSession, rows: int = 2000, mb: int = 8) -> None:
     """Bound the Arrow batches, as one row may hold a very long text."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, sized, staged
+from .common import WORD, numbered, sized, staged
 
 #: Weights by rank of the source, repeating.
 WEIGHTS = (5, 2, 1)
@@ -22,14 +22,8 @@ def source_targets(sizes: DataFrame, share: float, most: float, weights=WEIGHTS)
     rises until the sources whose cap is under it stay the same. Ranks come from a sort by ranges with counts ahead of each
     range, and each step of the level is a sum, so there may be as many sources as hosts.
     """
-    name = F.col("src").asc_nulls_last()
-    parts = sizes.repartitionByRange(name).sortWithinPartitions(name)
-    parts = staged(parts.withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), "sources")
-    ahead = parts.groupBy(F.col("part").alias("a_part")).agg(F.count("*").alias("n"))
-    ahead = ahead.select("a_part", F.coalesce(F.sum("n").over(Window.orderBy("a_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
-    rank = F.col("ahead") + F.col("at")
-    w = F.element_at(F.array(*map(F.lit, weights)), (rank % len(weights) + 1).cast("int"))
-    ranked = parts.join(F.broadcast(ahead), F.col("part") == F.col("a_part")).withColumn("w", w).withColumn("cap", F.col("source_size") * F.lit(float(most)))
+    w = F.element_at(F.array(*map(F.lit, weights)), (F.col("no") % len(weights) + 1).cast("int"))
+    ranked = numbered(sizes, F.col("src").asc_nulls_last()).withColumn("w", w).withColumn("cap", F.col("source_size") * F.lit(float(most)))
     ranked = staged(ranked.select("src", "source_size", "w", "cap"), "weights")
     n, every, rest = ranked.agg(F.count("*"), F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("w"), F.lit(0))).first()
     goal, under, level = every * float(share), 0, None

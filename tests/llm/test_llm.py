@@ -8,6 +8,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -71,9 +72,10 @@ def test_hard_rows_and_empty_tables(spark, hard, empty, labels, name):
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_same_as_sql(spark, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    for t in ("documents", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     want, got = con.execute(queries.oracle_sql()[name]).df(), queries.queries()[name](spark, SF).toPandas()
-    plain = lambda d: sorted(map(tuple, d[sorted(d.columns)].astype(object).values.tolist()))
+    plain = lambda d: sorted((tuple(None if pd.isna(x) else x for x in r) for r in d[sorted(d.columns)].astype(object).values.tolist()), key=lambda r: [(x is None, 0 if x is None else x) for x in r])
     assert sorted(got.columns) == sorted(want.columns) and plain(got) == plain(want)
 
 
@@ -475,6 +477,9 @@ def test_toxicity_on_held_out_rows(spark):
     assert hit.sum() / (got.toxic == 1).sum() > 0.8 and hit.sum() / (got.predicted == 1).sum() > 0.85
 
 
+MESSAGE = "conv_id long, turn long, text string"
+
+
 def test_quotes_are_linked_and_ordered(spark):
     rows = [(1, 0, "u", "Hello there\nsecond line"), (1, 1, "a", "> hello   THERE\nmy answer"), (2, 0, "u", ">> Hello there\n> my answer\nI agree"), (3, 0, "u", "> never said\nx"), (4, 0, "u", None), (None, 0, "u", "> Hello there")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
@@ -483,10 +488,25 @@ def test_quotes_are_linked_and_ordered(spark):
     r = got[2, 0]
     assert (r.thread_id, r.parent_conv, r.parent_turn, r.n_quoted, r.n_linked, r.max_level, r.own_text) == (1, 1, 1, 2, 2, 2, "I agree")
     assert (got[3, 0].n_linked, got[3, 0].parent_conv, got[4, 0].own_text) == (0, None, "")
-    assert sorted(got[k].reply_order for k in ((1, 0), (1, 1), (2, 0))) == [0, 1, 2] and got[None, 0].thread_id is None
+    assert [got[k].reply_order for k in ((1, 0), (1, 1), (2, 0))] == [0, 1, 2] and got[None, 0].thread_id is None
     assert quotes.link_quotes(df.limit(0)).count() == 0
 
 
+def test_common_phrases_and_repeated_messages(spark):
+    rows = [(c, t, x) for c in (1, 5, 11, 12) for t, x in ((0, "thanks"), (1, "> thanks\nwell"))] + [(20, 0, "> thanks\nfrom none of them")]
+    rows += [(30, 0, "said once"), (31, 0, "> said once\nyes"), (31, 0, "> said once\nyes"), (32, None, "> said once\nno turn"), (33, 0, "> said once\na"), (33, 0, "> said once\n\n> said once\nb")]
+    got = quotes.link_quotes(spark.createDataFrame(rows, MESSAGE)).collect()
+    at = {}
+    for r in got:
+        at.setdefault((r.conv_id, r.turn), []).append(r)
+    for c in (1, 5, 11, 12):
+        assert (at[c, 1][0].thread_id, at[c, 1][0].parent_conv, at[c, 1][0].parent_turn, at[c, 1][0].n_linked) == (c, c, 0, 1)
+    assert (at[20, 0][0].thread_id, at[20, 0][0].n_linked) == (20, 0)
+    assert [(r.n_quoted, r.n_linked, r.thread_id) for r in at[31, 0]] == [(1, 1, 30)] * 2 and sorted(r.n_linked for r in at[33, 0]) == [1, 2]
+    assert (at[32, None][0].n_quoted, at[32, None][0].n_linked, at[32, None][0].parent_conv) == (1, 1, 30)
+    assert sorted(r.reply_order for r in got if r.thread_id == 30) == list(range(6))
+
+
 def plain_links(rows):
     """n_linked and first level-1 origin of each message, by comparing every piece with all pieces of all messages."""
     norm = lambda t: " ".join(t.lower().split())
@@ -504,8 +524,14 @@ def plain_links(rows):
     wrote = {k: {norm(p) for level, t in of if not level for p in cut(t)} - {""} for k, of in runs.items()}
     out = {}
     for (conv, turn), of in runs.items():
-        may = sorted(k for k in wrote if k[0] != conv or k[1] < turn)
-        at = lambda p: next((k for k in may if norm(p) in wrote[k]), None)
+
+        def at(p):
+            here = sorted(k for k in wrote if k[0] == conv and k[1] < turn and norm(p) in wrote[k])
+            away = sorted(k for k in wrote if k[0] != conv and norm(p) in wrote[k])
+            if here or not away or (len(norm(p).split()) < 4 and len({c for c, _ in away}) > 1):
+                return here[0] if here else None
+            return away[0]
+
         n, parent = 0, None
         for level, text in of:
             if not level or not norm(text):
@@ -523,21 +549,55 @@ def plain_links(rows):
     return out
 
 
-def test_partial_quotes_link_as_by_brute_force(spark):
-    rows = [(1, 0, "a\nb\nc"), (1, 1, "> a\n> b\nyes"), (1, 2, "> a\n> c"), (1, 3, "> a\n> z"), (2, 0, "p one\np two\n\nq\n\nr"), (2, 1, "> p one p two\n>\n> r\nfine"), (2, 2, "> q\n>\n> p two\n>\n> never")]
-    # of a conversation with a larger id, of the message itself, of a later turn, and of one in two places
-    rows += [(3, 0, "> from nine\nok"), (9, 0, "from nine"), (4, 0, "> mine\nmine"), (4, 1, "> later\nx"), (4, 2, "later"), (5, 0, "> both\nboth"), (6, 4, "both"), (7, 0, ">> both\n> a\n>\n> from nine")]
-    rng = random.Random(5)
-    for conv in range(20, 32):
-        rows += [(conv, turn, "\n".join(rng.choice(["", "", "> ", "> ", ">> "]) + rng.choice(["l1", "l2", "l3", "L4  x", "l5", "l6", "l7", "", ""]) for _ in range(rng.randint(1, 6)))) for turn in range(3)]
-    got = {(r.conv_id, r.turn): r for r in quotes.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, text string")).collect()}
-    turns = {(c, t) for c, t, _ in rows}
+def check_links(spark, rows):
+    """Links and parents against plain_links, and in every thread parents before replies, but for circles of quotes."""
+    got = {(r.conv_id, r.turn): r for r in quotes.link_quotes(spark.createDataFrame(rows, MESSAGE).repartition(3)).collect()}
+    up = {}
     for (conv, turn), (n, parent) in plain_links(rows).items():
         r = got[conv, turn]
-        before = (conv, turn - 1) if (conv, turn - 1) in turns else (None, None)
+        before = max(((c, t) for c, t, _ in rows if c == conv and t < turn), default=(None, None))
+        up[conv, turn] = parent or (before if before[0] is not None else None)
         assert (r.n_linked, (r.parent_conv, r.parent_turn)) == (n, parent or before), (conv, turn)
+    threads = {}
+    for k, r in got.items():
+        threads.setdefault(r.thread_id, []).append((r.reply_order, k))
+        circle, x = [k], up[k]
+        while x is not None and x not in circle:
+            circle.append(x)
+            x = up[x]
+        if up[k] is not None and not (x == k and k == min(circle)):
+            assert got[up[k]].reply_order < r.reply_order and got[up[k]].thread_id == r.thread_id, (k, up[k])
+    assert all(sorted(n for n, _ in t) == list(range(len(t))) for t in threads.values())
+    return got
+
+
+def test_a_parent_comes_before_its_replies(spark):
+    got = check_links(spark, [(1, 0, "a first one"), (1, 1, "and the second message here"), (2, 0, "> and the second message here\nreply"), (2, 1, "more"), (3, 0, "> reply\nto the reply"), (4, 7, "late"), (4, 9, "later")])
+    assert [got[k].reply_order for k in ((1, 0), (1, 1), (2, 0), (2, 1), (3, 0))] == [0, 1, 2, 4, 3] and got[4, 9].parent_turn == 7
+    # circles: of two, of three, of a message that is quoted by what it answers, and chains that end in them
+    rows = [(1, 0, "> two says this\none says this"), (2, 0, "> one says this\ntwo says this"), (3, 0, "> one says this\nthree"), (3, 1, "> three\nfour"), (5, 0, "> c writes\na writes"), (6, 0, "> a writes\nb writes"), (7, 0, "> b writes\nc writes"), (7, 1, "x")]
+    got = check_links(spark, rows)
+    assert {r.thread_id for k, r in got.items() if k[0] >= 5} == {5} and got[1, 0].reply_order == 0
+
+
+def test_partial_quotes_link_as_by_brute_force(spark):
+    rows = [(1, 0, "a\nb\nc"), (1, 1, "> a\n> b\nyes"), (1, 2, "> a\n> c"), (1, 3, "> a\n> z"), (2, 0, "p one\np two\n\nq\n\nr"), (2, 1, "> p one p two\n>\n> r\nfine"), (2, 2, "> q\n>\n> p two\n>\n> never")]
+    # of a conversation with a larger id, of the message itself, of a later turn, and of one in two places
+    rows += [(3, 0, "> from nine\nok"), (9, 0, "from nine"), (4, 0, "> mine\nmine"), (4, 1, "> later\nx"), (4, 2, "later"), (5, 0, "> both\nboth"), (6, 4, "both"), (7, 0, ">> both of these are long enough\n> a\n>\n> from nine"), (8, 0, "both of these are long enough")]
+    got = check_links(spark, rows)
     assert [got[k].n_linked for k in ((1, 1), (1, 2), (1, 3), (2, 1), (2, 2), (3, 0), (4, 0), (4, 1), (5, 0), (7, 0))] == [1, 1, 0, 1, 0, 1, 0, 0, 1, 2]
-    assert got[3, 0].thread_id == got[9, 0].thread_id == 1
+    assert got[3, 0].thread_id == got[9, 0].thread_id
+
+
+def test_random_threads_link_as_by_brute_force(spark):
+    rng = random.Random(5)
+    said = ["l1", "l2 is a long enough one", "l3 is a long one too", "L4  x", "l5 y z w", "l6", "l7 has five words here", "", ""]
+    rows = []
+    for conv in range(20, 44):
+        own = [f"line {conv} number {k}" for k in range(4)]
+        for turn in range(3):
+            rows.append((conv, turn * (1 + conv % 2), "\n".join(rng.choice(["", "", "> ", "> ", ">> "]) + rng.choice([*said, *own, f"line {rng.randint(20, 43)} number {rng.randint(0, 3)}"]) for _ in range(rng.randint(1, 6)))))
+    check_links(spark, rows)
 
 
 def test_recordings_are_aligned(spark):
