@@ -26,16 +26,16 @@ def _letters() -> np.ndarray:
 def gram_runs(texts: list[str | None]):
     """Yields (first, last, buckets, rows): the hashed n-grams of texts[first:last] that hold a letter, and whose each is.
 
-    Characters are lower-cased and all but letters count as one space each. Texts stand three separators apart, so that no
-    n-gram has letters of two.
+    Characters are lower-cased and all but letters count as one space each. Each text has two separators on either side, so that no
+    n-gram has letters of two texts, and a text's n-grams are the same wherever it stands.
     """
     first = 0
     while first < len(texts):
         last, size = first, 0
         while last < len(texts) and (last == first or size + len(texts[last] or "") < CHARS):
-            size += len(texts[last] or "") + 3
+            size += len(texts[last] or "") + 4
             last += 1
-        lowered = [f"\n\n{(t or '').lower()}\n" for t in texts[first:last]]
+        lowered = [f"\n\n{(t or '').lower()}\n\n" for t in texts[first:last]]
         code = np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         letter = _letters()[code]
         code = np.where(letter, code, np.uint32(32))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER, staged
@@ -25,6 +25,10 @@ TEMPLATES = {
     "cc-by-notice": "this work is licensed under a creative commons attribution 4 0 international license",
     "mpl-2.0": "this source code form is subject to the terms of the mozilla public license v 2 0",
     "isc": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
+    "gpl-3.0-named": "this work is licensed under the gnu general public license version 3",
+    "apache-2.0-named": "licensed under the apache license version 2 0",
+    "mit-named": "released under the mit license",
+    "cc-by-nc-4.0": "licensed under cc by nc 4 0",
     "copyright-notice": "no part of this publication may be reproduced distributed or transmitted in any form or by any means without the prior written permission of the publisher",
 }
 #: Pairs of two of these are no anchors.
@@ -59,8 +63,10 @@ def license_hits(docs: DataFrame, base: dict[str, str] = BASE, templates: dict[s
 
     All rolling pairs of words meet the template pairs by hash (words are compared too); votes are counted by template and
     diagonal, the place in the text less the place in the template. An exact template needs all its pairs on one diagonal,
-    which are then the whole phrase. Otherwise diagonals at most GAP apart, and near in place, are one span: insertions and
-    deletions move the diagonal. A span is kept if it holds SHARE of the template's anchors.
+    which are then the whole phrase. Otherwise neighbouring diagonals at most GAP apart are one span: insertions and deletions move
+    the diagonal; and diagonals so near are near in place, too, as a place is at most a template's length after its
+    diagonal. A span is kept if it holds SHARE of the template's anchors. Neighbours are compared in the order of diagonals, so a text
+    costs its votes and their sort.
     """
     words = F.regexp_extract_all(folded(F.col("text")), F.lit(WORDS), F.lit(0))
     rows = docs.select("doc_id", "rk", words.alias("w"))
@@ -73,19 +79,14 @@ def license_hits(docs: DataFrame, base: dict[str, str] = BASE, templates: dict[s
     votes = staged(met.groupBy(*key, "exact", "anchors", (F.col("place") - F.col("at")).alias("diagonal")).agg(F.collect_set("at").alias("ats"), F.min("place").alias("lo"), F.max("place").alias("hi")), "votes")
     whole = votes.where("exact AND size(ats) = anchors").select(*key, "exact", F.col("diagonal").cast("long").alias("first"), F.col("diagonal").cast("long").alias("last"), F.lit(1.0).alias("share"))
 
-    # a text's diagonals of one template: sorted, then folded into runs whose neighbours are at most GAP apart
-    item = F.struct(F.col("diagonal").alias("d"), F.col("ats").alias("ats"), F.col("lo").alias("lo"), F.col("hi").alias("hi"))
-    lists = votes.where("NOT exact").groupBy(*key, "anchors").agg(F.array_sort(F.collect_list(item)).alias("ds"))
-
-    def fold(acc, x):
-        last = F.element_at(acc, -1)
-        near = (F.size(acc) > 0) & (x["d"] - last["d"] <= GAP) & (x["lo"] <= last["hi"] + F.lit(64)) & (x["hi"] >= last["lo"] - F.lit(64))
-        joined = F.struct(x["d"].alias("d"), F.array_union(last["ats"], x["ats"]).alias("ats"), F.least(last["lo"], x["lo"]).alias("lo"), F.greatest(last["hi"], x["hi"]).alias("hi"))
-        return F.when(near, F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(joined))).otherwise(F.concat(acc, F.array(x)))
-
-    empty = F.expr("CAST(array() AS array<struct<d:int,ats:array<int>,lo:int,hi:int>>)")
-    runs = lists.select(*key, "anchors", F.explode(F.aggregate("ds", empty, fold)).alias("s"))
-    spans = runs.select(*key, F.lit(False).alias("exact"), F.col("s.lo").cast("long").alias("first"), F.col("s.hi").cast("long").alias("last"), (F.size("s.ats") / F.col("anchors")).alias("share"))
+    order = Window.partitionBy(*key).orderBy("diagonal")
+    apart = F.col("diagonal") - F.lag("diagonal").over(order) > GAP
+    runs = votes.where("NOT exact").withColumn("run", F.sum(F.when(apart, 1).otherwise(0)).over(order))
+    anchored = runs.groupBy(*key, "run").agg(F.min("lo").cast("long").alias("first"), F.max("hi").cast("long").alias("last"), F.first("anchors").alias("anchors"))
+    # distinct anchors of a run, counted and not gathered: a long text may repeat them often
+    held = runs.select(*key, "run", F.explode("ats").alias("anchor")).distinct().groupBy(*key, "run").agg(F.count("*").alias("held"))
+    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in (*key, "run")]
+    spans = anchored.alias("l").join(held.alias("r"), same).select(*(f"l.{c}" for c in key), F.lit(False).alias("exact"), "first", "last", (F.col("held") / F.col("anchors")).alias("share"))
     return whole.unionByName(spans.where(F.col("share") >= SHARE))
 
 

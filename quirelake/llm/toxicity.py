@@ -11,11 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, chunks, long_schema, shingle_sets, small_batches, staged
+from .common import as_bytes, chunks, long_schema, mix64, shingle_sets, small_batches, staged
 
 TOKEN = re.compile(r"[^\W_]+")
 #: A task sends its counts on when it holds so many features; and forgets the weights of so many tokens.
 FLUSH, CACHE = 150_000, 100_000
+SECOND = np.uint64(0x9E3779B97F4A7C15)
 #: Inflected words share a stem: the first characters, so many.
 STEMS = (4, 5)
 
@@ -113,12 +114,13 @@ def _count(batches):
 
 
 def _first_of_copies(batches):
-    """(m_id, mark): the least hash of a text's runs of three words. Copies share it, near copies mostly."""
+    """(m_id, text, toxic, mark): the least hashes of a text's runs of three words under two orders. Copies share both, near copies
+    mostly; texts that only have a passage in common seldom do."""
     for batch in batches:
         texts, marks = as_bytes(batch.column("text")), []
         for first, last in chunks(texts, 1 << 19):
-            marks += [int(x[0]) - (1 << 63) if len(x) else None for x in shingle_sets(texts[first:last], 3)]
-        yield pa.RecordBatch.from_arrays([batch.column("m_id"), pa.array(marks, pa.int64())], ["m_id", "mark"])
+            marks += [int(mix64(x[:1] ^ mix64(x ^ SECOND).min())[0].view(np.int64)) if len(x) else None for x in shingle_sets(texts[first:last], 3)]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("m_id", "text", "toxic")), pa.array(marks, pa.int64())], ["m_id", "text", "toxic", "mark"])
 
 
 def fit_words(labelled: DataFrame, prior: float = 0.05, least_z: float = 2.2, least_odds: float = 1.5, most_words: int = 50_000, drift: float = 0.5) -> Model:
@@ -157,9 +159,8 @@ def fit_words(labelled: DataFrame, prior: float = 0.05, least_z: float = 2.2, le
     return Model(weights, drift, (low + high) / 2)
 
 
-def evidence(model: Model, words: list[str]) -> tuple[float, int, list[tuple[int, int, float]]]:
-    """lambda * best score - ln(K * tokens), the number of significant segments, and these; the evidence is the negative log of
-    the number of such segments that a clean text of this length has by chance."""
+def scored(model: Model, words: list[str]) -> list[tuple[int, int, float]]:
+    """The maximal segments of a text."""
     get = model.weight
     places, weights = [], []
     for i, t in enumerate(words):
@@ -167,8 +168,14 @@ def evidence(model: Model, words: list[str]) -> tuple[float, int, list[tuple[int
         if w is not None:
             places.append(i)
             weights.append(w)
+    return sparse_segments(places, weights, model.drift)
+
+
+def evidence(model: Model, words: list[str]) -> tuple[float, int, list[tuple[int, int, float]]]:
+    """lambda * best score - ln(K * tokens), the number of significant segments, and these; the evidence is the negative log of
+    the number of such segments that a clean text of this length has by chance."""
     room = math.log(model.scale * max(1, len(words)))
-    found = sparse_segments(places, weights, model.drift)
+    found = scored(model, words)
     best = max((s for _, _, s in found), default=0.0)
     strong = [x for x in found if model.decay * x[2] - room > math.log(20)]
     return model.decay * best - room, len(strong), strong
@@ -211,11 +218,38 @@ def in_fold(id_col: str, fold: int, folds: int):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
+def _tally(model: Model):
+    """(bin, clean, toxic, drawn, mass): evidence for K = 1 in steps of a quarter by label; and of the clean texts how many have a
+    segment at all, and the sum of tokens * exp(-lambda * best score)."""
+
+    def run(batches):
+        bins: dict[int, list[float]] = {}
+        for batch in batches:
+            for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
+                words = tokens(text)
+                best = max((s for _, _, s in scored(model, words)), default=0.0)
+                n = max(1, len(words))
+                row = bins.setdefault(round(4 * clipped(model.decay * best - math.log(n))), [0, 0, 0, 0.0])
+                row[label] += 1
+                if not label:
+                    row[2] += best > 0
+                    row[3] += n * math.exp(-model.decay * best)
+        cols = [pa.array([v[k] for v in bins.values()], pa.int64() if k < 3 else pa.float64()) for k in range(4)]
+        yield pa.RecordBatch.from_arrays([pa.array(list(bins), pa.int64()), *cols], ["bin", "clean", "toxic", "drawn", "mass"])
+
+    return run
+
+
 def fit(docs: DataFrame, labels: DataFrame, fold: int = 2, folds: int = 4, most_rows: int = 100_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Learns from the texts of labelled rows (id, 0/1) whose crc32(id as text) % folds isn't fold.
 
     most_rows bounds the labelled rows: of more, a sample by a hash of the id. So the labels can be broadcast, and the texts
-    aren't shuffled to meet them. Where an id has several labels, the largest counts.
+    aren't shuffled to meet them. Where an id has several labels, the largest counts. Of copies and near copies with one label
+    (two least hashes of their runs of three words are equal) one teaches: a word that only they have says little.
+
+    The words' weights and lambda come from all teachers. K and the logistic law come from texts that the weights didn't see:
+    weights are learned from either half of the teachers and scored on the other. K is its most likely value under the
+    extreme-value law of the clean texts: those with a segment over the sum of tokens * exp(-lambda * best score).
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -224,25 +258,25 @@ def fit(docs: DataFrame, labels: DataFrame, fold: int = 2, folds: int = 4, most_
     if (n := marks.count()) > most_rows:
         marks = staged(marks.where(F.pmod(F.xxhash64("m_id"), F.lit(1 << 20)) < int(0.98 * most_rows / n * (1 << 20))), "labels")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    # of copies and near copies with one label, one teaches: a word that only they have says little about others
-    seen = texts.join(F.broadcast(marks.select("m_id")), F.col("doc_id") == F.col("m_id")).select("m_id", "text").mapInArrow(_first_of_copies, long_schema("m_id long, mark long"))
-    marks = staged(seen.join(marks, "m_id").groupBy("mark", "toxic").agg(F.min("m_id").alias("m_id")).groupBy("m_id").agg(F.max("toxic").alias("toxic")), "teachers")
-    labelled = texts.join(F.broadcast(marks), F.col("doc_id") == F.col("m_id")).select("text", "toxic")
+    seen = texts.join(F.broadcast(marks), F.col("doc_id") == F.col("m_id")).select("m_id", "text", "toxic")
+    seen = staged(seen.mapInArrow(_first_of_copies, long_schema("m_id long, text string, toxic int, mark long")), "seen")
+    teachers = staged(seen.groupBy("mark", "toxic").agg(F.min("m_id").alias("t_id")).select("t_id").distinct(), "teachers")
+    half = F.pmod(F.xxhash64("m_id", F.lit("half")), F.lit(2)).cast("int").alias("half")
+    labelled = staged(seen.join(F.broadcast(teachers), F.col("m_id") == F.col("t_id"), "left_semi").select("text", "toxic", half), "taught")
     model = fit_words(labelled)
     if not model.weights:
         return model
-    shared = spark.sparkContext.broadcast(model)
-
-    def tally(batches):
-        """Evidence in steps of a quarter, by label: (bin, clean, toxic)."""
-        bins: dict[int, list[int]] = {}
-        for batch in batches:
-            for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-                bins.setdefault(round(4 * clipped(evidence(shared.value, tokens(text))[0])), [0, 0])[label] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(list(bins), pa.int64()), *(pa.array([v[k] for v in bins.values()], pa.int64()) for k in (0, 1))], ["bin", "clean", "toxic"])
-
-    bins = labelled.mapInArrow(tally, long_schema("bin long, clean long, toxic long")).groupBy("bin").agg(F.sum("clean"), F.sum("toxic")).orderBy("bin").collect()
-    model.slope, model.shift = calibrate([(b / 4, c, t) for b, c, t in bins])
+    parts = []
+    for k in (0, 1):
+        other = fit_words(labelled.where(F.col("half") == 1 - k))
+        if other.weights:
+            parts += labelled.where(F.col("half") == k).mapInArrow(_tally(other), long_schema("bin long, clean long, toxic long, drawn long, mass double")).groupBy("bin").agg(*(F.sum(c) for c in ("clean", "toxic", "drawn", "mass"))).orderBy("bin").collect()
+    if not any(p[1] for p in parts) or not any(p[2] for p in parts):
+        # too few labels for halves: the law of the words' own texts
+        parts = labelled.mapInArrow(_tally(model), long_schema("bin long, clean long, toxic long, drawn long, mass double")).groupBy("bin").agg(*(F.sum(c) for c in ("clean", "toxic", "drawn", "mass"))).orderBy("bin").collect()
+    mass = sum(p[4] for p in parts)
+    model.scale = max(1, sum(p[3] for p in parts)) / mass if mass > 0 else model.scale
+    model.slope, model.shift = calibrate([(b / 4 - math.log(model.scale), c, t) for b, c, t, _, _ in parts])
     return model
 
 

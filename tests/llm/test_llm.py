@@ -441,6 +441,70 @@ def test_language_model_on_held_out_rows(spark):
     assert model.predict([None, "", "123 !", "x"])[:3] == [("und", 0.0)] * 3
 
 
+def test_license_spans_of_many_diagonals(spark):
+    """Runs of neighbouring diagonals by brute force, on texts that repeat pieces of the templates; a long one in linear time."""
+    templates = {"abc": "one two three four five six seven eight", "xyz": "alpha beta gamma delta epsilon zeta"}
+    rng = random.Random(2)
+    words = [*templates["abc"].split(), *templates["xyz"].split(), "noise", "other"]
+    texts = []
+    for _ in range(40):
+        made = []
+        while len(made) < rng.randint(1, 60):
+            t = rng.choice(list(templates.values())).split()
+            a = rng.randrange(len(t))
+            made += t[a : a + rng.randint(1, 8)] + rng.choices(words, k=rng.choice([0, 0, 1, 5]))
+        texts.append(" ".join(made))
+    got = {}
+    hits = license.license_hits(spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "doc_id long, rk long, text string"), {}, templates)
+    for r in hits.collect():
+        got.setdefault(r.doc_id, set()).add((r.label, r.first, r.last, round(r.share, 6)))
+    for i, text in enumerate(texts):
+        w, want = text.split(), set()
+        for label, t in templates.items():
+            t = t.split()
+            votes = sorted((p - a, a, p) for p in range(len(w) - 1) for a in range(len(t) - 1) if (w[p], w[p + 1]) == (t[a], t[a + 1]))
+            run = []
+            for v in [*votes, (10**9, 0, 0)]:
+                if run and v[0] - run[-1][0] > license.GAP:
+                    share = len({a for _, a, _ in run}) / (len(t) - 1)
+                    if share >= license.SHARE:
+                        want.add((label, min(p for _, _, p in run), max(p for _, _, p in run), round(share, 6)))
+                    run = []
+                run.append(v)
+        assert got.get(i, set()) == want, text
+    long = " ".join(["one two noise noise noise noise noise"] * 30_000)
+    assert license.scan_licenses(spark.createDataFrame([(1, long)], "doc_id long, text string")).first().n_words == 210_000
+
+
+def test_language_scores_are_those_of_plain_naive_bayes():
+    """Each text's posterior by sums over its n-grams, one by one."""
+    rng = np.random.default_rng(5)
+    counts = rng.integers(0, 50, (3, langid.BUCKETS))
+    docs = np.array([5, 3, 2])
+    model = langid.Model(["aa", "bb", "cc"], docs, counts)
+    texts = ["Hello, world", "é", "a b", "", None, "12 !", "x" * 50, "Ab1cd ef", "ZZZ\nzz", "straße und weg " * 30]
+    logp = np.log((counts + 0.5) / (counts + 0.5).sum(axis=1, keepdims=True)).astype(np.float32)
+
+    def bucket(gram):
+        h = np.uint32(2166136261 + len(gram))
+        with np.errstate(over="ignore"):
+            for c in gram:
+                h = (h ^ np.uint32(ord(c))) * np.uint32(0x9E3779B1)
+                h ^= h >> np.uint32(15)
+        return int(h) % langid.BUCKETS
+
+    for text, (lang, score) in zip(texts, model.predict(texts)):
+        plain = "  " + "".join(c if c.isalpha() else " " for c in (text or "").lower()) + "  "
+        grams = [plain[i : i + n] for n in langid.GRAMS for i in range(len(plain) - n + 1) if any(c.isalpha() for c in plain[i : i + n])]
+        if not grams:
+            assert (lang, score) == ("und", 0.0)
+            continue
+        x = np.log(docs / docs.sum()) + sum(logp[:, bucket(g)].astype(float) for g in grams)
+        p = np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+        assert lang == model.langs[int(p.argmax())] and abs(score - p.max()) < 1e-6
+    assert model.predict(texts) == [x for t in texts for x in model.predict([t])]
+
+
 def test_license_places(spark):
     text = "All Rights Reserved. cc-BY CC BY! the GNU General  Public\nLicense; general public. all rights reserved"
     notice = "x y Permission is hereby granted, free of charge, to any person obtaining one copy of this software and associated documentation files"
@@ -468,6 +532,34 @@ def test_maximal_segments(scores):
     assert max((s for _, _, s in toxicity.segments(scores)), default=0) == top
 
 
+def maximal(scores):
+    """Maximal scoring segments by their properties: every part that starts or ends the segment has a positive sum, and no longer
+    segment with that property holds it."""
+    n, sums = len(scores), [0, *itertools.accumulate(scores)]
+    good = lambda a, b: all(sums[k] > sums[a] for k in range(a + 1, b + 1)) and all(sums[k] < sums[b] for k in range(a, b))
+    found = [(a, b) for a in range(n) for b in range(a + 1, n + 1) if good(a, b)]
+    return [(a, b, sums[b] - sums[a]) for a, b in found if not any((c, d) != (a, b) and c <= a and b <= d for c, d in found)]
+
+
+@given(st.lists(st.integers(-9, 9).filter(bool), max_size=25))
+@settings(max_examples=300, deadline=None)
+def test_segments_are_the_maximal_ones(scores):
+    assert sorted(toxicity.segments(scores)) == sorted(maximal(scores))
+    places = [i for i, s in enumerate(scores) if s > 0]
+    plain = [scores[i] if i in places else -0.5 for i in range(len(scores))]
+    sparse = toxicity.sparse_segments(places, [scores[i] for i in places], 0.5)
+    assert sorted(sparse) == sorted(maximal(plain))
+
+
+def test_scale_of_chance_is_fitted():
+    """Best segments drawn from an extreme-value law with a known K give it back."""
+    rng = np.random.default_rng(8)
+    n, decay, scale = 400, 0.7, 0.03
+    # P(best < s) = exp(-K n exp(-decay s)), and no segment where that is under 0
+    best = np.maximum(0, -np.log(-np.log(rng.random(20_000)) / (scale * n)) / decay)
+    assert abs((best > 0).sum() / (n * np.exp(-decay * best)).sum() / scale - 1) < 0.03
+
+
 def test_toxicity_on_held_out_rows(spark):
     sf = SF.replace("0.001", "0.1")
     docs, marks = common.documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet")
