@@ -31,12 +31,12 @@ def page_number_like(t: Column) -> Column:
     return F.coalesce(t.rlike(NUMERAL), F.lit(False))
 
 
-def text_features(t: Column) -> dict[str, Column]:
+def text_features(t: Column, stripped: bool = False) -> dict[str, Column]:
     """Six numbers of a line: length, words, shares of digits and capitals, whether it is a numeral, whether it ends a sentence.
 
     The empty text ends a sentence: its last character is the empty string, which every string contains.
     """
-    s = strip(F.coalesce(t, F.lit("")))
+    s = t if stripped else strip(F.coalesce(t, F.lit("")))
     n, alpha = F.length(s), F.regexp_count(s, F.lit(r"\p{L}"))
     flag = lambda c: c.cast("int").cast("double")
     return {

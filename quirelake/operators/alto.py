@@ -5,13 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .blocks import kept_lines
+from quirelake.functions import strip
 
 #: The root element's attributes.
-ROOT = (
-    '<alto xmlns="http://www.loc.gov/standards/alto/ns-v4#" xmlns:xlink="http://www.w3.org/1999/xlink" xmlns:xsi="http://www.w3.org/2001/XMLSchema-instance" '
-    'xsi:schemaLocation="http://www.loc.gov/standards/alto/ns-v4# http://www.loc.gov/standards/alto/v4/alto-4-4.xsd">'
-)
+ROOT = '<alto xmlns="http://www.loc.gov/standards/alto/ns-v4#" xmlns:xsi="http://www.w3.org/2001/XMLSchema-instance" xsi:schemaLocation="http://www.loc.gov/standards/alto/ns-v4# http://www.loc.gov/standards/alto/v4/alto-4-4.xsd">'
+WORD = "struct<word:string,x:int,y:int,w:int,h:int>"
 
 
 def escaped(t: Column) -> Column:
@@ -31,55 +29,81 @@ def _attrs(**values: Column | str) -> Column:
     return F.concat(*parts)
 
 
-def _process(kind: str, when: str, software: str, description: str) -> str:
-    return f'    <Processing ID="{kind}">\n      <processingDateTime>{when}</processingDateTime>\n      <processingStepDescription>{description}</processingStepDescription>\n      <processingSoftware>\n        <softwareName>{software}</softwareName>\n      </processingSoftware>\n    </Processing>\n'
+def _nested(level: int, name: str, *inner: str) -> str:
+    pad = "  " * level
+    return f"{pad}<{name}>\n{''.join(inner)}{pad}</{name.split()[0]}>\n"
 
 
-def head(processed_at: str, software: str, layout: str | None) -> str:
-    processes = (_process("IdLayout", processed_at, layout, "layout") if layout else "") + _process("IdRecognition", processed_at, software, "recognition")
-    return f'<?xml version="1.0" ?>\n{ROOT}\n  <Description>\n    <MeasurementUnit>pixel</MeasurementUnit>\n{processes}  </Description>\n'
+def _leaf(level: int, name: str, text: str) -> str:
+    return f"{'  ' * level}<{name}>{text}</{name}>\n"
 
 
-def to_alto(lines: DataFrame, words: DataFrame, processed_at: str = "1970-01-01T00:00:00Z", software: str = "quirelake", layout: str | None = "layout") -> DataFrame:
-    """lines (page_id, region_idx, line_idx, text, hpos, vpos, width, height, page_w, page_h, role) and words (page_id, line_idx, word_idx,
-    word, x, y, w, h) -> (page_id, alto).
+def head(processed_at: str, software: str, layout: str | None, creator: str = "quirelake") -> str:
+    """The document up to its tags: a step of processing for the layout, if there is one, and one for the recognition."""
 
-    Blank lines and empty blocks aren't written, but a block keeps its index. Roles other than body become tags in the order
-    of their first line. Line boxes are as they are; word boxes start at 0 and are 1 wide and high at least.
+    def step(kind: str, name: str, description: str) -> str:
+        made = _nested(4, "processingSoftware", _leaf(5, "softwareCreator", creator), _leaf(5, "softwareName", name))
+        return _nested(2, f'OCRProcessing ID="{kind}"', _nested(3, "ocrProcessingStep", _leaf(4, "processingDateTime", processed_at), _leaf(4, "processingStepDescription", description), made))
+
+    steps = (step("IdLayout", layout, "layout") if layout else "") + step("IdRecognition", software, "recognition")
+    return f'<?xml version="1.0" ?>\n{ROOT}\n' + _nested(1, "Description", _leaf(2, "MeasurementUnit", "pixel"), steps)
+
+
+def to_alto(lines: DataFrame, processed_at: str = "1970-01-01T00:00:00Z", software: str = "recogniser", layout: str | None = "layout") -> DataFrame:
+    """lines (page_id, region_idx, line_idx, text, hpos, vpos, width, height, page_w, page_h, role, words array<WORD>) -> (page_id, alto).
+
+    Blank lines aren't written, nor blocks without others; the blocks and lines that are written count from 0. Roles other than body
+    become tags in the order of their first line. Line boxes are as they are; word boxes start at 0 and are 1 wide and
+    high at least. Lines are dealt by page once; their places, the blocks and the pages follow from that.
     """
-    rows = kept_lines(lines)
-    clear = lambda c: F.greatest(F.lit(0), F.col(c))
-    one = lambda c: F.greatest(F.lit(1), F.col(c))
-    joined = lambda key, col, by="": F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, col))), lambda r: r[col]), by)
-    string = F.concat(F.lit("            <String"), _attrs(CONTENT=escaped(F.col("word")), HPOS=clear("x"), VPOS=clear("y"), WIDTH=one("w"), HEIGHT=one("h")), F.lit("/>\n"))
-    inner = words.select("page_id", "line_idx", "word_idx", string.alias("s")).groupBy("page_id", "line_idx").agg(joined("word_idx", "s", "            <SP/>\n").alias("inner"))
+    stripped = lines.withColumn("blank", F.coalesce(strip(F.col("text")) == "", F.lit(True)))
+    page, block = Window.partitionBy("page_id"), Window.partitionBy("page_id", "blank", "region_idx")
+    rows = stripped.withColumn("bi", F.dense_rank().over(page.orderBy("blank", "region_idx")) - 1).withColumn("li", F.row_number().over(block.orderBy("line_idx")) - 1)
+    clear = lambda c: F.greatest(F.lit(0), c)
+    one = lambda c: F.greatest(F.lit(1), c)
+    place = lambda *parts: F.concat_ws("_", *parts)
+
+    def string(w: Column, i: Column) -> Column:
+        return F.concat(F.lit("            <String"), _attrs(ID=place(F.lit("word"), "bi", "li", i), CONTENT=escaped(w["word"]), HPOS=clear(w["x"]), VPOS=clear(w["y"]), WIDTH=one(w["w"]), HEIGHT=one(w["h"])), F.lit("/>\n"))
+
+    inner = F.array_join(F.transform(F.coalesce("words", F.expr(f"CAST(array() AS array<{WORD}>)")), string), "            <SP/>\n")
     tagged = F.col("role").isNotNull() & (F.col("role") != "body")
     tag = F.when(tagged, F.concat(F.lit(' TAGREFS="ROLE_'), F.col("role"), F.lit('"'))).otherwise("")
-    line_id = F.concat(F.lit("line_"), F.col("region_idx"), F.lit("_"), F.col("line_idx"))
-    body = F.concat(F.lit("          <TextLine"), _attrs(ID=line_id, HPOS=F.col("hpos"), VPOS=F.col("vpos"), WIDTH=F.col("width"), HEIGHT=F.col("height")), tag, F.lit(">\n"), F.coalesce("inner", F.lit("")), F.lit("          </TextLine>\n"))
-    made = rows.join(inner, ["page_id", "line_idx"], "left").withColumn("xml", body).withColumn("tag", F.when(tagged, F.col("role")))
+    opening = F.concat(F.lit("          <TextLine"), _attrs(ID=place(F.lit("line"), "bi", "li"), HPOS=F.col("hpos"), VPOS=F.col("vpos"), WIDTH=F.col("width"), HEIGHT=F.col("height")), tag)
+    rows = rows.withColumn("inner", inner).withColumn("opening", opening)
+    xml = F.when(F.col("inner") == "", F.concat("opening", F.lit("/>\n"))).otherwise(F.concat("opening", F.lit(">\n"), "inner", F.lit("          </TextLine>\n")))
+    rows = rows.select("page_id", "page_w", "page_h", "blank", "region_idx", "bi", "li", "hpos", "vpos", "width", "height", F.when(~F.col("blank"), xml).alias("xml"), F.when(tagged & ~F.col("blank"), F.col("role")).alias("tag"))
+
+    item = F.struct("li", "xml", "tag")
     x, y = F.min("hpos"), F.min("vpos")
-    blocks = made.groupBy("page_id", "region_idx").agg(joined("line_idx", "xml").alias("lines"), x.alias("x"), y.alias("y"), F.greatest(F.lit(1), F.max(F.col("hpos") + F.col("width")) - x).alias("w"), F.greatest(F.lit(1), F.max(F.col("vpos") + F.col("height")) - y).alias("h"))
-    block = F.concat(F.lit("        <TextBlock"), _attrs(ID=F.concat(F.lit("block_"), F.col("region_idx")), HPOS=F.col("x"), VPOS=F.col("y"), WIDTH=F.col("w"), HEIGHT=F.col("h")), F.lit(">\n"), F.col("lines"), F.lit("        </TextBlock>\n"))
-    pages = blocks.withColumn("block", block).groupBy("page_id").agg(joined("region_idx", "block").alias("blocks"))
-    first = rows.where(tagged).groupBy("page_id", F.col("role").alias("tag")).agg(F.min(F.struct("region_idx", "line_idx")).alias("at"))
-    roles = first.groupBy("page_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "tag"))), lambda r: r["tag"]).alias("tags"))
-    every = lines.select("page_id", "page_w", "page_h").distinct().join(pages, "page_id", "left").join(roles, "page_id", "left")
-    tags = F.when(F.size("tags") > 0, F.concat(F.lit("  <Tags>\n"), F.array_join(F.transform("tags", lambda t: F.concat(F.lit("    <StructureTag"), _attrs(ID=F.concat(F.lit("ROLE_"), t), LABEL=t), F.lit("/>\n"))), ""), F.lit("  </Tags>\n"))).otherwise("")
-    page = F.concat(
-        F.lit(head(processed_at, software, layout)), tags, F.lit("  <Layout>\n    <Page"), _attrs(ID=F.concat(F.lit("page_"), escaped(F.col("page_id").cast("string"))), PHYSICAL_IMG_NR="1", WIDTH=F.col("page_w"), HEIGHT=F.col("page_h")), F.lit(">\n      <PrintSpace"),
-        _attrs(HPOS="0", VPOS="0", WIDTH=F.col("page_w"), HEIGHT=F.col("page_h")), F.lit(">\n"), F.coalesce("blocks", F.lit("")), F.lit("      </PrintSpace>\n    </Page>\n  </Layout>\n</alto>\n"),
+    blocks = rows.groupBy("page_id", "blank", "region_idx", "bi").agg(
+        F.first("page_w").alias("page_w"), F.first("page_h").alias("page_h"), F.array_sort(F.collect_list(item)).alias("items"), x.alias("x"), y.alias("y"),
+        F.greatest(F.lit(1), F.max(F.col("hpos") + F.col("width")) - x).alias("w"), F.greatest(F.lit(1), F.max(F.col("vpos") + F.col("height")) - y).alias("h"),
     )
-    return every.select("page_id", page.alias("alto"))
-
-
-def shared_words(lines: DataFrame) -> DataFrame:
-    """(page_id, line_idx, word_idx, word, x, y, w, h): a line's words, each over its share of the line's width by characters."""
-    from quirelake.functions import strip
-
-    found = F.filter(F.split(strip(F.col("text")), " "), lambda w: w != "")
-    rows = kept_lines(lines).select("page_id", "line_idx", "hpos", "vpos", "width", "height", F.posexplode(found).alias("word_idx", "word")).withColumn("n", F.length("word"))
-    line = Window.partitionBy("page_id", "line_idx")
-    upto = F.sum(F.col("n") + 1).over(line.orderBy("word_idx").rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("at", upto - F.col("n") - 1).withColumn("unit", F.col("width") / F.greatest(F.lit(1), F.sum(F.col("n") + 1).over(line) - 1))
-    return rows.select("page_id", "line_idx", "word_idx", "word", (F.col("hpos") + F.floor(F.col("at") * F.col("unit"))).cast("int").alias("x"), F.col("vpos").alias("y"), F.ceil(F.col("n") * F.col("unit")).cast("int").alias("w"), F.col("height").alias("h"))
+    written = F.concat(F.lit("        <TextBlock"), _attrs(ID=place(F.lit("block"), "bi"), HPOS=F.col("x"), VPOS=F.col("y"), WIDTH=F.col("w"), HEIGHT=F.col("h")), F.lit(">\n"), F.array_join(F.transform("items", lambda i: i["xml"]), ""), F.lit("        </TextBlock>\n"))
+    blocks = blocks.select("page_id", "page_w", "page_h", "bi", F.when(~F.col("blank"), written).alias("block"), F.filter(F.transform("items", lambda i: i["tag"]), lambda t: t.isNotNull()).alias("tags"))
+    pages = blocks.groupBy("page_id").agg(F.first("page_w").alias("page_w"), F.first("page_h").alias("page_h"), F.array_sort(F.collect_list(F.struct("bi", "block", "tags"))).alias("all"))
+    pages = pages.withColumn("blocks", F.array_join(F.transform("all", lambda b: b["block"]), "")).withColumn("tags", F.array_distinct(F.flatten(F.transform("all", lambda b: b["tags"]))))
+    tags = F.when(F.size("tags") > 0, F.concat(F.lit("  <Tags>\n"), F.array_join(F.transform("tags", lambda t: F.concat(F.lit("    <StructureTag"), _attrs(ID=F.concat(F.lit("ROLE_"), t), LABEL=t), F.lit("/>\n"))), ""), F.lit("  </Tags>\n"))).otherwise("")
+    space = F.concat(F.lit("      <PrintSpace"), _attrs(HPOS="0", VPOS="0", WIDTH=F.col("page_w"), HEIGHT=F.col("page_h")))
+    filled = F.when(F.col("blocks") == "", F.concat(space, F.lit("/>\n"))).otherwise(F.concat(space, F.lit(">\n"), "blocks", F.lit("      </PrintSpace>\n")))
+    opened = F.concat(F.lit("  <Layout>\n    <Page"), _attrs(ID=F.concat(F.lit("page_"), escaped(F.col("page_id").cast("string"))), WIDTH=F.col("page_w"), HEIGHT=F.col("page_h"), PHYSICAL_IMG_NR="1"), F.lit(">\n"))
+    return pages.select("page_id", F.concat(F.lit(head(processed_at, software, layout)), tags, opened, filled, F.lit("    </Page>\n  </Layout>\n</alto>\n")).alias("alto"))
+
+
+def with_words(lines: DataFrame, words: DataFrame) -> DataFrame:
+    """lines with words, the words (page_id, line_idx, word_idx, word, x, y, w, h) of each in their order."""
+    nested = words.groupBy("page_id", "line_idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("word_idx", "word", "x", "y", "w", "h"))), lambda w: F.struct(*(w[c].alias(c) for c in ("word", "x", "y", "w", "h")))).alias("words"))
+    return lines.join(nested, ["page_id", "line_idx"], "left")
+
+
+def with_shared_words(lines: DataFrame) -> DataFrame:
+    """lines with words, each over its share of the line's width by characters; made within the row."""
+    rows = lines.withColumn("found", F.filter(F.split(strip(F.coalesce("text", F.lit(""))), " "), lambda w: w != ""))
+    size = lambda w: F.length(w) + 1
+    # the characters up to each word: a fold that keeps what it has summed
+    sums = F.aggregate("found", F.array(F.lit(0)), lambda acc, w: F.concat(acc, F.array(F.element_at(acc, -1) + size(w))))
+    rows = rows.withColumn("upto", sums).withColumn("unit", F.col("width") / F.greatest(F.lit(1), F.element_at("upto", -1) - 1))
+    unit = F.col("unit")
+    word = lambda w, i: F.struct(w.alias("word"), (F.col("hpos") + F.floor(F.get("upto", i) * unit)).cast("int").alias("x"), F.col("vpos").cast("int").alias("y"), F.ceil(F.length(w) * unit).cast("int").alias("w"), F.col("height").cast("int").alias("h"))
+    return rows.withColumn("words", F.transform("found", word)).drop("found", "upto", "unit")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,43 +55,83 @@ def calibrate_pitch(lines: DataFrame) -> DataFrame:
     return rows.withColumn("scale", scale).withColumn("asc", F.col("asc") * F.col("scale")).withColumn("desc", F.col("desc") * F.col("scale")).drop("n", "pitch")
 
 
-def _pairs(lines: DataFrame, bucket: float) -> DataFrame:
-    """Ordered pairs of a page's lines whose cy are under bucket apart: an equi-join on page and cy bucket, neighbours exploded."""
-    w = Window.partitionBy("page_id").orderBy("cy", "x0", "seq")
-    rows = lines.withColumn("k", F.row_number().over(w)).withColumn("h", F.greatest(F.lit(1.0), _height())).withColumn("bin", F.floor(F.col("cy") / bucket))
-    cols = ["k", "seq", "x0", "x1", "cy", "h"]
-    a = rows.select("page_id", "bin", *(F.col(c).alias(f"a_{c}") for c in cols))
-    b = rows.select("page_id", F.explode(F.array(F.col("bin"), F.col("bin") - 1)).alias("bin"), *(F.col(c).alias(f"b_{c}") for c in cols))
-    return a.join(b, ["page_id", "bin"]).where(F.col("a_k") < F.col("b_k")).drop("bin")
-
+def by_page(rows: DataFrame, names: list[str], fn: Callable[[dict[str, np.ndarray]], dict[str, np.ndarray]], schema: str) -> DataFrame:
+    """fn of each page's columns, as arrays in no set order, to columns of its results; schema names these, without page_id.
 
-def merge_candidates(lines: DataFrame, seps: DataFrame | None = None, max_height: float = 256.0, skip_later: bool = True) -> DataFrame:
+    Pages are gathered by one shuffle and come in Arrow batches, many pages in each, so a small page costs its lines only.
+    """
+    pages = rows.groupBy("page_id").agg(F.collect_list(F.struct(*names)).alias("rows"))
+    fields = [f.split() for f in schema.split(", ")]
+    types = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64()}
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column("rows")
+            flat = lists.flatten()
+            cols = {n: flat.field(k).to_numpy(zero_copy_only=False) for k, n in enumerate(names)}
+            ends = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            made = [fn({n: c[a:b] for n, c in cols.items()}) for a, b in zip(ends, ends[1:])]
+            sizes = [len(m[fields[0][0]]) for m in made]
+            page = batch.column("page_id").take(pa.array(np.repeat(np.arange(len(made)), sizes)))
+            out = [pa.array(np.concatenate([m[n] for m in made]) if made else [], types[t]) for n, t in fields]
+            yield pa.RecordBatch.from_arrays([page, *out], ["page_id", *(n for n, _ in fields)])
+
+    return pages.mapInArrow(run, f"page_id {dict(rows.dtypes)['page_id']}, {schema}")
+
+
+LINE = ["seq", "x0", "x1", "cy", "asc", "desc"]
+
+
+def _joining(p: dict[str, np.ndarray], skip_later: bool = True) -> dict[str, np.ndarray]:
+    """The pairs of a page's lines that join, and the box of the gap between them."""
+    order = np.lexsort((p["seq"], p["x0"], p["cy"]))
+    seq, x0, x1, cy = (p[c][order] for c in ("seq", "x0", "x1", "cy"))
+    h = np.maximum(1.0, p["asc"] + p["desc"])[order]
+    # what joins is within the tallest height, so partners behind that aren't looked at
+    ends = np.searchsorted(cy, cy + h.max(initial=0.0), side="right")
+    out: list[tuple] = []
+    for i, end in enumerate(ends):
+        b = slice(i + 1, end)
+        d, mean = cy[b] - cy[i], 0.5 * (h[i] + h[b])
+        stop = np.flatnonzero(d > np.maximum(h[i], h[b]))
+        left, right = np.where(x0[i] <= x0[b], x1[i], x1[b]), np.maximum(x0[i], x0[b])
+        gap = right - left
+        fits = (d <= 0.6 * mean) & (gap >= -0.5 * mean) & (gap <= GAP * mean)
+        if skip_later and len(stop):
+            fits[stop[0] :] = False
+        for k in np.flatnonzero(fits):
+            mid, half = np.floor(0.5 * (cy[i] + cy[i + 1 + k])), np.floor(0.5 * mean[k])
+            out.append((seq[i], seq[i + 1 + k], np.floor(min(left[k], right[k])), np.floor(max(left[k], right[k]) + 1), mid - half, mid + half + 1))
+    return {n: np.array([o[k] for o in out]) for k, n in enumerate(("a_seq", "b_seq", "gx0", "gx1", "gy0", "gy1"))}
+
+
+def _named(seqs: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of seqs the smallest one that the pairs (a, b) lead to."""
+    parent = {int(s): int(s) for s in seqs}
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for u, v in zip(a, b):
+        u, v = sorted((root(int(u)), root(int(v))))
+        parent[v] = u
+    return np.array([root(int(s)) for s in seqs])
+
+
+def merge_candidates(lines: DataFrame, seps: DataFrame | None = None, skip_later: bool = True) -> DataFrame:
     """(page_id, a_seq, b_seq) of fragments that belong to one line.
 
     Lines are taken by (cy, x0). A pair joins if its cy differ by 0.6 mean heights at most and its gap lies in [-0.5, 1.5] mean
-    heights, and no separator in the gap's box is over the gate (seps: page_id, y, x, sep). The scan for a line's partners ends with the first line
-    below it by more than the taller of both; skip_later keeps that rule exactly: pairs behind the stop aren't joined.
-    No height may be over max_height.
+    heights, and no separator in the gap's box is over the gate (seps: page_id, y, x, sep). The scan for a line's partners ends with
+    the first line below it by more than the taller of both: with skip_later lines behind that one aren't joined, whatever
+    their heights.
     """
-    d = F.col("b_cy") - F.col("a_cy")
-    # all pairs that can stop a scan or join lie within the larger height
-    pairs = _pairs(lines, max_height)
-    h = 0.5 * (F.col("a_h") + F.col("b_h"))
-    left = F.when(F.col("a_x0") <= F.col("b_x0"), F.col("a_x1")).otherwise(F.col("b_x1"))
-    right = F.greatest("a_x0", "b_x0")
-    gap = right - left
-    fits = (d <= 0.6 * h) & (gap >= -0.5 * h) & (gap <= GAP * h)
-    if skip_later:
-        stops = _pairs(lines, max_height).where(d > F.greatest("a_h", "b_h")).groupBy(F.col("page_id").alias("s_page"), F.col("a_seq").alias("s_seq")).agg(F.min("b_k").alias("stop"))
-        pairs = pairs.where(fits).join(stops, (F.col("page_id") == F.col("s_page")) & (F.col("a_seq") == F.col("s_seq")), "left").where(F.col("stop").isNull() | (F.col("b_k") < F.col("stop")))
-    else:
-        pairs = pairs.where(fits)
+    pairs = by_page(lines, LINE, lambda p: _joining(p, skip_later), "a_seq int, b_seq int, gx0 long, gx1 long, gy0 long, gy1 long")
     if seps is not None:
-        mid = F.floor(0.5 * (F.col("a_cy") + F.col("b_cy")))
-        half = F.floor(0.5 * h)
-        box = pairs.withColumn("gx0", F.floor(F.least(left, right))).withColumn("gx1", F.floor(F.greatest(left, right) + 1)).withColumn("gy0", mid - half).withColumn("gy1", mid + half + 1)
-        inside = F.col("page_id").eqNullSafe(F.col("s_page2")) & (F.col("x") >= F.col("gx0")) & (F.col("x") < F.col("gx1")) & (F.col("y") >= F.col("gy0")) & (F.col("y") < F.col("gy1"))
-        barred = box.join(seps.where(F.col("sep") > SEP_GATE).select(F.col("page_id").alias("s_page2"), "y", "x"), inside, "left_semi").select("page_id", "a_seq", "b_seq")
+        inside = F.col("page_id").eqNullSafe(F.col("s_page")) & (F.col("x") >= F.col("gx0")) & (F.col("x") < F.col("gx1")) & (F.col("y") >= F.col("gy0")) & (F.col("y") < F.col("gy1"))
+        barred = pairs.join(seps.where(F.col("sep") > SEP_GATE).select(F.col("page_id").alias("s_page"), "y", "x"), inside, "left_semi").select("page_id", "a_seq", "b_seq")
         pairs = pairs.join(barred, ["page_id", "a_seq", "b_seq"], "left_anti")
     return pairs.select("page_id", "a_seq", "b_seq")
 
@@ -111,34 +151,31 @@ def region_candidates(lines: DataFrame) -> DataFrame:
 def closure(lines: DataFrame, pairs: DataFrame) -> DataFrame:
     """(page_id, seq, group_seq): components of each page's pairs, named by their smallest seq.
 
-    A page has a few hundred lines, and pages never meet, so each is closed by one grouped call; nothing crosses pages.
+    A page has a few hundred lines, and pages never meet, so each is closed by one call; nothing crosses pages.
     """
-    edges = pairs.groupBy("page_id").agg(F.collect_list(F.struct("a_seq", "b_seq")).alias("edges"))
-    seqs = lines.groupBy("page_id").agg(F.sort_array(F.collect_list("seq")).alias("seqs"))
+    nodes = lines.select("page_id", "seq", F.lit(None).cast("int").alias("other"))
+    both = nodes.unionByName(pairs.select("page_id", F.col("a_seq").alias("seq"), F.col("b_seq").alias("other")))
 
-    def close(batches):
-        for pdf in batches:
-            rows = []
-            for page, nodes, links in zip(pdf["page_id"], pdf["seqs"], pdf["edges"]):
-                parent = {int(s): int(s) for s in nodes}
+    def close(p):
+        pair = ~np.isnan(p["other"].astype(float))
+        seqs = np.unique(p["seq"][~pair])
+        return {"seq": seqs, "group_seq": _named(seqs, p["seq"][pair], p["other"][pair])}
 
-                def root(x: int) -> int:
-                    while parent[x] != x:
-                        parent[x] = x = parent[parent[x]]
-                    return x
+    return by_page(both, ["seq", "other"], close, "seq int, group_seq int")
 
-                for e in links if links is not None else ():
-                    a, b = sorted((root(int(e["a_seq"])), root(int(e["b_seq"]))))
-                    parent[b] = a
-                rows += [(page, s, root(s)) for s in parent]
-            yield pd.DataFrame(rows, columns=["page_id", "seq", "group_seq"])
 
-    return seqs.join(edges, "page_id", "left").mapInPandas(close, "page_id long, seq int, group_seq int")
+def merge_lines(lines: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """Merged lines: (page_id, group_seq, n, x0, x1, cy, asc, desc), heights averaged, cy the mean of the members'. Without pairs
+    those of merge_candidates without separators, found and closed in one call by page."""
 
+    def name(p):
+        found = _joining(p)
+        return {c: p[c] for c in LINE} | {"group_seq": _named(p["seq"], found["a_seq"], found["b_seq"])}
 
-def merge_lines(lines: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Merged lines: (page_id, group_seq, n, x0, x1, cy, asc, desc), heights averaged, cy the mean of the members'."""
-    joined = lines.join(closure(lines, pairs), ["page_id", "seq"])
+    if pairs is None:
+        joined = by_page(lines, LINE, name, "seq int, x0 double, x1 double, cy double, asc double, desc double, group_seq int")
+    else:
+        joined = lines.join(closure(lines, pairs), ["page_id", "seq"])
     return joined.groupBy("page_id", "group_seq").agg(F.count("*").alias("n"), F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.avg("cy").alias("cy"), F.avg("asc").alias("asc"), F.avg("desc").alias("desc"))
 
 
@@ -171,21 +208,16 @@ def order_boxes(boxes: list[tuple[float, float, float, float]]) -> list[tuple[in
     return out
 
 
-def by_page(fn: Callable[[pd.DataFrame], pd.DataFrame], rows: DataFrame, schema: str) -> DataFrame:
-    return rows.groupBy("page_id").applyInPandas(fn, schema)
-
-
 def reading_order(boxes: DataFrame) -> DataFrame:
     """boxes (page_id, seq, x0, y0, x1, y1) -> (page_id, seq, band, col, read_pos). A fold over a page: each band depends on
-    those before, so no join expresses it; pages are small and independent."""
+    those before, so no join expresses it; pages are small and independent. Ties go by seq."""
 
-    def order(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        made = order_boxes(list(pdf[["x0", "y0", "x1", "y1"]].itertuples(index=False, name=None)))
-        seqs = pdf["seq"].to_numpy()
-        return pd.DataFrame({"page_id": pdf["page_id"].iloc[0], "seq": [seqs[i] for i, _, _ in made], "band": [b for _, b, _ in made], "col": [c for _, _, c in made], "read_pos": range(len(made))})
+    def order(p):
+        at = np.argsort(p["seq"], kind="stable")
+        made = np.array(order_boxes(list(zip(*(p[c][at].tolist() for c in ("x0", "y0", "x1", "y1"))))))
+        return {"seq": p["seq"][at][made[:, 0]], "band": made[:, 1], "col": made[:, 2], "read_pos": np.arange(len(made))}
 
-    return by_page(order, boxes.select("page_id", "seq", "x0", "y0", "x1", "y1"), "page_id long, seq int, band int, col int, read_pos int")
+    return by_page(boxes, ["seq", "x0", "y0", "x1", "y1"], order, "seq int, band int, col int, read_pos int")
 
 
 def column_islands(boxes: DataFrame, band: str = "band") -> DataFrame:

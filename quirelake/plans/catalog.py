@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirelake.functions import text_features, word_box
+from quirelake.functions import strip, text_features, word_box
 from quirelake.operators import adaptive, alto, blocks, crops, ctc, jobs, lines, maps, requests
 from quirelake.plans import views as V
 
@@ -159,7 +159,9 @@ SELECT page_id, line_idx, round(least(length(s), 80) / 80.0::DOUBLE, 6) AS f_len
        CASE WHEN s = '' OR right(s, 1) IN ('.', ':', '!', '?') THEN 1.0 ELSE 0.0 END::DOUBLE AS f_ends
 FROM v_s""")
 def text_feature_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.v_line(spark, sf_dir).select("page_id", "line_idx", *(r6(c).alias(k) for k, c in text_features(F.col("text")).items()))
+    # stripped once, in a projection of its own
+    rows = V.v_line(spark, sf_dir).select("page_id", "line_idx", strip(F.coalesce("text", F.lit(""))).alias("s"))
+    return rows.select("page_id", "line_idx", *(r6(c).alias(k) for k, c in text_features(F.col("s"), stripped=True).items()))
 
 
 QUERIES["text_features"] = QUERIES.pop("text_feature_rows")
@@ -363,7 +365,7 @@ v_cand AS (
 
 @query(V.V_BOX, _MERGE, sql="SELECT page_id, a_seq, b_seq FROM v_cand")
 def merge_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.merge_candidates(V.v_box(spark, sf_dir), max_height=4096.0)
+    return lines.merge_candidates(V.v_box(spark, sf_dir))
 
 
 _CLOSE = """
@@ -376,8 +378,7 @@ v_group AS (SELECT page_id, node AS seq, min(seen) AS group_seq FROM v_reach GRO
 SELECT page_id, group_seq, count(*) AS n, min(x0) AS x0, max(x1) AS x1, round(avg(cy), 6) AS cy, round(avg("asc"), 6) AS "asc", round(avg("desc"), 6) AS "desc"
 FROM v_box JOIN v_group USING (page_id, seq) GROUP BY ALL""")
 def merge_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = V.v_box(spark, sf_dir)
-    return rounded(lines.merge_lines(rows, lines.merge_candidates(rows, max_height=4096.0)), "cy", "asc", "desc")
+    return rounded(lines.merge_lines(V.v_box(spark, sf_dir)), "cy", "asc", "desc")
 
 
 _REGION = """
@@ -404,7 +405,30 @@ def column_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.column_islands(boxes(spark, sf_dir).withColumn("band", F.col("region_idx")))
 
 
-@query()
+# boxes one by one by their tops: n is how many of a page's are placed, tops and feet the extents of its bands so far
+_BANDS = """
+v_top AS (SELECT page_id, seq, x0, x1, cy - "asc" AS y0, cy + "desc" AS y1, row_number() OVER (PARTITION BY page_id ORDER BY cy - "asc", seq) AS k FROM v_box),
+v_place AS (
+    SELECT page_id, k, 1 AS band, [y0] AS tops, [y1] AS feet FROM v_top WHERE k = 1
+    UNION ALL
+    SELECT page_id, k, band,
+           CASE WHEN band > len(tops) THEN list_append(tops, y0) ELSE list_transform(tops, lambda t, i: CASE WHEN i = band THEN least(t, y0) ELSE t END) END,
+           CASE WHEN band > len(feet) THEN list_append(feet, y1) ELSE list_transform(feet, lambda t, i: CASE WHEN i = band THEN greatest(t, y1) ELSE t END) END
+    FROM (
+        SELECT b.page_id, b.k, b.y0, b.y1, tops, feet, coalesce(list_position(list_transform(tops, lambda t, i: least(b.y1, feet[i]) - greatest(b.y0, t) > 0.5::DOUBLE * greatest(1, least(b.y1 - b.y0, feet[i] - t))), true), len(tops) + 1)::INT AS band
+        FROM v_place p JOIN v_top b ON b.page_id = p.page_id AND b.k = p.k + 1
+    )
+),
+v_band AS (SELECT page_id, k, band - 1 AS band, seq, x0, x1, y0, (x0 + x1) / 2 AS centre FROM v_place JOIN v_top USING (page_id, k)),
+v_r AS (SELECT page_id, band, 0.5::DOUBLE * greatest(1.0, list_sort(list(x1 - x0))[count(*) // 2 + 1]) AS reach FROM v_band GROUP BY ALL),
+v_col AS (
+    SELECT page_id, band, seq, k, y0, (sum(jump) OVER (PARTITION BY page_id, band ORDER BY centre, k ROWS UNBOUNDED PRECEDING))::INT AS col FROM (
+        SELECT c.*, coalesce((centre - lag(centre) OVER (PARTITION BY c.page_id, c.band ORDER BY centre, k) > reach)::INT, 0) AS jump FROM v_band c JOIN v_r r ON c.page_id = r.page_id AND c.band = r.band
+    )
+)"""
+
+
+@query(V.V_BOX, _BANDS, recursive=True, sql="SELECT page_id, seq, band, col, (row_number() OVER (PARTITION BY page_id ORDER BY band, col, y0, k) - 1)::INT AS read_pos FROM v_col")
 def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = V.v_box(spark, sf_dir)
     return lines.reading_order(rows.withColumn("y0", F.col("cy") - F.col("asc")).withColumn("y1", F.col("cy") + F.col("desc")))
@@ -492,34 +516,65 @@ def baseline_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ESC = "replace(replace(replace(replace(replace(regexp_replace({t}, '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(9), '&#9;')"
 _WORDS = rf"""
-v_al AS (SELECT *, {_STRIP} AS s, CASE WHEN line_idx = 9999 THEN 'page_number' WHEN pos = 0 THEN 'heading' ELSE 'body' END AS role FROM v_kept),
-v_aw0 AS (SELECT page_id, region_idx, line_idx, hpos, vpos, width, height, unnest(range(1, len(ws) + 1)) AS i, ws FROM (SELECT *, list_filter(string_split(s, ' '), lambda w: w <> '') AS ws FROM v_al)),
+v_al AS (
+    SELECT *, {_STRIP} AS s, CASE WHEN line_idx = 9999 THEN 'page_number' WHEN pos = 0 THEN 'heading' ELSE 'body' END AS role,
+           dense_rank() OVER (PARTITION BY page_id ORDER BY region_idx) - 1 AS bi, row_number() OVER (PARTITION BY page_id, region_idx ORDER BY line_idx) - 1 AS li FROM v_kept
+),
+v_aw0 AS (SELECT page_id, bi, li, line_idx, hpos, vpos, width, height, unnest(range(1, len(ws) + 1)) AS i, ws FROM (SELECT *, list_filter(string_split(s, ' '), lambda w: w <> '') AS ws FROM v_al)),
 v_aw1 AS (SELECT * EXCLUDE ws, ws[i] AS word, length(ws[i]) AS n FROM v_aw0),
 v_aw2 AS (SELECT *, sum(n + 1) OVER k - n - 1 AS ahead, width / greatest(1, sum(n + 1) OVER (PARTITION BY page_id, line_idx) - 1) AS unit FROM v_aw1 WINDOW k AS (PARTITION BY page_id, line_idx ORDER BY i ROWS UNBOUNDED PRECEDING)),
 v_aws AS (
-    SELECT page_id, line_idx, string_agg('            <String CONTENT="' || {_ESC.format(t="word")} || '" HPOS="' || greatest(0, hpos + floor(ahead * unit)::INT) || '" VPOS="' || greatest(0, vpos) || '" WIDTH="' || greatest(1, ceil(n * unit)::INT) || '" HEIGHT="' || greatest(1, height) || '"/>' || chr(10), '            <SP/>' || chr(10) ORDER BY i) AS inner_xml
+    SELECT page_id, line_idx, string_agg('            <String ID="word_' || bi || '_' || li || '_' || (i - 1) || '" CONTENT="' || {_ESC.format(t="word")} || '" HPOS="' || greatest(0, hpos + floor(ahead * unit)::INT) || '" VPOS="' || greatest(0, vpos) || '" WIDTH="' || greatest(1, ceil(n * unit)::INT) || '" HEIGHT="' || greatest(1, height) || '"/>' || chr(10), '            <SP/>' || chr(10) ORDER BY i) AS inner_xml
     FROM v_aw2 GROUP BY ALL
 ),
 v_axl AS (
-    SELECT l.*, '          <TextLine ID="line_' || region_idx || '_' || line_idx || '" HPOS="' || hpos || '" VPOS="' || vpos || '" WIDTH="' || width || '" HEIGHT="' || height || '"' || CASE WHEN role <> 'body' THEN ' TAGREFS="ROLE_' || role || '"' ELSE '' END || '>' || chr(10) || coalesce(inner_xml, '') || '          </TextLine>' || chr(10) AS xml
+    SELECT l.*, '          <TextLine ID="line_' || bi || '_' || li || '" HPOS="' || hpos || '" VPOS="' || vpos || '" WIDTH="' || width || '" HEIGHT="' || height || '"' || CASE WHEN role <> 'body' THEN ' TAGREFS="ROLE_' || role || '"' ELSE '' END || CASE WHEN inner_xml IS NULL THEN '/>' || chr(10) ELSE '>' || chr(10) || inner_xml || '          </TextLine>' || chr(10) END AS xml
     FROM v_al l LEFT JOIN v_aws USING (page_id, line_idx)
 ),
 v_axb AS (
-    SELECT page_id, region_idx, '        <TextBlock ID="block_' || region_idx || '" HPOS="' || min(hpos) || '" VPOS="' || min(vpos) || '" WIDTH="' || greatest(1, max(hpos + width) - min(hpos)) || '" HEIGHT="' || greatest(1, max(vpos + height) - min(vpos)) || '">' || chr(10) || string_agg(xml, '' ORDER BY line_idx) || '        </TextBlock>' || chr(10) AS block
-    FROM v_axl GROUP BY page_id, region_idx
+    SELECT page_id, bi, '        <TextBlock ID="block_' || bi || '" HPOS="' || min(hpos) || '" VPOS="' || min(vpos) || '" WIDTH="' || greatest(1, max(hpos + width) - min(hpos)) || '" HEIGHT="' || greatest(1, max(vpos + height) - min(vpos)) || '">' || chr(10) || string_agg(xml, '' ORDER BY li) || '        </TextBlock>' || chr(10) AS block
+    FROM v_axl GROUP BY page_id, bi
 ),
-v_axp AS (SELECT page_id, string_agg(block, '' ORDER BY region_idx) AS blocks FROM v_axb GROUP BY ALL),
-v_axt AS (SELECT page_id, '  <Tags>' || chr(10) || string_agg('    <StructureTag ID="ROLE_' || role || '" LABEL="' || role || '"/>' || chr(10), '' ORDER BY first_at) || '  </Tags>' || chr(10) AS tags FROM (SELECT page_id, role, min(region_idx * 100000 + line_idx) AS first_at FROM v_al WHERE role <> 'body' GROUP BY ALL) GROUP BY ALL)"""
+v_axp AS (SELECT page_id, string_agg(block, '' ORDER BY bi) AS blocks FROM v_axb GROUP BY ALL),
+v_axt AS (SELECT page_id, '  <Tags>' || chr(10) || string_agg('    <StructureTag ID="ROLE_' || role || '" LABEL="' || role || '"/>' || chr(10), '' ORDER BY first_at) || '  </Tags>' || chr(10) AS tags FROM (SELECT page_id, role, min(bi * 100000 + li) AS first_at FROM v_al WHERE role <> 'body' GROUP BY ALL) GROUP BY ALL)"""
+
+#: What each document starts with, written out: the namespaces of the format's fourth version, a step for the layout and one for the text.
+_ALTO_HEAD = """<?xml version="1.0" ?>
+<alto xmlns="http://www.loc.gov/standards/alto/ns-v4#" xmlns:xsi="http://www.w3.org/2001/XMLSchema-instance" xsi:schemaLocation="http://www.loc.gov/standards/alto/ns-v4# http://www.loc.gov/standards/alto/v4/alto-4-4.xsd">
+  <Description>
+    <MeasurementUnit>pixel</MeasurementUnit>
+    <OCRProcessing ID="IdLayout">
+      <ocrProcessingStep>
+        <processingDateTime>1970-01-01T00:00:00Z</processingDateTime>
+        <processingStepDescription>layout</processingStepDescription>
+        <processingSoftware>
+          <softwareCreator>quirelake</softwareCreator>
+          <softwareName>layout</softwareName>
+        </processingSoftware>
+      </ocrProcessingStep>
+    </OCRProcessing>
+    <OCRProcessing ID="IdRecognition">
+      <ocrProcessingStep>
+        <processingDateTime>1970-01-01T00:00:00Z</processingDateTime>
+        <processingStepDescription>recognition</processingStepDescription>
+        <processingSoftware>
+          <softwareCreator>quirelake</softwareCreator>
+          <softwareName>recogniser</softwareName>
+        </processingSoftware>
+      </ocrProcessingStep>
+    </OCRProcessing>
+  </Description>
+"""
 
 
 @query(V.V_LINE, _KEPT, _WORDS, sql=f"""
-SELECT d.page_id, '{alto.head("1970-01-01T00:00:00Z", "quirelake", "layout")}' || coalesce(tags, '') || '  <Layout>' || chr(10) || '    <Page ID="page_' || d.page_id || '" PHYSICAL_IMG_NR="1" WIDTH="' || page_w || '" HEIGHT="' || page_h || '">' || chr(10)
-       || '      <PrintSpace HPOS="0" VPOS="0" WIDTH="' || page_w || '" HEIGHT="' || page_h || '">' || chr(10) || coalesce(blocks, '') || '      </PrintSpace>' || chr(10) || '    </Page>' || chr(10) || '  </Layout>' || chr(10) || '</alto>' || chr(10) AS alto
+SELECT d.page_id, '{_ALTO_HEAD}' || coalesce(tags, '') || '  <Layout>' || chr(10) || '    <Page ID="page_' || d.page_id || '" WIDTH="' || page_w || '" HEIGHT="' || page_h || '" PHYSICAL_IMG_NR="1">' || chr(10)
+       || '      <PrintSpace HPOS="0" VPOS="0" WIDTH="' || page_w || '" HEIGHT="' || page_h || '"' || CASE WHEN blocks IS NULL THEN '/>' || chr(10) ELSE '>' || chr(10) || blocks || '      </PrintSpace>' || chr(10) END || '    </Page>' || chr(10) || '  </Layout>' || chr(10) || '</alto>' || chr(10) AS alto
 FROM (SELECT DISTINCT page_id, page_w, page_h FROM v_line) d LEFT JOIN v_axp USING (page_id) LEFT JOIN v_axt USING (page_id)""")
 def alto_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
     role = F.when(F.col("line_idx") == 9999, "page_number").when(F.col("pos") == 0, "heading").otherwise("body")
     rows = V.v_line(spark, sf_dir).withColumn("role", role)
-    return alto.to_alto(rows, alto.shared_words(rows))
+    return alto.to_alto(alto.with_shared_words(rows))
 
 
 @query(V.V_UPLOAD, sql="SELECT page_id, name, length, CASE WHEN length > 4096 THEN 413 ELSE 202 END AS status FROM v_upload")

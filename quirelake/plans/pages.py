@@ -66,8 +66,7 @@ def found_lines(cells: DataFrame) -> DataFrame:
 
 def joined_fragments(found: DataFrame, cells: DataFrame) -> DataFrame:
     """Fragments of one line as one: median y of each column, evenly taken; heights are means. seq is the first member's."""
-    tall = found.agg(F.max(F.greatest(F.lit(1.0), F.col("asc") + F.col("desc")))).first()[0] or 1.0
-    pairs = lines.merge_candidates(found, cells.select("page_id", "y", "x", "sep"), max_height=float(tall) + 1)
+    pairs = lines.merge_candidates(found, cells.select("page_id", "y", "x", "sep"))
     members = found.join(lines.closure(found, pairs), ["page_id", "seq"])
     by = ["page_id", "group_seq"]
     sums = members.groupBy(*by).agg(F.count("*").alias("n"), F.avg("asc").alias("asc"), F.avg("desc").alias("desc"), F.max_by("baseline", F.col("x1") - F.col("x0")).alias("widest"))
@@ -182,7 +181,7 @@ def process(pages: DataFrame, layout: LayoutPort, model: ModelPort, vocab: DataF
     rows, words = (every(k).join(chosen.select("page_id", "ds"), ["page_id", "ds"]) for k in (0, 1))
     rows = _kept(rows, "chosen-lines")
     n = blocks.kept_lines(rows).groupBy("page_id").agg(F.count("*").alias("n_lines"))
-    out = keyed.select("page_id", "name", "origin", "status").join(chosen, "page_id", "left").join(n, "page_id", "left").join(blocks.page_text(rows), "page_id", "left").join(alto.to_alto(rows, words, processed_at), "page_id", "left")
+    out = keyed.select("page_id", "name", "origin", "status").join(chosen, "page_id", "left").join(n, "page_id", "left").join(blocks.page_text(rows), "page_id", "left").join(alto.to_alto(alto.with_words(rows, words), processed_at), "page_id", "left")
     read = lambda c: F.when(F.col("status") == 202, c)
     return out.select(F.col("name").alias("page_id"), "origin", "status", "ds", F.bround("conf", 4).alias("mean_conf"), read(F.coalesce("n_lines", F.lit(0))).alias("n_lines"), read(F.coalesce("page_text", F.lit("\n"))).alias("text"), "alto")
 

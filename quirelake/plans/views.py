@@ -56,7 +56,7 @@ def v_ctc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 V_CTC = """
-v_cl AS (SELECT *, string_split(substr(text, 1, 1000), '') AS cs FROM v_line WHERE page_id % 10 = 0 AND trim(text) <> ''),
+v_cl AS (SELECT *, string_split(text, '') AS cs FROM v_line WHERE trim(text) <> ''),
 v_ci AS (SELECT page_id * 10000 + line_idx AS line_id, page_id, line_idx, unnest(range(1, len(cs) + 1)) AS i, cs FROM v_cl),
 v_ctc AS (
     SELECT line_id, page_id, line_idx, (2 * (i - 1))::INT AS t, cs[i] AS ch FROM v_ci

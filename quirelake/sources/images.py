@@ -59,11 +59,11 @@ def png(pixels: np.ndarray) -> bytes:
 
 def write_samples(keys: DataFrame, folder: str) -> None:
     """A small image for each key (k), alternately gray and colour, and one broken file, by the driver through Hadoop's file
-    system, as the folder may be in any store. For tests and demonstrations: a handful of keys."""
+    system, as the folder may be in any store. For tests and demonstrations: the keys come to the driver one after the other."""
     spark = keys.sparkSession
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     files = {"broken.png": b"not an image"}
-    for (k,) in keys.orderBy("k").limit(16).collect():
+    for (k,) in keys.orderBy("k").toLocalIterator():
         ramp = (np.arange(12 * (8 + k)).reshape(12, 8 + k) * (k + 3) % 256).astype(np.uint8)
         files[f"page{k}.png"] = png(ramp if k % 2 else np.stack([ramp, ramp[::-1], ramp[:, ::-1]], axis=2))
     for name, body in files.items():

@@ -118,7 +118,7 @@ def test_separators_and_hulls():
 def test_alto_is_xml_and_holds_the_text(spark):
     rows = [(1, 0, 0, 'a "b" <c> & d', 3, 4, 100, 20, 500, 700, "heading"), (1, 1, 5, "e", 3, 40, 10, 20, 500, 700, None), (1, 2, 9, "  ", 0, 0, 1, 1, 500, 700, None), (2, 0, 0, "", 0, 0, 1, 1, 500, 700, None)]
     df = spark.createDataFrame(rows, "page_id long, region_idx int, line_idx int, text string, hpos int, vpos int, width int, height int, page_w int, page_h int, role string")
-    got = {r.page_id: ElementTree.fromstring(r.alto) for r in alto.to_alto(df, alto.shared_words(df)).collect()}
+    got = {r.page_id: ElementTree.fromstring(r.alto) for r in alto.to_alto(alto.with_shared_words(df)).collect()}
     assert [e.get("CONTENT") for e in got[1].iter() if e.tag.endswith("String")] == ["a", '"b"', "<c>", "&", "d", "e"]
     assert [e.get("ID") for e in got[1].iter() if e.tag.endswith("TextBlock")] == ["block_0", "block_1"]
     assert [e.get("LABEL") for e in got[1].iter() if e.tag.endswith("StructureTag")] == ["heading"]
