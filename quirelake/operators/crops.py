@@ -38,12 +38,34 @@ def spread_frame(sizes: DataFrame, ds: int = DOWNSAMPLE) -> DataFrame:
     return rows.select("page_id", "side", (F.col("f_wd") / 2 / F.col("wd")).alias("sx"), (F.col("f_hd") / F.col("hd")).alias("sy"), F.when(F.col("side") == 1, F.col("f_wd") / 2).otherwise(0.0).alias("x_off"))
 
 
-def spread_lines(lines: DataFrame, frames: DataFrame) -> DataFrame:
-    """lines (page_id, side, seq, x0, x1, cy, asc, desc) of both halves in the whole page's map; left lines before right ones."""
-    rows = lines.join(frames, ["page_id", "side"])
-    x = lambda c: (F.col(c) * F.col("sx") + F.col("x_off")).alias(c)
-    y = lambda c: (F.col(c) * F.col("sy")).alias(c)
-    return rows.select("page_id", "side", "seq", x("x0"), x("x1"), y("cy"), y("asc"), y("desc"))
+def layout_sizes(h: int, w: int, ds: int = DOWNSAMPLE) -> list[tuple[int, int]]:
+    """The sizes (h, w) that an image goes through on its way to the layout network, as of resize_chain; the last is hd, wd."""
+    out = [(max(1, int(h * (MAX_WIDTH / w))), MAX_WIDTH)] if w > MAX_WIDTH else []
+    h, w = out[-1] if out else (h, w)
+    out.append((max(1, h // ds), max(1, w // ds)))
+    if (side := max(out[-1])) > MAX_SIDE:
+        out.append(tuple(max(1, int(v * (MAX_SIDE / side))) for v in out[-1]))
+    return out
+
+
+def _shares(src: int, dst: int) -> np.ndarray:
+    """(dst, src): what share each old pixel has in each new one: by covered area, or between the two nearest where it grows."""
+    at = np.arange(src)
+    if dst <= src:
+        a, b = (np.arange(dst)[:, None] + k for k in (0, 1))
+        return np.clip(np.minimum(at + 1, b * (src / dst)) - np.maximum(at, a * (src / dst)), 0, None) * (dst / src)
+    centre = np.clip((np.arange(dst)[:, None] + 0.5) * (src / dst) - 0.5, 0, src - 1)
+    return np.clip(1 - np.abs(centre - at), 0, None)
+
+
+def area_resize(image: np.ndarray, h: int, w: int) -> np.ndarray:
+    """Bytes (h0, w0) or (h0, w0, channels) at another size; each new pixel is the mean over the area it covers."""
+    if image.shape[:2] == (h, w):
+        return image
+    rows, cols = (_shares(a, b).astype(np.float32) for a, b in zip(image.shape, (h, w)))
+    made = np.tensordot(rows, image.astype(np.float32), axes=(1, 0))
+    made = np.moveaxis(np.tensordot(cols, made, axes=(1, 1)), 0, 1)
+    return np.clip(np.rint(made), 0, 255).astype(np.uint8)
 
 
 def crop_affine(points: DataFrame, *keys: str, scale: float = 1.0) -> DataFrame:
@@ -89,6 +111,12 @@ def baseline_polygon(baseline: Column, asc: Column, desc: Column) -> Column:
     return F.when(n >= 2, F.concat(above, F.reverse(below))).when(n == 1, box)
 
 
+def line_crop(gray: np.ndarray, m: list[float], dst_w: int, dst_h: int, crop_w: int) -> np.ndarray:
+    """A line's pixels, TARGET_H high: cut at the page's resolution, then resized by area. m is that of crop_affine."""
+    step = dst_h / TARGET_H
+    return area_resize(warp(gray, [m[0] / step, m[1] / step, m[2], m[3] / step, m[4] / step, m[5]], dst_w, dst_h), TARGET_H, crop_w)
+
+
 def warp(image: np.ndarray, m: list[float], width: int, height: int = TARGET_H) -> np.ndarray:
     """Crop pixels from a gray image by bilinear sampling, borders repeated."""
     v, u = np.mgrid[0:height, 0:width].astype(float)

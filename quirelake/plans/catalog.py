@@ -292,25 +292,25 @@ def adaptive_choose_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(V.V_CELL, sql="SELECT page_id, y, x, round(max(base) OVER (PARTITION BY page_id, x ORDER BY y ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 6) AS top FROM v_cell")
 def vertical_max(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(maps.vertical_max(V.v_cell(spark, sf_dir), "base", "top").select("page_id", "y", "x", "top"), "top")
+    return rounded(maps.cells(maps.vertical_max(V.v_map(spark, sf_dir), "base", "top"), "top"), "top")
 
 
 _SMOOTH = """
 v_row AS (SELECT *, coalesce(lag(base) OVER w, base) + base + coalesce(lead(base) OVER w, base) AS r FROM v_cell WINDOW w AS (PARTITION BY page_id, y ORDER BY x)),
 v_smooth AS (SELECT *, (coalesce(lag(r) OVER w, r) + r + coalesce(lead(r) OVER w, r)) / 9 AS smooth FROM v_row WINDOW w AS (PARTITION BY page_id, x ORDER BY y))"""
 _MASK = """
-v_top AS (SELECT *, max(smooth) OVER (PARTITION BY page_id, x ORDER BY y ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS top FROM v_smooth),
+v_top AS (SELECT * REPLACE (max(asc_h) OVER k AS asc_h, max(desc_h) OVER k AS desc_h), max(smooth) OVER k AS top FROM v_smooth WINDOW k AS (PARTITION BY page_id, x ORDER BY y ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)),
 v_mask AS (SELECT * FROM v_top WHERE CASE WHEN smooth >= top - 1e-6::DOUBLE THEN smooth ELSE 0.0 END - endp > 0.25::DOUBLE)"""
 
 
 @query(V.V_CELL, _SMOOTH, sql="SELECT page_id, y, x, round(smooth, 6) AS smooth FROM v_smooth")
 def smooth3x3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(maps.smooth3x3(V.v_cell(spark, sf_dir), "base", "smooth").select("page_id", "y", "x", "smooth"), "smooth")
+    return rounded(maps.cells(maps.smooth3x3(V.v_map(spark, sf_dir), "base", "smooth"), "smooth"), "smooth")
 
 
 @query(V.V_CELL, _SMOOTH, _MASK, sql="SELECT page_id, y, x FROM v_mask")
 def nms_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return maps.peak_mask(V.v_cell(spark, sf_dir)).select("page_id", "y", "x")
+    return maps.peak_mask(V.v_map(spark, sf_dir))
 
 
 @query(V.V_CELL, _SMOOTH, _MASK, """
@@ -318,35 +318,40 @@ v_near AS (SELECT a.page_id, a.y * 1000 + a.x AS a, b.y * 1000 + b.x AS b FROM v
 v_reach AS (SELECT page_id, a AS node, a AS seen FROM v_near UNION SELECT r.page_id, r.node, n.b FROM v_reach r JOIN v_near n ON n.page_id = r.page_id AND n.a = r.seen),
 v_comp AS (SELECT page_id, node, min(seen) AS root FROM v_reach GROUP BY ALL),
 v_pix AS (SELECT m.*, root FROM v_mask m JOIN v_comp c ON c.page_id = m.page_id AND c.node = m.y * 1000 + m.x)""", recursive=True, sql="""
-SELECT page_id, min_y, min_x, n_pixels, round(asc_h, 6) AS asc_h, desc_h, greatest(0, x_first - 2) AS x_first, least(95, x_last + 2) AS x_last FROM (
-    SELECT page_id, root, (root // 1000)::INT AS min_y, (root % 1000)::INT AS min_x, count(*) AS n_pixels, quantile_cont(greatest(0.0, asc_h), 0.5) AS asc_h, quantile_cont(greatest(0.0, desc_h), 0.5) AS desc_h, min(x) AS x_first, max(x) AS x_last
-    FROM v_pix GROUP BY ALL
-) WHERE n_pixels > 5 AND x_last - x_first >= 5""")
+SELECT page_id, min_y, min_x, n_pixels, round(asc_h, 6) AS asc_h, round(desc_h, 6) AS desc_h,
+       string_agg(CASE k WHEN 0 THEN greatest(0, px - 2) WHEN n - 1 THEN least(95, px + 2) ELSE px END || ' ' || py, ',' ORDER BY k) AS baseline
+FROM (
+    SELECT c.*, k, n, xs[trunc(k * ((len(xs) - 1)::DOUBLE / (n - 1)))::INT + 1] AS px, yy[trunc(k * ((len(xs) - 1)::DOUBLE / (n - 1)))::INT + 1] AS py
+    FROM (
+        SELECT page_id, root, (root // 1000)::INT AS min_y, (root % 1000)::INT AS min_x, count(*) AS n_pixels, quantile_cont(greatest(0.0, asc_h), 0.5) AS asc_h, quantile_cont(greatest(0.0, desc_h), 0.5) AS desc_h FROM v_pix GROUP BY ALL
+    ) c JOIN (
+        SELECT page_id, root, list(x ORDER BY x) AS xs, list(y ORDER BY x) AS yy, greatest(2, least(10, count(*) // 10)) AS n
+        FROM (SELECT page_id, root, x, round_even(quantile_cont(y, 0.5), 0)::INT AS y FROM v_pix GROUP BY ALL) GROUP BY ALL
+    ) p USING (page_id, root), range(n) AS r(k)
+    WHERE n_pixels > 5 AND len(xs) >= 2 AND xs[len(xs)] - xs[1] >= 5
+) GROUP BY ALL""")
 def line_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = maps.components(maps.peak_mask(V.v_cell(spark, sf_dir)))
-    made = maps.lines_of(found, V.CELL_W)
-    start = found.groupBy("page_id", "comp").agg(F.min(F.struct("y", "x")).alias("s"))
-    rows = made.join(start, ["page_id", "comp"])
-    return rows.select("page_id", F.col("s.y").alias("min_y"), F.col("s.x").alias("min_x"), "n_pixels", r6("asc").alias("asc_h"), F.col("desc").alias("desc_h"), F.element_at("baseline", 1)["x"].alias("x_first"), F.element_at("baseline", -1)["x"].alias("x_last"))
+    found = maps.found_lines(V.v_map(spark, sf_dir))
+    points = F.array_join(F.transform("baseline", lambda p: F.concat_ws(" ", p["x"].cast("int"), p["y"].cast("int"))), ",")
+    return found.select("page_id", "min_y", "min_x", "n_pixels", r6("asc").alias("asc_h"), r6("desc").alias("desc_h"), points.alias("baseline"))
 
 
-@query(V.V_CELL, "v_sum AS (SELECT page_id, x, sum(sep) AS s FROM v_cell GROUP BY ALL)", sql="""
+@query(V.V_CELL, "v_sum AS (SELECT page_id, x, round(sum(sep), 9) AS s FROM v_cell GROUP BY ALL)", sql="""
 SELECT page_id, gutter, round(peak, 6) AS peak, round(med, 6) AS med, peak >= 0.12::DOUBLE * 64 AND peak >= 4 * med AS strong FROM (
     SELECT page_id, first(x ORDER BY s DESC, x) FILTER (WHERE x >= 24 AND x < 72) AS gutter, max(s) FILTER (WHERE x >= 24 AND x < 72) AS peak, quantile_cont(s, 0.5) + 1e-6::DOUBLE AS med FROM v_sum GROUP BY ALL
 )""")
 def column_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # sums of equal cells in another order may differ in their last bits, which must not choose the column
-    return rounded(maps.column_profile(V.v_cell(spark, sf_dir).withColumn("sep", F.col("sep").cast("decimal(9,3)").cast("double"))), "peak", "med")
+    return rounded(maps.column_profile(V.v_map(spark, sf_dir)), "peak", "med")
 
 
 @query(V.V_CELL, """
 v_gray AS (SELECT page_id, y, x, CASE WHEN x BETWEEN 44 AND 50 AND page_id % 2 = 0 THEN 250 ELSE 255 - (base * 300)::INT END AS gray FROM v_cell),
 v_ink AS (SELECT page_id, x, avg((gray < 128)::INT) AS ink FROM v_gray GROUP BY ALL),
 v_sm AS (SELECT page_id, x, sum(ink) OVER (PARTITION BY page_id ORDER BY x ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) / 3 AS v FROM v_ink)""", sql="""
-SELECT page_id, min(v) FILTER (WHERE x >= 40 AND x < 55) < 0.25::DOUBLE * quantile_cont(v, 0.5) FILTER (WHERE x >= 4 AND x < 91) AS gutter FROM v_sm GROUP BY ALL""")
+SELECT page_id, min(v) FILTER (WHERE x >= 40 AND x < 55) < 0.25::DOUBLE * (quantile_cont(v, 0.5) FILTER (WHERE x >= 4 AND x < 91) + 1e-6::DOUBLE) AS gutter FROM v_sm GROUP BY ALL""")
 def gutter_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gray = F.expr("CASE WHEN x BETWEEN 44 AND 50 AND page_id % 2 = 0 THEN 250 ELSE 255 - CAST(round(base * 300) AS INT) END")
-    return maps.central_gutter(V.v_cell(spark, sf_dir).withColumn("gray", gray))
+    gray = F.expr(f"transform(base, (b, i) -> CASE WHEN i % {V.CELL_W} BETWEEN 44 AND 50 AND page_id % 2 = 0 THEN 250D ELSE 255D - cast(round(b * 300) as int) END)")
+    return maps.central_gutter(V.v_map(spark, sf_dir).withColumn("gray", gray))
 
 
 _MERGE = """
@@ -671,9 +676,7 @@ def image_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def page_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From layout maps to lines in reading order: fragments joined, regions, columns, order."""
-    from quirelake.plans import pages
-
-    rows = pages.maps_to_regions(V.v_cell(spark, sf_dir).withColumn("wd", F.lit(V.CELL_W)))
+    rows = maps.maps_to_regions(V.v_map(spark, sf_dir))
     return rows.select("page_id", "region_idx", "line_idx", F.size("baseline").alias("n_points"), "x0", "x1", r6("cy").alias("cy"), r6("asc").alias("asc"), r6("desc").alias("desc"))
 
 

@@ -1,19 +1,19 @@
-"""From page images to texts: layout maps, lines, regions, crops, recognition, and the choice among resolutions."""
+"""From page images to texts: layout, crops, recognition, the choice among resolutions, and roles."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirelake.functions import bbox_from_quad, word_box
+from quirelake.functions import bbox_from_quad, text_features, word_box
 from quirelake.operators import adaptive, alto, blocks, crops, ctc, lines, maps
 from quirelake.session import scratch
-from quirelake.sources.models import LayoutPort, ModelPort, recognise
+from quirelake.sources.models import LayoutPort, ModelPort, RolePort, key_of, loaded, probed, recognise
 
-_loaded: dict[int, object] = {}
-CELL = "page_id long, y int, x int, asc_h double, desc_h double, base double, endp double, sep double, wd int"
+#: Fixed value: the size (h, w) of a line's picture for the role network.
+ROLE_CROP = (32, 256)
 
 
 def _kept(df: DataFrame, name: str) -> DataFrame:
@@ -27,99 +27,47 @@ def _bgr(data: bytes, h: int, w: int) -> np.ndarray:
     return np.frombuffer(data, dtype=np.uint8).reshape(h, w, 3)
 
 
-def layout_maps(pages: DataFrame, port: LayoutPort, ds: int = crops.DOWNSAMPLE) -> DataFrame:
-    """pages (page_id long, h, w, data) -> the cells of their layout maps, CELL; a page at a time, the model loaded once a worker."""
-    sized = crops.resize_chain(pages.select("page_id", "h", "w", "data"), ds)
+def _gray(image: np.ndarray) -> np.ndarray:
+    return np.floor(image @ np.array([0.114, 0.587, 0.299]) + 0.5).astype(np.uint8)
+
+
+def channels(image: np.ndarray, net, ds: int) -> dict[str, np.ndarray]:
+    """The layout map of an image: resized as layout_sizes says, padded to multiples of PAD by its last rows and columns, and cut back."""
+    for h, w in crops.layout_sizes(*image.shape[:2], ds):
+        image = crops.area_resize(image, h, w)
+    padded = np.pad(image, ((0, -h % crops.PAD), (0, -w % crops.PAD), (0, 0)), mode="edge")
+    return dict(zip(maps.CHANNELS, net(padded)[:, :h, :w].astype(float)))
+
+
+def laid_out(image: np.ndarray, net, ds: int) -> list[tuple]:
+    """Rows of maps.PLACED of a page. A wide page with a gutter in its middle is two pages side by side: each half is laid out by
+    itself, and both are put on the whole page's map, the left one's regions first."""
+    h, w = image.shape[:2]
+    if w <= crops.SPREAD * h or not maps.has_gutter(_gray(image)):
+        return maps.placed_rows(maps.page_lines(channels(image, net, ds)))
+    full_h, full_w = crops.layout_sizes(h, w, ds)[-1]
+    out: list[tuple] = []
+    for half, off in ((image[:, : w // 2], 0.0), (image[:, w // 2 :], full_w / 2)):
+        m = channels(half, net, ds)
+        map_h, map_w = m["base"].shape
+        first = (out[-1][0] + 1, out[-1][1] + 1) if out else (0, 0)
+        out += maps.placed_rows(maps.page_lines(m), full_w / 2 / map_w, full_h / map_h, off, first)
+    return out
+
+
+def layout(pages: DataFrame, port: LayoutPort, ds: int = crops.DOWNSAMPLE) -> DataFrame:
+    """pages (page_id long, h, w, data) -> (page_id, region_idx, line_idx, baseline, asc, desc, x0, x1, cy) in reading order, on the
+    page's map. A page's map lives within one call; its lines alone leave it. The network is loaded once a worker."""
+    key = key_of(port)
 
     def run(batches):
-        if id(port) not in _loaded:
-            port.load()
-            _loaded[id(port)] = port
+        net = loaded(key, port, probed)
         for pdf in batches:
             for r in pdf.itertuples(index=False):
-                image = _bgr(r.data, r.h, r.w)
-                sx, sy = r.w / r.wd, r.h / r.hd
-                m = [sx, 0.0, (sx - 1) / 2, 0.0, sy, (sy - 1) / 2]
-                small = np.stack([crops.warp(image[:, :, c], m, r.wd, r.hd) for c in range(3)], axis=2)
-                made = port.maps(np.pad(small, ((0, r.pad_h), (0, r.pad_w), (0, 0)), mode="edge"))[:, : r.hd, : r.wd].astype(float)
-                ys, xs = np.mgrid[0 : r.hd, 0 : r.wd]
-                cols = {"asc_h": made[0], "desc_h": made[1], "base": made[2], "endp": made[3], "sep": np.maximum(made[4], 0)}
-                yield pd.DataFrame({"page_id": r.page_id, "y": ys.ravel().astype("int32"), "x": xs.ravel().astype("int32"), **{k: v.ravel() for k, v in cols.items()}, "wd": np.int32(r.wd)})
-
-    return sized.select("page_id", "h", "w", "hd", "wd", "pad_h", "pad_w", "data").mapInPandas(run, CELL)
-
-
-def _measured(rows: DataFrame) -> DataFrame:
-    """rows (.., baseline, asc, desc) with x0, x1 and cy of their baselines."""
-    xs = F.transform("baseline", lambda p: p["x"].cast("double"))
-    mean = F.aggregate("baseline", F.lit(0.0), lambda s, p: s + p["y"]) / F.size("baseline")
-    return rows.withColumn("x0", F.array_min(xs)).withColumn("x1", F.array_max(xs)).withColumn("cy", mean)
-
-
-def found_lines(cells: DataFrame) -> DataFrame:
-    """(page_id, seq, baseline, asc, desc, x0, x1, cy) of the lines that cells show; ends are kept on the map."""
-    widths = cells.groupBy(F.col("page_id").alias("w_page")).agg(F.max("wd").alias("wd"))
-    rows = maps.lines_of(maps.components(maps.peak_mask(cells)), 1 << 30).join(widths, F.col("page_id") == F.col("w_page"))
-    clipped = F.transform("baseline", lambda p: F.struct(F.least(p["x"], F.col("wd") - 1).alias("x"), p["y"].alias("y")))
-    return _measured(rows.select("page_id", F.col("comp").cast("int").alias("seq"), clipped.alias("baseline"), "asc", "desc"))
-
-
-def joined_fragments(found: DataFrame, cells: DataFrame) -> DataFrame:
-    """Fragments of one line as one: median y of each column, evenly taken; heights are means. seq is the first member's."""
-    pairs = lines.merge_candidates(found, cells.select("page_id", "y", "x", "sep"))
-    members = found.join(lines.closure(found, pairs), ["page_id", "seq"])
-    by = ["page_id", "group_seq"]
-    sums = members.groupBy(*by).agg(F.count("*").alias("n"), F.avg("asc").alias("asc"), F.avg("desc").alias("desc"), F.max_by("baseline", F.col("x1") - F.col("x0")).alias("widest"))
-    points = members.select(*by, F.explode("baseline").alias("p")).groupBy(*by, F.col("p.x").alias("x")).agg(F.bround(F.median("p.y")).cast("int").alias("y"))
-    columns = points.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("x", "y"))).alias("all"))
-    line = F.when((F.col("n") > 1) & (F.size("all") >= 2), maps.evenly(F.col("all"))).otherwise(F.col("widest"))
-    return _measured(sums.join(columns, by).select("page_id", F.col("group_seq").alias("seq"), line.alias("baseline"), "asc", "desc"))
-
-
-def unparted(found: DataFrame, pairs: DataFrame, cells: DataFrame, most: float = lines.PARAGRAPH) -> DataFrame:
-    """Those pairs (page_id, a_seq, b_seq) of lines that no separator parts. A page's pairs and its separators meet in one call."""
-    side = lambda s: found.select("page_id", *(F.col(c).alias(f"{s}_{c}") for c in ("seq", "baseline", "asc", "desc")))
-    full = pairs.join(side("a"), ["page_id", "a_seq"]).join(side("b"), ["page_id", "b_seq"])
-
-    def check(key, rows: pd.DataFrame, seps: pd.DataFrame) -> pd.DataFrame:
-        sep = np.zeros((1, 1 + max((int(p["x"]) for line in [*rows["a_baseline"], *rows["b_baseline"]] for p in line), default=0)))
-        if len(seps):
-            sep = np.zeros((int(seps["y"].max()) + 1, max(sep.shape[1], int(seps["x"].max()) + 1)))
-            sep[seps["y"].to_numpy(), seps["x"].to_numpy()] = seps["sep"].to_numpy()
-        plain = lambda line: [(p["x"], p["y"]) for p in line]
-        ok = [crops.separator_penalty(plain(r.a_baseline), plain(r.b_baseline), r.a_desc, r.b_asc, sep) < most for r in rows.itertuples()]
-        return rows.loc[ok, ["page_id", "a_seq", "b_seq"]]
-
-    marked = cells.where("sep > 0").select("page_id", "y", "x", "sep")
-    return full.groupBy("page_id").cogroup(marked.groupBy("page_id")).applyInPandas(check, "page_id long, a_seq int, b_seq int")
-
-
-def maps_to_regions(cells: DataFrame) -> DataFrame:
-    """cells -> lines (page_id, seq, region_idx, line_idx, baseline, asc, desc, x0, x1, cy) in reading order.
-
-    Lines from maps, fragments joined, regions by closure of close lines that no separator parts, regions that hold two
-    columns split at a strong gutter, then reading order. Pages without lines have no row.
-    """
-    found = _kept(joined_fragments(_kept(found_lines(cells), "fragments"), cells), "lines")
-    named = found.join(lines.closure(found, unparted(found, lines.region_candidates(found), cells)), ["page_id", "seq"])
-    named = _kept(named, "regions")
-    # each region is looked at as a page of its own, in the columns and rows that it covers
-    extent = named.groupBy(F.col("page_id").alias("e_page"), "group_seq").agg(F.count("*").alias("n"), F.floor(F.min("x0")).alias("left"), F.ceil(F.max("x1")).alias("right"), F.floor(F.min(F.col("cy") - F.col("asc"))).alias("top"), F.ceil(F.max(F.col("cy") + F.col("desc"))).alias("bottom"))
-    wide = extent.where((F.col("n") >= 6) & (F.col("right") > F.col("left")))
-    inside = cells.join(wide, (F.col("page_id") == F.col("e_page")) & F.col("x").between(F.col("left"), F.col("right")) & F.col("y").between(F.col("top"), F.col("bottom")))
-    key = F.struct("page_id", "group_seq").alias("page_id")
-    gutters = maps.column_profile(inside.where("right - left >= 0.55 * wd").select(key, "x", "sep")).where("strong").select("page_id", F.col("gutter").cast("double").alias("gutter"))
-    widths = cells.groupBy(F.col("page_id").alias("w_page")).agg(F.max("wd").alias("page_w"))
-    regional = named.join(widths, F.col("page_id") == F.col("w_page")).select(key, "seq", "x0", "x1", "page_w")
-    sides = lines.split_columns(regional, gutters, F.max("page_w").over(Window.partitionBy("page_id")))
-    rank = F.when(F.col("side") == "right", 1).when(F.col("side") == "bridge", 2).otherwise(0)
-    split = named.join(sides.select("page_id.page_id", "page_id.group_seq", "seq", rank.alias("part")), ["page_id", "group_seq", "seq"])
-    boxes = split.groupBy("page_id", "group_seq", "part").agg(F.min("x0").alias("x0"), F.min(F.col("cy") - F.col("asc")).alias("y0"), F.max("x1").alias("x1"), F.max(F.col("cy") + F.col("desc")).alias("y1"))
-    boxes = _kept(boxes.withColumn("seq", F.row_number().over(Window.partitionBy("page_id").orderBy("group_seq", "part"))), "boxes")
-    order = lines.reading_order(boxes).select("page_id", F.col("seq").alias("r_seq"), F.col("read_pos").alias("region_idx"))
-    rows = split.join(boxes.select("page_id", "group_seq", "part", F.col("seq").alias("r_seq")), ["page_id", "group_seq", "part"]).join(order, ["page_id", "r_seq"])
-    at = F.row_number().over(Window.partitionBy("page_id").orderBy("region_idx", "cy", "seq")) - 1
-    return rows.select("page_id", "seq", "region_idx", at.cast("int").alias("line_idx"), "baseline", "asc", "desc", "x0", "x1", "cy")
+                rows = [(r.page_id, *x) for x in laid_out(_bgr(r.data, r.h, r.w), net, ds)]
+                yield pd.DataFrame(rows, columns=["page_id", "region_idx", "line_idx", "baseline", "asc", "desc"])
+
+    return maps.measured(pages.select("page_id", "h", "w", "data").mapInPandas(run, f"page_id long, {maps.PLACED}"))
 
 
 def line_crops(pages: DataFrame, found: DataFrame, ds: int = crops.DOWNSAMPLE, height_scale: float = 1.0) -> DataFrame:
@@ -128,62 +76,111 @@ def line_crops(pages: DataFrame, found: DataFrame, ds: int = crops.DOWNSAMPLE, h
     taller = lambda c, least: F.greatest(F.lit(least), F.col(c) * height_scale) * F.col("img_scale")
     rows = found.join(scales, "page_id").withColumn("asc", taller("asc", crops.MIN_ASC)).withColumn("desc", taller("desc", crops.MIN_DESC))
     points = rows.select("page_id", "line_idx", "asc", "desc", "img_scale", F.posexplode("baseline").alias("i", "p")).select("page_id", "line_idx", "asc", "desc", "i", (F.col("p.x") * F.col("img_scale")).alias("x"), (F.col("p.y") * F.col("img_scale")).alias("y"))
-    cut = crops.crop_affine(points, "page_id", "line_idx").groupBy("page_id").agg(F.collect_list(F.struct("line_idx", "crop_w", "m")).alias("cut"))
+    cut = crops.crop_affine(points, "page_id", "line_idx").groupBy("page_id").agg(F.collect_list(F.struct("line_idx", "dst_w", "dst_h", "crop_w", "m")).alias("cut"))
 
     def run(batches):
         for pdf in batches:
             for r in pdf.itertuples(index=False):
-                gray = np.floor(_bgr(r.data, r.h, r.w) @ np.array([0.114, 0.587, 0.299]) + 0.5).astype(np.uint8)
-                made = [(r.page_id, c["line_idx"], c["crop_w"], list(c["m"]), crops.warp(gray, c["m"], c["crop_w"]).tobytes()) for c in r.cut]
+                gray = _gray(_bgr(r.data, r.h, r.w))
+                made = [(r.page_id, c["line_idx"], c["crop_w"], list(c["m"]), crops.line_crop(gray, c["m"], c["dst_w"], c["dst_h"], c["crop_w"]).tobytes()) for c in r.cut]
                 yield pd.DataFrame(made, columns=["page_id", "line_idx", "crop_w", "m", "pixels"])
 
     return pages.join(cut, "page_id").select("page_id", "h", "w", "data", "cut").mapInPandas(run, "page_id long, line_idx int, crop_w int, m array<double>, pixels binary")
 
 
-def one_pass(pages: DataFrame, layout: LayoutPort, model: ModelPort, vocab: DataFrame, ds: int, height_scale: float = 1.0, max_width: int = 1600) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(lines, words, figures) of all pages at one resolution; figures (page_id, ds, conf, pitch, wide, lineh, n_lines)."""
-    cells = _kept(layout_maps(pages, layout, ds), "cells")
-    found = _kept(lines.calibrate_pitch(maps_to_regions(cells)), "ordered")
+def layout_figures(pages: DataFrame, found: DataFrame, ds: int) -> DataFrame:
+    """(page_id, ds, pitch, wide, lineh, n_lines) of the lines as the layout gives them, before their heights are calibrated."""
+    ids = pages.select("page_id")
+    scaled = found.join(crops.resize_chain(pages.select("page_id", "h", "w"), ds).select("page_id", "img_scale", F.col("w").alias("page_w")), "page_id").withColumn("seq", F.col("line_idx"))
+    wider = scaled.withColumn("x0", F.col("x0") * F.col("img_scale")).withColumn("x1", F.col("x1") * F.col("img_scale"))
+    share = wider.withColumn("x0", F.col("x0") / F.col("page_w")).withColumn("x1", F.col("x1") / F.col("page_w"))
+    count = found.groupBy("page_id").agg(F.count("*").cast("int").alias("n_lines"))
+    figures = ids.join(lines.pitch_ratio(ids, wider), "page_id").join(lines.wide_fraction(ids, share, 1.0), "page_id").join(lines.line_height_median(ids, found), "page_id").join(count, "page_id", "left")
+    return figures.select("page_id", F.lit(ds).alias("ds"), F.col("pitch_ratio").alias("pitch"), F.col("wide_frac").alias("wide"), F.col("line_height").alias("lineh"), F.coalesce("n_lines", F.lit(0)).alias("n_lines"))
+
+
+def recognised_lines(pages: DataFrame, found: DataFrame, model: ModelPort, vocab: DataFrame, ds: int, height_scale: float = 1.0, max_width: int = 1600) -> tuple[DataFrame, DataFrame]:
+    """(lines, words) of the pages at one resolution; heights are calibrated by the pitch of their region first."""
+    calibrated = lines.calibrate_pitch(found.withColumn("seq", F.col("line_idx")))
     line_id = F.concat_ws(":", "page_id", "line_idx")
-    cut = _kept(line_crops(pages, found, ds, height_scale).withColumn("line_id", line_id), "crops")
+    cut = _kept(line_crops(pages, calibrated, ds, height_scale).withColumn("line_id", line_id), "crops")
     frames = _kept(recognise(cut, model, max_width, "string"), "frames")
     box = bbox_from_quad(F.lit(0.0), F.lit(0.0), F.col("crop_w").cast("double"), F.lit(float(crops.TARGET_H)), F.col("m"))
     text = ctc.decode(frames, vocab).join(cut.select("line_id", "page_id", "line_idx", box.alias("box")), "line_id")
     rows = text.join(found.select("page_id", "line_idx", "region_idx"), ["page_id", "line_idx"]).join(pages.select("page_id", F.col("h").alias("page_h"), F.col("w").alias("page_w")), "page_id")
-    rows = rows.select("page_id", "region_idx", "line_idx", "text", "conf", F.col("box.x").alias("hpos"), F.col("box.y").alias("vpos"), F.col("box.w").alias("width"), F.col("box.h").alias("height"), "page_w", "page_h", F.lit(None).cast("string").alias("role"))
-    rows = _kept(rows, "texts")
+    rows = rows.select("page_id", "region_idx", "line_idx", "text", "conf", F.col("box.x").alias("hpos"), F.col("box.y").alias("vpos"), F.col("box.w").alias("width"), F.col("box.h").alias("height"), "page_w", "page_h")
     chars = ctc.emitted(ctc.best_classes(frames, max_width)).join(F.broadcast(vocab), F.col("cls") == F.col("idx")).select("line_id", "t", "ch")
     spans = ctc.word_spans(chars, "line_id").join(cut.select("line_id", "page_id", "line_idx", "crop_w", "m"), "line_id")
     words = spans.withColumn("b", word_box(F.col("t0"), F.col("t1"), F.col("crop_w"), F.col("m"))).select("page_id", "line_idx", "word_idx", "word", "b.x", "b.y", "b.w", "b.h")
-    ids = pages.select("page_id")
-    scaled = found.join(crops.resize_chain(pages.select("page_id", "h", "w"), ds).select("page_id", "img_scale", F.col("w").alias("page_w")), "page_id")
-    wider = scaled.withColumn("x0", F.col("x0") * F.col("img_scale")).withColumn("x1", F.col("x1") * F.col("img_scale"))
-    share = wider.withColumn("x0", F.col("x0") / F.col("page_w")).withColumn("x1", F.col("x1") / F.col("page_w"))
-    conf = blocks.kept_lines(rows).groupBy("page_id").agg(F.avg("conf").alias("conf"))
-    count = found.groupBy("page_id").agg(F.count("*").cast("int").alias("n_lines"))
-    figures = ids.join(conf, "page_id", "left").join(lines.pitch_ratio(ids, wider), "page_id").join(lines.wide_fraction(ids, share, 1.0), "page_id").join(lines.line_height_median(ids, found), "page_id").join(count, "page_id", "left")
-    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return rows, words, figures.select("page_id", F.lit(ds).alias("ds"), zero("conf"), F.col("pitch_ratio").alias("pitch"), F.col("wide_frac").alias("wide"), F.col("line_height").alias("lineh"), zero("n_lines"))
+    return _kept(rows, "texts"), _kept(words, "words")
+
 
+def with_roles(pages: DataFrame, rows: DataFrame, port: RolePort | None) -> DataFrame:
+    """rows of chosen lines with role: of the network's scores, those that are sure enough; body where a line lies outside the page.
+    Without a network role is null."""
+    if port is None:
+        return rows.withColumn("role", F.lit(None).cast("string"))
+    key, by = key_of(port), ["page_id", "line_idx"]
+    geometry, context = blocks.geometry_features(rows), blocks.context_features(rows)
+    said = blocks.kept_lines(rows).select(*by, "hpos", "vpos", "width", "height", *(c.alias(k) for k, c in text_features(F.col("text")).items()))
+    full = said.join(geometry, by).join(context, by)
+    names = [c for part in (said, geometry, context) for c in part.columns if c[:2] in ("f_", "g_", "c_")]
+    asked = full.groupBy("page_id").agg(F.collect_list(F.struct("line_idx", "hpos", "vpos", "width", "height", F.array(*names).alias("feats"))).alias("lines"))
 
-def process(pages: DataFrame, layout: LayoutPort, model: ModelPort, vocab: DataFrame, adaptive_levels: bool = True, height_scale: float = 1.0, max_width: int = 1600, processed_at: str = "1970-01-01T00:00:00Z") -> DataFrame:
+    def run(batches):
+        net = loaded(key, port)
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                gray, made = _gray(_bgr(r.data, r.h, r.w)), []
+                for x in r.lines:
+                    top, left = max(0, x["vpos"]), max(0, x["hpos"])
+                    part = gray[top : max(0, x["vpos"] + x["height"]), left : max(0, x["hpos"] + x["width"])]
+                    if part.size:
+                        made.append((x["line_idx"], crops.area_resize(part, *ROLE_CROP), x["feats"]))
+                if made:
+                    at, pictures, feats = zip(*made)
+                    scores = net.scores((np.array(pictures, dtype=np.float32)[:, None] / 255 - 0.5) / 0.5, np.array([list(f) for f in feats], dtype=np.float32))
+                    yield pd.DataFrame({"page_id": r.page_id, "line_idx": at, "scores": [s.astype(float).tolist() for s in scores]})
+
+    scored = pages.join(asked, "page_id").select("page_id", "h", "w", "data", "lines").mapInPandas(run, "page_id long, line_idx int, scores array<double>")
+    return rows.join(blocks.gate_roles(scored).select(*by, "role"), by, "left").withColumn("role", F.coalesce("role", F.lit("body")))
+
+
+def process(pages: DataFrame, port: LayoutPort, model: ModelPort, vocab: DataFrame, adaptive_levels: bool = True, height_scale: float = 1.0, max_width: int = 1600, processed_at: str = "1970-01-01T00:00:00Z", roles: RolePort | None = None) -> DataFrame:
     """read_pages() -> (page_id, origin, status, ds, mean_conf, n_lines, text, alto).
 
-    With adaptive_levels every page is read at three resolutions, and the choice is that of the rule that tries them one after
-    the other. Pages that can't be read keep their status and have no text; pages without lines have an empty one.
+    With adaptive_levels a page is laid out at the coarsest resolution first, and recognised there unless that is too coarse; only
+    pages that weren't, or whose text isn't sure enough, go on to the next one. Pages that can't be read keep their status
+    and have no text; pages without lines have an empty one.
     """
     # operators take numbers for pages; names come back at the end
     keyed = pages.withColumn("name", F.col("page_id")).withColumn("page_id", F.xxhash64("origin"))
     usable = keyed.where("status = 202").select("page_id", F.col("height").alias("h"), F.col("width").alias("w"), "data")
-    made = {ds: one_pass(usable, layout, model, vocab, ds, height_scale, max_width) for ds in (adaptive.LEVELS if adaptive_levels else adaptive.LEVELS[:1])}
-    every = lambda k: None if not made else _union([m[k].withColumn("ds", F.lit(ds)) for ds, m in made.items()])
-    chosen = _kept(adaptive.choose(every(2)).select("page_id", "ds", "conf") if adaptive_levels else every(2).select("page_id", "ds", "conf"), "chosen")
-    rows, words = (every(k).join(chosen.select("page_id", "ds"), ["page_id", "ds"]) for k in (0, 1))
-    rows = _kept(rows, "chosen-lines")
+    levels = adaptive.LEVELS if adaptive_levels else adaptive.LEVELS[:1]
+    open_, passes, read = usable, [], []
+    for ds in levels:
+        found = _kept(layout(open_, port, ds), "layout")
+        figures = _kept(layout_figures(open_, found, ds), "figures")
+        coarse = adaptive.starved(F.col("pitch"), F.col("wide"), F.col("lineh")) if ds != levels[-1] else F.lit(False)
+        legible = figures.where(~coarse).select("page_id")
+        now = open_.join(legible, "page_id", "left_semi")
+        rows, words = recognised_lines(now, found.join(legible, "page_id", "left_semi"), model, vocab, ds, height_scale, max_width)
+        conf = blocks.kept_lines(rows).groupBy("page_id").agg(F.avg("conf").alias("conf"))
+        seen = _kept(figures.join(conf, "page_id", "left").withColumn("conf", F.coalesce("conf", F.lit(0.0))), "pass")
+        passes.append(seen)
+        read.append((rows.withColumn("ds", F.lit(ds)), words.withColumn("ds", F.lit(ds))))
+        done = seen.where(~coarse & (F.col("conf") >= adaptive.CONF)).select("page_id")
+        open_ = open_.join(done, "page_id", "left_anti")
+        if ds != levels[-1] and open_.select("page_id").isEmpty():
+            break
+    every = _union(passes)
+    chosen = _kept(adaptive.choose(every).select("page_id", "ds", "conf") if adaptive_levels else every.select("page_id", "ds", "conf"), "chosen")
+    rows, words = (_union([r[k] for r in read]).join(chosen.select("page_id", "ds"), ["page_id", "ds"]) for k in (0, 1))
+    rows = _kept(with_roles(usable, rows, roles), "chosen-lines")
     n = blocks.kept_lines(rows).groupBy("page_id").agg(F.count("*").alias("n_lines"))
     out = keyed.select("page_id", "name", "origin", "status").join(chosen, "page_id", "left").join(n, "page_id", "left").join(blocks.page_text(rows), "page_id", "left").join(alto.to_alto(alto.with_words(rows, words), processed_at), "page_id", "left")
-    read = lambda c: F.when(F.col("status") == 202, c)
-    return out.select(F.col("name").alias("page_id"), "origin", "status", "ds", F.bround("conf", 4).alias("mean_conf"), read(F.coalesce("n_lines", F.lit(0))).alias("n_lines"), read(F.coalesce("page_text", F.lit("\n"))).alias("text"), "alto")
+    got = lambda c: F.when(F.col("status") == 202, c)
+    return out.select(F.col("name").alias("page_id"), "origin", "status", "ds", F.bround("conf", 4).alias("mean_conf"), got(F.coalesce("n_lines", F.lit(0))).alias("n_lines"), got(F.coalesce("page_text", F.lit("\n"))).alias("text"), "alto")
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:

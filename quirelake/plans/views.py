@@ -129,24 +129,23 @@ v_level AS (SELECT * FROM v_lv WHERE page_id IN (SELECT page_id FROM v_lv GROUP
 CELL_H, CELL_W = 64, 96
 
 
-def v_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Layout maps in long form (page_id, y, x, base, endp, sep, asc_h, desc_h): five pages of 64 x 96 cells."""
-    pages = table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("page_id"))
-    cells = pages.select("page_id", F.explode(F.sequence(F.lit(0), F.lit(CELL_H - 1))).alias("y")).select("page_id", "y", F.explode(F.sequence(F.lit(0), F.lit(CELL_W - 1))).alias("x"))
-    nz = ((F.col("x").cast("long") * 7919 + F.col("y").cast("long") * 104729 + F.col("page_id") * 1299721) % 1000) / F.lit(1000.0)
-    on = F.expr("y % 12 BETWEEN 4 AND 6 AND NOT ((x div 32 + page_id) % 3 = 2 AND x % 32 < 8)")
-    d = F.abs(F.col("y") % 12 - 5)
-    return cells.withColumn("nz", nz).select(
-        "page_id", "y", "x", F.when(on, F.lit(0.8) - F.lit(0.2) * d + F.lit(0.1) * F.col("nz")).otherwise(F.lit(0.05) * F.col("nz")).alias("base"),
-        F.expr("CASE WHEN x % 48 >= 44 THEN 0.9D ELSE 0.0D END").alias("endp"), F.expr("CASE WHEN x BETWEEN 47 AND 49 AND page_id % 2 = 0 THEN 0.9D ELSE 0.02D END").alias("sep"),
-        (F.lit(6.0) + F.col("nz")).alias("asc_h"), F.lit(2.0).alias("desc_h"),
+def v_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Layout maps (page_id, h, w, asc_h, desc_h, base, endp, sep) of 64 x 96 cells, a page for each supplier."""
+    pages = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("page_id"), F.lit(CELL_H).alias("h"), F.lit(CELL_W).alias("w"))
+    each = lambda body: F.expr(f"transform(sequence(0, {CELL_H * CELL_W - 1}), i -> {body.replace('[y]', f'(i div {CELL_W})').replace('[x]', f'(i % {CELL_W})')})")
+    nz = "((cast([x] as long) * 7919 + [y] * 104729 + page_id * 1299721) % 1000) / 1000D"
+    on = "([y] % 12 BETWEEN 4 AND 6 AND NOT (([x] div 32 + page_id) % 3 = 2 AND [x] % 32 < 8))"
+    return pages.select(
+        "page_id", "h", "w", each(f"6D + {nz}").alias("asc_h"), each("2D").alias("desc_h"),
+        each(f"CASE WHEN {on} THEN 0.8D - 0.2D * abs([y] % 12 - 5) + 0.1D * ({nz}) ELSE 0.05D * ({nz}) END").alias("base"),
+        each("CASE WHEN [x] % 48 >= 44 THEN 0.9D ELSE 0D END").alias("endp"), each("CASE WHEN [x] BETWEEN 47 AND 49 AND page_id % 2 = 0 THEN 0.9D ELSE 0.02D END").alias("sep"),
     )
 
 
 V_CELL = """
 v_cn AS (
-    SELECT r_regionkey::BIGINT AS page_id, y::INT AS y, x::INT AS x, ((x * 7919 + y * 104729 + r_regionkey::BIGINT * 1299721) % 1000) / 1000.0::DOUBLE AS nz
-    FROM region, range(64) AS a(y), range(96) AS b(x)
+    SELECT s_suppkey::BIGINT AS page_id, y::INT AS y, x::INT AS x, ((x * 7919 + y * 104729 + s_suppkey::BIGINT * 1299721) % 1000) / 1000.0::DOUBLE AS nz
+    FROM supplier, range(64) AS a(y), range(96) AS b(x)
 ),
 v_cell AS (
     SELECT page_id, y, x,

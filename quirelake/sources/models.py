@@ -32,6 +32,26 @@ def list_models(spark: SparkSession, folder: str) -> DataFrame:
     return pages_of_models(files.select(F.regexp_extract("path", r"([^/]*)$", 1).alias("name")))
 
 
+_LOADED: dict[str, object] = {}
+
+
+def key_of(port: object) -> str:
+    """A name for a network as it is sent to the workers: its class and what it holds."""
+    import hashlib
+
+    from pyspark.cloudpickle import dumps
+
+    return f"{type(port).__module__}.{type(port).__qualname__}:{hashlib.sha256(dumps(port)).hexdigest()}"
+
+
+def loaded(key: str, port, prepare=None):
+    """The network of that key, loaded once by each worker process: this module's table stays when a task ends."""
+    if key not in _LOADED:
+        port.load()
+        _LOADED[key] = prepare(port) if prepare else port
+    return _LOADED[key]
+
+
 class ModelPort(Protocol):
     """A network: loaded once a worker, run on batches of line crops of one width."""
 
@@ -41,6 +61,15 @@ class ModelPort(Protocol):
         """(n, height, width) bytes -> (n, width // 2, classes) scores."""
 
 
+class RolePort(Protocol):
+    """A network that tells what lines are; loaded once a worker."""
+
+    def load(self) -> None: ...
+
+    def scores(self, crops: np.ndarray, feats: np.ndarray) -> np.ndarray:
+        """(n, 1, 32, 256) grays from -1 to 1 and (n, 21) features -> (n, 5) scores in the order of blocks.ROLES."""
+
+
 class LayoutPort(Protocol):
     """A layout network: loaded once a worker, run on one page at a time."""
 
@@ -91,23 +120,34 @@ class StubModel:
         return out
 
 
-_loaded: dict[int, object] = {}
+def probed(port: LayoutPort):
+    """The port's maps() with probabilities in its last three channels: networks that give them before the logistic function show
+    it by values outside [0, 1] on an empty image."""
+    blank = port.maps(np.zeros((64, 64, 3), dtype=np.uint8))[2:5]
+    if blank.min() >= -0.001 and blank.max() <= 1.001:
+        return port.maps
+
+    def squashed(image: np.ndarray) -> np.ndarray:
+        out = np.array(port.maps(image), dtype=float)
+        out[2:5] = 1 / (1 + np.exp(-out[2:5]))
+        return out
+
+    return squashed
 
 
 def recognise(crops: DataFrame, model: ModelPort, max_width: int = 1600, id_type: str = "long") -> DataFrame:
     """crops (line_id, crop_w, pixels of 40 rows) -> frames (line_id, t, logits); batches hold crops of one width, each worker
     loads the model once, and columns beyond max_width are cut off."""
 
+    key = key_of(model)
+
     def run(batches):
-        key = id(model)
-        if key not in _loaded:
-            model.load()
-            _loaded[key] = model
+        net = loaded(key, model)
         for pdf in batches:
             for width, group in pdf.groupby("crop_w"):
                 used = min(int(width), max_width)
                 pixels = np.stack([np.frombuffer(p, dtype=np.uint8).reshape(40, int(width))[:, :used] for p in group["pixels"]])
-                scores = model.run(pixels)
+                scores = net.run(pixels)
                 n, t, _ = scores.shape
                 yield pd.DataFrame({"line_id": np.repeat(group["line_id"].to_numpy(), t), "t": np.tile(np.arange(t, dtype=np.int32), n), "logits": [s.astype(float).tolist() for s in scores.reshape(n * t, -1)]})
 
