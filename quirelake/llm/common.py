@@ -30,18 +30,26 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+#: The folders that staged() has written and release() hasn't deleted.
+_folders: list[str] = []
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it again: cuts the lineage, and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _folders.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def released(spark: SparkSession, path: str) -> None:
-    """Delete a staged folder, on whatever file system the shared folder is."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+def release(spark: SparkSession, keep: int) -> None:
+    """Delete all staged folders but the first keep ones and the last one, on whatever file system they are: what came between was
+    written for what the last one holds."""
+    for path in _folders[keep:-1]:
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+    del _folders[keep:-1]
 
 
 def sized(df: DataFrame, rows: int = 250_000) -> DataFrame:
@@ -186,6 +194,14 @@ def as_bytes(column) -> list[bytes]:
     return [b"" if x is None else x.encode("utf-8", "surrogatepass") for x in column.to_pylist()]
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """name, or with so many underscores behind it that df has no column of that name."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -188,6 +188,41 @@ SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, min(reach.y) AS component_id, s
 FROM s JOIN reach ON reach.x = s.doc_id GROUP BY s.doc_id, s.s
 """
 
+_LICENSE_WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def _op8() -> str:
+    """The templates' word pairs, but those of two function words in all but the exact ones, meet all pairs of neighbouring words."""
+    quoted = lambda table: ", ".join(f"('{k}', '{v}')" for k, v in table.items())
+    stop = ", ".join(f"'{w}'" for w in license.FUNCTION_WORDS)
+    return rf"""
+WITH t AS (
+    SELECT label, true AS exact, string_split(phrase, ' ') AS w FROM (VALUES {quoted(license.BASE)}) b(label, phrase)
+    UNION ALL SELECT label, false, string_split(phrase, ' ') FROM (VALUES {quoted(license.TEMPLATES)}) b(label, phrase)
+), g AS (
+    SELECT *, count(*) OVER (PARTITION BY label, exact) AS anchors FROM (SELECT label, exact, i - 1 AS pos, w[i] AS a, w[i + 1] AS b FROM (SELECT *, unnest(range(1, len(w))) AS i FROM t))
+    WHERE exact OR a NOT IN ({stop}) OR b NOT IN ({stop})
+), d AS (SELECT doc_id, regexp_extract_all({_LOWERED}, '{_LICENSE_WORDS}') AS w FROM documents),
+p AS (SELECT doc_id, i - 1 AS place, w[i] AS a, w[i + 1] AS b FROM (SELECT *, unnest(range(1, len(w))) AS i FROM d)),
+v AS (SELECT doc_id, label, exact, anchors, place - pos AS diagonal, pos, place FROM p JOIN g ON p.a = g.a AND p.b = g.b),
+n AS (
+    SELECT *, sum(apart) OVER (PARTITION BY doc_id, label, exact ORDER BY diagonal RANGE UNBOUNDED PRECEDING) AS run FROM (
+        SELECT *, coalesce((diagonal - lag(diagonal) OVER (PARTITION BY doc_id, label, exact ORDER BY diagonal) > {license.GAP})::INT, 0) AS apart FROM v
+    )
+), s AS (
+    SELECT doc_id, label, exact, diagonal AS first, 1.0::DOUBLE AS share FROM v WHERE exact GROUP BY doc_id, label, exact, diagonal, anchors HAVING count(DISTINCT pos) = anchors
+    UNION ALL SELECT doc_id, label, exact, min(place), count(DISTINCT pos) / anchors FROM n WHERE NOT exact GROUP BY doc_id, label, exact, run, anchors HAVING count(DISTINCT pos) / anchors >= {license.SHARE}
+), f AS (
+    SELECT doc_id, count(*) FILTER (WHERE exact) AS n_base, min(first) FILTER (WHERE exact) AS first_word, max(first) FILTER (WHERE exact) AS last_word, max(share) AS score,
+           string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE exact) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels
+    FROM s GROUP BY doc_id
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score
+FROM d LEFT JOIN f USING (doc_id)
+"""
+
+
 _OP7 = f"""
 WITH d AS (SELECT doc_id, {_LOWERED} AS t FROM documents)
 SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
@@ -197,4 +232,4 @@ FROM d
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix": _OP1, "op2_quotes": _OP2, "op3_minhash": _OP3, "op7_exact": _OP7}
+    return {"op1_mix": _OP1, "op2_quotes": _OP2, "op3_minhash": _OP3, "op7_exact": _OP7, "op8_license": _op8()}

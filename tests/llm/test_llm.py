@@ -399,13 +399,15 @@ def test_ids_of_added_tokens_and_long_white_space(spark):
     from tokenizers import Tokenizer
 
     untouched = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    texts = ["a<|endoftext|> b", "<|endoftext|>", "a" + " " * 1_000_000 + "b", "\n" * 1_000_000, "\u3000 \t" * 400_000, "x " + " " * 999 + "y"]
+    texts = ["a<|endoftext|> b", "<|endoftext|>", "a" + " " * 2_000_000 + "b", "\n" * 2_000_000, "\u3000 \t" * 400_000, "x " + " " * 999 + "y"]
     want = [np.array(untouched.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
     assert np.frombuffer(want[1], "<u4").tolist() == [50256]
     for name in ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken"):
         assert pack.encoder(public_tokenizers.path(name))(texts) == want
-    got = pack.pack(spark.createDataFrame([(k, t) for k, t in enumerate(texts[:2])], "doc_id long, text string"), queries.tokenizer_path())
-    assert {r.doc_id: r.ids_crc32 for r in got.collect()} == {k: zlib.crc32(w + np.array([2], "<u4").tobytes()) for k, w in enumerate(want[:2])}
+    got = pack.pack(spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string"), queries.tokenizer_path()).collect()
+    assert {r.doc_id: r.ids_crc32 for r in got if r.doc_id < 2} == {k: zlib.crc32(w + np.array([2], "<u4").tobytes()) for k, w in enumerate(want[:2])}
+    for k, w in enumerate(want):
+        assert sum(r.length for r in got if r.doc_id == k) == len(w) // 4 + 1
 
 
 def test_packing_is_gapless_and_tight(spark):
@@ -744,6 +746,66 @@ def test_pipeline_keeps_clean_documents_once(spark):
     assert kept == want
 
 
+def test_pipeline_is_that_of_plain_stages(spark):
+    """run() against a loop for each stage; the toxicity model's scores are taken as they are."""
+    import corpus_pipeline
+
+    docs, before = common.documents(spark, SF), len(common._folders)
+    got = corpus_pipeline.run(spark, SF).toPandas()
+    assert len(common._folders) == before + 1
+    model = toxicity.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    clean = {r.doc_id for r in toxicity.score_documents(docs, model).where("score < 0.3").collect()}
+    rows = {r.doc_id: r for r in docs.collect() if r.doc_id in clean}
+    last = {}
+    for i, r in rows.items():
+        key = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in r.text)
+        last[key] = max(i, last.get(key, i))
+    ids = sorted(last.values())
+    sets = {i: shingles(rows[i].text, 5) for i in ids}
+    parent = {i: i for i in ids}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in itertools.combinations(ids, 2):
+        if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) > 0:
+            x, y = sorted((root(a), root(b)))
+            parent[y] = x
+    left = [i for i in ids if root(i) == i]
+    sizes = {i: len(re.findall(common.WORD, rows[i].text)) for i in left}
+    taken, _ = greedy([(i, sizes[i], rows[i].source) for i in left], lambda n: int(n**0.5))
+    encode, want = pack.encoder(queries.tokenizer_path()), []
+    for i, n, t in taken:
+        data = encode([rows[i].text])[0] + np.array([2], "<u4").tobytes()
+        first = len(data) // 4 % 1024 or 1024
+        bounds = [0, *range(first, len(data) // 4 + 1, 1024)]
+        for _ in range(t // n if n else 0):
+            want += [(i, k, a, b - a, zlib.crc32(data[4 * a : 4 * b])) for k, (a, b) in enumerate(zip(bounds, bounds[1:]))]
+    assert len(want) > 150 and sorted(got[["doc_id", "piece", "start", "length", "ids_crc32"]].itertuples(index=False, name=None)) == sorted(want)
+    for _, g in got.sort_values("offset").groupby("sequence_id"):
+        assert g.offset.tolist() == [0, *np.cumsum(g.length)[:-1]] and g.length.sum() <= 1024
+
+
+def test_pipeline_stages_on_hard_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([(4, 1, 0), (8, 0, 1), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    extra = {c: F.lit(7) for c in ("row_key", "gone_key", "group", "rank", "copies", "mix_id", "copy", "size", "cls", "kept", "top")}
+    docs = spark.createDataFrame(HARD, SCHEMA).withColumns(extra)
+    for rows in (docs, docs.limit(0)):
+        now = rows
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            now = common.staged(stage(spark, now, str(tmp_path)), name)
+            assert now.columns == docs.columns and now.where("copies != 7 OR row_key != 7").isEmpty()
+        packed = corpus_pipeline.pack_sequences(spark, now, str(tmp_path)).collect()
+        assert {r.doc_id for r in packed} == {r.doc_id for r in now.select("doc_id").collect()}
+    # of the rows "one", the last one alone is left by the dedups, and texts without words by all stages up to the mix
+    left = corpus_pipeline.near_dedup(spark, corpus_pipeline.exact_dedup(spark, docs, SF), SF).collect()
+    assert sorted((r.doc_id for r in left), key=str) == sorted([2, 3, 5, 7, 8, 9], key=str)
+
+
 def test_dedup_of_repeated_and_null_ids(spark):
     import corpus_pipeline
 
