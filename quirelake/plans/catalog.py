@@ -661,7 +661,14 @@ def job_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("job_id", "status", "n_events", F.col("created_at").cast("timestamp_ntz").alias("created_at"), F.col("updated_at").cast("timestamp_ntz").alias("updated_at"))
 
 
-@query()
+# a ramp for each key: gray pages have it in all three channels; others hold it as red, upside down as green, from right to left as blue
+@query("""
+v_px AS (
+    SELECT k, y, x, c, CASE WHEN k % 2 = 1 OR c = 2 THEN y * (8 + k) + x WHEN c = 1 THEN (11 - y) * (8 + k) + x ELSE y * (8 + k) + 7 + k - x END * (k + 3) % 256 AS v
+    FROM (SELECT r_regionkey::INT AS k FROM region), range(12) AS a(y), (SELECT unnest(range(3)) AS c), LATERAL (SELECT unnest(range(8 + k)) AS x)
+)""", sql="""
+SELECT 'page' || k AS page_id, 12 AS height, 8 + k AS width, 3 AS nChannels, 202 AS status, sha256(unhex(string_agg(printf('%02x', v::INT), '' ORDER BY y, x, c))) AS sha FROM v_px GROUP BY k
+UNION ALL SELECT 'broken', -1, -1, -1, 422, NULL""")
 def image_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Small images made from the regions' keys, one of them broken, written to the shared folder and read as pages."""
     from quirelake.session import scratch
