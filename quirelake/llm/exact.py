@@ -76,12 +76,16 @@ def prints_of(docs: DataFrame, huge_chars: int = 8 << 20, part_chars: int = 1 <<
     """(doc_id, rk, length, print, sha) of rows (doc_id, rk, text); texts over huge_chars are cut and their parts hashed in parallel."""
     size = F.length("text")
     flat = docs.withColumn("huge", F.coalesce(size > huge_chars, F.lit(False))).select("doc_id", "rk", "text", "huge").mapInArrow(_prints, long_schema("doc_id long, rk long, length long, print array<long>, sha string"))
+    flat = staged(flat, "flat-prints")
+    left = flat.where(F.col("print").isNull())
+    if left.isEmpty():
+        return flat
     large = docs.where(size > huge_chars).dropDuplicates(["rk"]).withColumn("part_no", F.explode(F.sequence(F.lit(0), F.floor((size - 1) / part_chars).cast("int"))))
     cut = large.withColumn("start", F.col("part_no") * part_chars + 1)
     parts = cut.select("rk", "part_no", F.substring("text", F.col("start"), F.lit(part_chars)).alias("part"), F.octet_length(F.substring("text", F.col("start") + part_chars, F.lit(2147483647))).cast("long").alias("after"))
     summed = parts.repartition("rk", "part_no").mapInArrow(_part_prints, long_schema("rk long, part_no int, p0 long, p1 long, p2 long")).groupBy("rk").agg(*(F.pmod(F.sum(f"p{i}"), F.lit(p)).alias(f"p{i}") for i, p in enumerate(PRIMES)))
     whole = summed.select("rk", F.array("p0", "p1", "p2").alias("whole"))
-    return flat.where(F.col("print").isNotNull()).unionByName(flat.where(F.col("print").isNull()).join(whole, "rk").select("doc_id", "rk", "length", F.col("whole").alias("print"), "sha"))
+    return flat.where(F.col("print").isNotNull()).unionByName(left.join(whole, "rk").select("doc_id", "rk", "length", F.col("whole").alias("print"), "sha"))
 
 
 def _compare(batches):

@@ -93,21 +93,24 @@ def tokens(text: str | None) -> list[str]:
     return TOKEN.findall(text.lower()) if text else []
 
 
+COUNTS = ("clean_0", "toxic_0", "clean_1", "toxic_1")
+
+
 def _count(batches):
-    """(feature, clean, toxic): in how many texts of each label a word or stem occurs."""
+    """(word, *COUNTS): in how many texts of each half and label a word or stem occurs."""
     seen: dict[str, list[int]] = {}
 
     def rows():
         words = list(seen)
-        out = pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *(pa.array([seen[w][k] for w in words], pa.int64()) for k in (0, 1))], ["word", "clean", "toxic"])
+        out = pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *(pa.array([seen[w][k] for w in words], pa.int64()) for k in range(4))], ["word", *COUNTS])
         seen.clear()
         return out
 
     for batch in batches:
-        for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
+        for text, label, half in zip(*(batch.column(c).to_pylist() for c in ("text", "toxic", "half"))):
             words = set(tokens(text))
             for f in words.union(*({w[:n] + "*" for w in words if len(w) >= n} for n in STEMS)):
-                seen.setdefault(f, [0, 0])[label] += 1
+                seen.setdefault(f, [0, 0, 0, 0])[2 * half + label] += 1
             if len(seen) > FLUSH:
                 yield rows()
     yield rows()
@@ -123,15 +126,13 @@ def _first_of_copies(batches):
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("m_id", "text", "toxic")), pa.array(marks, pa.int64())], ["m_id", "text", "toxic", "mark"])
 
 
-def fit_words(labelled: DataFrame, prior: float = 0.05, least_z: float = 2.2, least_odds: float = 1.5, most_words: int = 50_000, drift: float = 0.5) -> Model:
-    """labelled (text, toxic): in how many texts of each label a word or stem occurs, and its log-odds with a Dirichlet prior
-    of prior times its count in all.
+def fit_words(words: DataFrame, prior: float = 0.05, least_z: float = 2.2, least_odds: float = 1.5, most_words: int = 50_000, drift: float = 0.5) -> Model:
+    """words (word, y0, y1): in how many clean and toxic texts a word or stem occurs -> its log-odds with a Dirichlet prior of prior
+    times its count in all.
 
     most_words bounds what is broadcast: the features with the largest |z| among those with |z| >= least_z
     and log-odds of least_odds at least, up or down.
     """
-    counted = labelled.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(_count, long_schema("word string, clean long, toxic long"))
-    words = staged(counted.groupBy("word").agg(F.sum("clean").alias("y0"), F.sum("toxic").alias("y1")), "words")
     n0, n1 = words.agg(F.coalesce(F.sum("y0"), F.lit(0)), F.coalesce(F.sum("y1"), F.lit(0))).first()
     if not n1 or not n0:
         return Model({}, drift)
@@ -161,10 +162,12 @@ def fit_words(labelled: DataFrame, prior: float = 0.05, least_z: float = 2.2, le
 
 def scored(model: Model, words: list[str]) -> list[tuple[int, int, float]]:
     """The maximal segments of a text."""
-    get = model.weight
-    places, weights = [], []
+    known, places, weights = model.cache, [], []
     for i, t in enumerate(words):
-        w = get(t)
+        try:
+            w = known[t]
+        except KeyError:
+            w = model.weight(t)
         if w is not None:
             places.append(i)
             weights.append(w)
@@ -263,12 +266,14 @@ def fit(docs: DataFrame, labels: DataFrame, fold: int = 2, folds: int = 4, most_
     teachers = staged(seen.groupBy("mark", "toxic").agg(F.min("m_id").alias("t_id")).select("t_id").distinct(), "teachers")
     half = F.pmod(F.xxhash64("m_id", F.lit("half")), F.lit(2)).cast("int").alias("half")
     labelled = staged(seen.join(F.broadcast(teachers), F.col("m_id") == F.col("t_id"), "left_semi").select("text", "toxic", half), "taught")
-    model = fit_words(labelled)
+    counted = labelled.mapInArrow(_count, long_schema(", ".join(["word string", *(f"{c} long" for c in COUNTS)])))
+    words = staged(counted.groupBy("word").agg(*(F.sum(c).alias(c) for c in COUNTS)), "words")
+    model = fit_words(words.select("word", (F.col("clean_0") + F.col("clean_1")).alias("y0"), (F.col("toxic_0") + F.col("toxic_1")).alias("y1")))
     if not model.weights:
         return model
     parts = []
     for k in (0, 1):
-        other = fit_words(labelled.where(F.col("half") == 1 - k))
+        other = fit_words(words.select("word", F.col(f"clean_{1 - k}").alias("y0"), F.col(f"toxic_{1 - k}").alias("y1")).where("y0 + y1 > 0"))
         if other.weights:
             parts += labelled.where(F.col("half") == k).mapInArrow(_tally(other), long_schema("bin long, clean long, toxic long, drawn long, mass double")).groupBy("bin").agg(*(F.sum(c) for c in ("clean", "toxic", "drawn", "mass"))).orderBy("bin").collect()
     if not any(p[1] for p in parts) or not any(p[2] for p in parts):
