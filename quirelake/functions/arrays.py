@@ -22,9 +22,5 @@ def top_probability(a: Column) -> Column:
     return F.lit(1.0) / F.aggregate(a, F.lit(0.0), lambda s, x: s + F.exp(x - F.array_max(a)))
 
 
-def sigmoid(x: Column) -> Column:
-    return 1 / (1 + F.exp(-x))
-
-
 def clamp(x: Column, lo, hi) -> Column:
     return F.greatest(F.lit(lo), F.least(F.lit(hi), x))

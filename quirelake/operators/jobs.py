@@ -51,3 +51,28 @@ def result_of(jobs: DataFrame, files: DataFrame, which: str | None = None) -> Da
 def summary(runs: DataFrame) -> DataFrame:
     """runs (ok, seconds) -> one row (n_ok, n_errors, seconds_per_page)."""
     return runs.agg(F.count_if("ok").alias("n_ok"), F.count_if(~F.col("ok")).alias("n_errors"), F.avg("seconds").alias("seconds_per_page"))
+
+
+#: Fixed value: what a refused caller is told to wait, in seconds.
+RETRY_AFTER = 5
+
+
+def admitted(requests: DataFrame, active: int, most: int) -> DataFrame:
+    """requests (request_id, at, ..) -> with status 202 for as many as the queue has room for, in order of arrival, else 503 with
+    retry_after. Only those that are let in are ordered, most of them at most."""
+    room = max(0, most - active)
+    if not room:
+        return requests.withColumn("status", F.lit(503)).withColumn("retry_after", F.lit(RETRY_AFTER))
+    first = requests.orderBy("at", "request_id").limit(room).select(F.col("request_id").alias("a_id"), F.lit(True).alias("let_in"))
+    rows = requests.join(F.broadcast(first), F.col("request_id") == F.col("a_id"), "left").drop("a_id")
+    return rows.withColumn("status", F.when(F.col("let_in"), 202).otherwise(503)).withColumn("retry_after", F.when(F.col("let_in").isNull(), RETRY_AFTER)).drop("let_in")
+
+
+def outcomes(outputs: DataFrame) -> DataFrame:
+    """outputs (job_id, key) of finished jobs -> (job_id, status, files, error): a file for each output, by its suffix; a job with an
+    output of an unknown kind has failed, with the first such kind."""
+    suffix = F.element_at(F.create_map(*(F.lit(x) for kv in {"alto": ".xml", "txt": ".txt"}.items() for x in kv)), F.col("key"))
+    g = outputs.groupBy("job_id").agg(F.array_sort(F.collect_set(suffix)).alias("found"), F.min(F.when(suffix.isNull(), F.coalesce("key", F.lit("")))).alias("odd"))
+    ok = F.col("odd").isNull()
+    files = F.transform("found", lambda x: F.concat(F.col("job_id").cast("string"), x))
+    return g.select("job_id", F.when(ok, "done").otherwise("failed").alias("status"), F.when(ok, files).otherwise(F.expr("CAST(array() AS array<string>)")).alias("files"), F.concat(F.lit("unknown output: "), "odd").alias("error"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: What can be asked for, and suffixes by format.
@@ -20,6 +20,15 @@ def upload_status(length: Column, most: int) -> Column:
     return F.when(length > most, 413).otherwise(202)
 
 
+def chunks_read(chunks: DataFrame, most: int) -> DataFrame:
+    """chunks (upload_id, seq, length) in the order they come -> (upload_id, n_read, bytes_read, status): reading ends with the chunk
+    that takes an upload over the limit, whatever length was declared; then 413."""
+    upto = F.sum("length").over(Window.partitionBy("upload_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
+    read = chunks.withColumn("upto", upto).where(F.col("upto") - F.col("length") <= most)
+    g = read.groupBy("upload_id").agg(F.count("*").alias("n_read"), F.max("upto").alias("bytes_read"))
+    return g.select("upload_id", "n_read", "bytes_read", upload_status(F.col("bytes_read"), most).alias("status"))
+
+
 def pixel_status(height: Column, width: Column, most: int) -> Column:
     """422 for images that can't be decoded or have too many pixels."""
     return F.when((height <= 0) | (width <= 0) | (height.cast("long") * width > most), 422).otherwise(202)

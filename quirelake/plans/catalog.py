@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirelake.functions import strip, text_features, word_box
+from quirelake.functions import strip, strip_suffix, text_features, word_box
 from quirelake.operators import adaptive, alto, blocks, crops, ctc, jobs, lines, maps, requests
 from quirelake.plans import views as V
 
@@ -607,6 +607,112 @@ def suffix_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", "path", requests.is_image(F.col("path")).alias("is_image"), requests.result_name(F.col("path"), F.col("fmt")).alias("result"))
 
 
+@query(V.V_UPLOAD, "v_active AS (SELECT count(*) FILTER (WHERE status IN ('queued', 'running')) AS n FROM (SELECT job_id, arg_max(status, ts) AS status FROM v_job GROUP BY ALL))", sql="")
+def job_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = jobs.latest(V.v_job(spark, sf_dir))
+    active = jobs.capacity(table, 0).first().n_active
+    asked = V.v_upload(spark, sf_dir).select(F.col("page_id").alias("request_id"), (F.col("page_id") * 7919 % 1009).alias("at"))
+    return jobs.admitted(asked, active, active + 40)
+
+
+SQL["job_admission"] = V.with_views(V.V_UPLOAD, then="""
+SELECT request_id, at_, status, CASE WHEN status = 503 THEN 5 END AS retry_after FROM (
+    SELECT page_id AS request_id, page_id * 7919 % 1009 AS at_, CASE WHEN row_number() OVER (ORDER BY page_id * 7919 % 1009, page_id) <= 40 THEN 202 ELSE 503 END AS status FROM v_upload
+)""").replace("at_, status,", 'at_ AS "at", status,', 1)
+
+
+@query(sql="""
+SELECT user_id AS upload_id, count(*) AS n_read, max(upto)::BIGINT AS bytes_read, CASE WHEN max(upto) > 150000 THEN 413 ELSE 202 END AS status
+FROM (SELECT user_id, (event_id * 37) % 5000 AS length, sum((event_id * 37) % 5000) OVER (PARTITION BY user_id ORDER BY event_id) AS upto FROM events)
+WHERE upto - length <= 150000 GROUP BY ALL""")
+def upload_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = V.table(spark, sf_dir, "events").select(F.col("user_id").alias("upload_id"), F.col("event_id").alias("seq"), ((F.col("event_id") * 37) % 5000).alias("length"))
+    return requests.chunks_read(chunks, 150_000)
+
+
+@query(sql="""
+SELECT c_custkey, n_name AS caller, CASE WHEN n_name IS NULL THEN 401 ELSE 202 END AS status
+FROM customer LEFT JOIN nation ON 'key' || (c_custkey % 40) = 'key' || n_nationkey""")
+def key_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = V.table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), F.concat(F.lit("key"), F.col("n_nationkey")).alias("key"))
+    asked = V.table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("key"), F.col("c_custkey") % 40).alias("key"))
+    return requests.authorised(asked, keys).select("c_custkey", "caller", "status")
+
+
+@query(V.V_UPLOAD, sql="SELECT page_id, name AS stem FROM v_upload WHERE name IS NOT NULL")
+def suffix_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ends = F.get(F.array(*map(F.lit, (".alto.xml", ".xml", ".txt", ""))), (F.col("page_id") % 4).cast("int"))
+    return V.v_upload(spark, sf_dir).where("name IS NOT NULL").select("page_id", strip_suffix(F.concat("name", ends)).alias("stem"))
+
+
+@query(V.V_JOB, """
+v_made AS (
+    SELECT job_id, 'alto' AS key FROM v_job WHERE status = 'done' UNION SELECT job_id, 'txt' FROM v_job WHERE status = 'running'
+    UNION SELECT job_id, 'pdf' FROM v_job WHERE status = 'failed' AND job_id % 3 = 0 UNION SELECT job_id, 'doc' FROM v_job WHERE status = 'failed' AND job_id % 6 = 0
+)""", sql="""
+SELECT job_id, CASE WHEN odd IS NULL THEN 'done' ELSE 'failed' END AS status, CASE WHEN odd IS NULL THEN files ELSE '' END AS files, 'unknown output: ' || odd AS error FROM (
+    SELECT job_id, min(key) FILTER (WHERE key NOT IN ('alto', 'txt')) AS odd, coalesce(string_agg(job_id || CASE key WHEN 'alto' THEN '.xml' ELSE '.txt' END, ' ' ORDER BY key = 'alto') FILTER (WHERE key IN ('alto', 'txt')), '') AS files FROM v_made GROUP BY ALL
+)""")
+def job_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.expr("CASE WHEN status = 'done' THEN array('alto') WHEN status = 'running' THEN array('txt') WHEN status = 'failed' AND job_id % 6 = 0 THEN array('pdf', 'doc') WHEN status = 'failed' AND job_id % 3 = 0 THEN array('pdf') END")
+    made = V.v_job(spark, sf_dir).select("job_id", F.explode(kind).alias("key")).distinct()
+    return jobs.outcomes(made).withColumn("files", F.array_join("files", " "))
+
+
+@query(sql="SELECT event_id, ts FROM events WHERE event_id % 3 <> 2 AND ts < TIMESTAMP '2024-01-02 12:00:00' - INTERVAL 24 HOURS")
+def orphan_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ends = F.get(F.array(*map(F.lit, (".xml", ".txt", ".png"))), (F.col("event_id") % 3).cast("int"))
+    files = V.table(spark, sf_dir, "events").select("event_id", "ts", F.concat(F.lit("results/"), "event_id", ends).alias("path"), F.col("ts").alias("modificationTime"))
+    return jobs.orphans(files, F.to_timestamp(F.lit("2024-01-02 12:00:00"))).select("event_id", "ts")
+
+
+@query(V.V_LINE, _KEPT, sql=rf"""
+SELECT d.page_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_lines, 1)::BIGINT AS n_lines FROM (SELECT DISTINCT page_id FROM v_line) d LEFT JOIN (
+    SELECT page_id, sum(len(list_filter(string_split({_STRIP}, ' '), lambda w: w <> ''))) AS n_words, count(*) + count(DISTINCT region_idx) - 1 AS n_lines FROM v_kept GROUP BY ALL
+) USING (page_id)""")
+def written_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = V.v_line(spark, sf_dir).withColumn("role", F.lit(None).cast("string"))
+    made = alto.to_alto(alto.with_shared_words(rows)).join(blocks.page_text(rows), "page_id")
+    words, lines_ = requests.written_counts(F.col("alto"), F.col("page_text"))
+    return made.select("page_id", words.cast("long").alias("n_words"), lines_.cast("long").alias("n_lines"))
+
+
+@query(V.V_UPLOAD, sql="""
+SELECT page_id, stem || '.txt' AS result, count(*) OVER (PARTITION BY stem) AS n_same FROM (SELECT page_id, regexp_replace(regexp_extract(name || '.png', '([^/]*)$', 1), '(.)\\.[^.]*$', '\\1') AS stem FROM v_upload)""")
+def result_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = V.v_upload(spark, sf_dir).select("page_id", requests.result_name(F.concat("name", F.lit(".png")), F.lit("txt")).alias("result"))
+    return requests.colliding(names).select("page_id", "result", "n_same")
+
+
+@query(sql="""
+SELECT (SELECT string_agg(n, ' ' ORDER BY n) FROM m WHERE contains(n, 'rec-') AND ends_with(n, '.onnx')) AS recognizers, (SELECT string_agg(n, ' ' ORDER BY n) FROM m WHERE contains(n, 'dec-') AND ends_with(n, '.onnx')) AS detectors
+""".replace("SELECT (SELECT", "WITH m AS (SELECT ['rec-', 'dec-', 'x-'][(n_nationkey % 3 + 1)::INT] || lower(n_name) || ['.onnx', '.json'][(n_nationkey % 2 + 1)::INT] AS n FROM nation) SELECT (SELECT", 1))
+def model_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pick = lambda values: F.get(F.array(*map(F.lit, values)), (F.col("n_nationkey") % len(values)).cast("int"))
+    names = V.table(spark, sf_dir, "nation").select(F.concat(pick(("rec-", "dec-", "x-")), F.lower("n_name"), pick((".onnx", ".json"))).alias("name"))
+    made = requests.pages_of_models(names)
+    return made.select(*(F.array_join(c, " ").alias(c) for c in ("recognizers", "detectors")))
+
+
+# a separator at every 50th pixel of every 100th row of pages with an even number
+_SEPS = """
+v_gap AS (
+    SELECT c.page_id, c.a_seq, c.b_seq, floor(least(l, r))::INT AS gx0, floor(greatest(l, r) + 1)::INT AS gx1, (floor(mid) - floor(half))::INT AS gy0, (floor(mid) + floor(half) + 1)::INT AS gy1
+    FROM (
+        SELECT v_cand.*, CASE WHEN a.x0 <= b.x0 THEN a.x1 ELSE b.x1 END AS l, greatest(a.x0, b.x0) AS r, 0.5::DOUBLE * (a.cy + b.cy) AS mid, 0.25::DOUBLE * (greatest(1.0, a."asc" + a."desc") + greatest(1.0, b."asc" + b."desc")) AS half
+        FROM v_cand JOIN v_box a ON a.page_id = v_cand.page_id AND a.seq = a_seq JOIN v_box b ON b.page_id = v_cand.page_id AND b.seq = b_seq
+    ) c
+)"""
+
+
+@query(V.V_BOX, _MERGE, _SEPS, sql="""
+SELECT page_id, a_seq, b_seq FROM v_gap WHERE NOT (page_id % 2 = 0 AND EXISTS (SELECT 1 FROM range(0, 1400, 100) y(y), range(0, 1200, 50) x(x) WHERE x >= gx0 AND x < gx1 AND y >= gy0 AND y < gy1))""")
+def merge_barred(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = V.v_box(spark, sf_dir)
+    seps = pages_of(rows).where("page_id % 2 = 0").select("page_id", F.explode(F.sequence(F.lit(0), F.lit(1399), F.lit(100))).alias("y")).select("page_id", "y", F.explode(F.sequence(F.lit(0), F.lit(1199), F.lit(50))).alias("x"), F.lit(0.9).alias("sep"))
+    return lines.merge_candidates(rows, seps)
+
+
 _LATEST = "v_latest AS (SELECT job_id, arg_max(status, ts) AS status, min(ts) AS created_at, max(ts) AS updated_at, count(*) AS n_events FROM v_job GROUP BY ALL)"
 
 

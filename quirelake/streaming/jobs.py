@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from quirelake.operators.jobs import admitted
+
 TABLE = "job_id long, status string, n_events long, created_at timestamp, updated_at timestamp, expired boolean"
 
 
@@ -48,6 +50,16 @@ def landing(spark: SparkSession, folder: str, files_a_batch: int = 16) -> DataFr
     return spark.readStream.format("binaryFile").schema(schema).option("maxFilesPerTrigger", files_a_batch).load(folder)
 
 
+def admit(requests: DataFrame, path: str, checkpoint: str, most: int, active: Callable[[SparkSession], int]):
+    """The stream of requests (request_id, at, ..) with the status of each under path. Batches come one after the other, so two
+    can't take the same place; active tells how many jobs hold one when a batch begins."""
+
+    def put(batch: DataFrame, number: int) -> None:
+        admitted(batch, active(batch.sparkSession), most).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return requests.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def write_results(results: DataFrame, path: str, checkpoint: str, process: Callable[[DataFrame], DataFrame] | None = None):
     """Each batch goes, processed, to a folder of its own number, overwritten when the batch is run again: once each."""
 

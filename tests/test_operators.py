@@ -173,6 +173,26 @@ def test_images_models_and_settings(spark, tmp_path):
     assert (got.adaptive, got.max_queue) == (False, 5)
 
 
+def test_uploads_land_and_requests_are_let_in_batch_by_batch(spark, tmp_path):
+    from quirelake.streaming import jobs as stream
+
+    (tmp_path / "in").mkdir()
+    for k in range(5):
+        (tmp_path / "in" / f"f{k}.png").write_bytes(bytes([k]) * (k + 1))
+    landed = stream.landing(spark, str(tmp_path / "in"), files_a_batch=2)
+    sizes = lambda b: b.select(F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), "length")
+    stream.write_results(landed, str(tmp_path / "out"), str(tmp_path / "c1"), sizes).awaitTermination(120)
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted((r.name, r.length) for r in got.collect()) == [(f"f{k}.png", k + 1) for k in range(5)] and got.select("batch").distinct().count() == 3
+
+    spark.createDataFrame([(i, i % 7) for i in range(20)], "request_id long, at long").coalesce(1).write.parquet(str(tmp_path / "asked"))
+    asked = spark.readStream.schema("request_id long, at long").parquet(str(tmp_path / "asked"))
+    stream.admit(asked, str(tmp_path / "let"), str(tmp_path / "c2"), 16, lambda s: 11).awaitTermination(120)
+    rows = spark.read.parquet(str(tmp_path / "let")).collect()
+    assert {r.request_id for r in rows if r.status == 202} == {0, 7, 14, 1, 8} and {r.retry_after for r in rows if r.status == 503} == {5} and len(rows) == 20
+    assert {r.status for r in jobs.admitted(spark.createDataFrame([(1, 1)], "request_id long, at long"), 16, 16).collect()} == {503}
+
+
 def test_pages_are_read_from_pixels_to_text(spark, tmp_path):
     from quirelake.plans.pages import process
     from quirelake.sources.images import png
