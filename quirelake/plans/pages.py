@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -183,6 +185,26 @@ def process(pages: DataFrame, port: LayoutPort, model: ModelPort, vocab: DataFra
     return out.select(F.col("name").alias("page_id"), "origin", "status", "ds", F.bround("conf", 4).alias("mean_conf"), got(F.coalesce("n_lines", F.lit(0))).alias("n_lines"), got(F.coalesce("page_text", F.lit("\n"))).alias("text"), "alto")
 
 
+class Networks(NamedTuple):
+    """What a domain's pages are read with."""
+
+    layout: LayoutPort
+    model: ModelPort
+    vocab: DataFrame
+    roles: RolePort | None = None
+
+
+def process_domains(pages: DataFrame, networks: dict[str, Networks], **settings) -> DataFrame:
+    """process() of read_pages() with a column domain, each page by its domain's networks; no domain and an empty one are "default".
+    Pages of other domains have status 400 and no text. There are as many runs as domains."""
+    domain = F.when(F.coalesce("domain", F.lit("")) == "", "default").otherwise(F.col("domain"))
+    named = pages.withColumn("domain", domain)
+    parts = [process(named.where(F.col("domain") == d).drop("domain"), n.layout, n.model, n.vocab, roles=n.roles, **settings).withColumn("domain", F.lit(d)) for d, n in networks.items()]
+    none = lambda c, t: F.lit(None).cast(t).alias(c)
+    refused = named.where(~F.col("domain").isin(*networks)).select("page_id", "origin", F.lit(400).alias("status"), none("ds", "int"), none("mean_conf", "double"), none("n_lines", "long"), none("text", "string"), none("alto", "string"), "domain")
+    return _union([*parts, refused])
+
+
 def _union(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:

@@ -333,6 +333,20 @@ def test_spreads_are_two_pages(spark, tmp_path):
     assert all(y < foot - 15 and foot - 6 < y + h < foot + 25 for (_, y, h), foot in zip(places, (120, 200, 280, 140, 220)))
 
 
+def test_domains_have_networks_of_their_own(spark, tmp_path):
+    from quirelake.plans.pages import Networks, process_domains
+    from quirelake.sources.models import StubLayout
+
+    for k in range(4):
+        (tmp_path / f"p{k}.png").write_bytes(bars((400, 600), [(120, 60, 420)]))
+    vocab = lambda first: spark.createDataFrame([(i, chr(first + i)) for i in range(1, 16)], "idx int, ch string")
+    nets = {"default": Networks(StubLayout(), StubModel(16), vocab(96)), "kramarky": Networks(StubLayout(), StubModel(16), vocab(64))}
+    asked = F.get(F.array(F.lit(None), F.lit("default"), F.lit("kramarky"), F.lit("other")), F.substring("page_id", 2, 1).cast("int"))
+    got = {r.page_id: r for r in process_domains(read_pages(spark, str(tmp_path)).withColumn("domain", asked), nets, adaptive_levels=False).collect()}
+    assert [got[f"p{k}"].status for k in range(4)] == [202, 202, 202, 400] and got["p3"].text is None
+    assert got["p0"].text == got["p1"].text == got["p2"].text.lower() != got["p2"].text
+
+
 def test_resizing_by_area_keeps_means(spark):
     rng = np.random.default_rng(3)
     a = rng.integers(0, 256, (60, 90), dtype=np.uint8)
