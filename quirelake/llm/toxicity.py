@@ -117,13 +117,13 @@ def _count(batches):
 
 
 def _first_of_copies(batches):
-    """(m_id, text, toxic, mark): the least hashes of a text's runs of three words under two orders. Copies share both, near copies
+    """(m_id, toxic, mark): the least hashes of a text's runs of three words under two orders. Copies share both, near copies
     mostly; texts that only have a passage in common seldom do."""
     for batch in batches:
         texts, marks = as_bytes(batch.column("text")), []
         for first, last in chunks(texts, 1 << 19):
             marks += [int(mix64(x[:1] ^ mix64(x ^ SECOND).min())[0].view(np.int64)) if len(x) else None for x in shingle_sets(texts[first:last], 3)]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("m_id", "text", "toxic")), pa.array(marks, pa.int64())], ["m_id", "text", "toxic", "mark"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("m_id", "toxic")), pa.array(marks, pa.int64())], ["m_id", "toxic", "mark"])
 
 
 def fit_words(words: DataFrame, prior: float = 0.05, least_z: float = 2.2, least_odds: float = 1.5, most_words: int = 50_000, drift: float = 0.5) -> Model:
@@ -262,10 +262,10 @@ def fit(docs: DataFrame, labels: DataFrame, fold: int = 2, folds: int = 4, most_
         marks = staged(marks.where(F.pmod(F.xxhash64("m_id"), F.lit(1 << 20)) < int(0.98 * most_rows / n * (1 << 20))), "labels")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     seen = texts.join(F.broadcast(marks), F.col("doc_id") == F.col("m_id")).select("m_id", "text", "toxic")
-    seen = staged(seen.mapInArrow(_first_of_copies, long_schema("m_id long, text string, toxic int, mark long")), "seen")
-    teachers = staged(seen.groupBy("mark", "toxic").agg(F.min("m_id").alias("t_id")).select("t_id").distinct(), "teachers")
-    half = F.pmod(F.xxhash64("m_id", F.lit("half")), F.lit(2)).cast("int").alias("half")
-    labelled = staged(seen.join(F.broadcast(teachers), F.col("m_id") == F.col("t_id"), "left_semi").select("text", "toxic", half), "taught")
+    seen = seen.mapInArrow(_first_of_copies, long_schema("m_id long, toxic int, mark long"))
+    teachers = seen.groupBy("mark", "toxic").agg(F.min("m_id").alias("t_id")).groupBy("t_id").agg(F.max("toxic").alias("toxic"))
+    teachers = staged(teachers.withColumn("half", F.pmod(F.xxhash64("t_id", F.lit("half")), F.lit(2)).cast("int")), "teachers")
+    labelled = staged(texts.join(F.broadcast(teachers), F.col("doc_id") == F.col("t_id")).select("text", "toxic", "half"), "taught")
     counted = labelled.mapInArrow(_count, long_schema(", ".join(["word string", *(f"{c} long" for c in COUNTS)])))
     words = staged(counted.groupBy("word").agg(*(F.sum(c).alias(c) for c in COUNTS)), "words")
     model = fit_words(words.select("word", (F.col("clean_0") + F.col("clean_1")).alias("y0"), (F.col("toxic_0") + F.col("toxic_1")).alias("y1")))

@@ -732,6 +732,96 @@ def test_recall_of_noisy_cuts_that_begin_between_frames(spark):
     assert len({m for m in got if m[1] % 20 == 1} - want) <= 4
 
 
+def chance_bound(m, chance, sigmas, most=0.2):
+    return min(most, chance[0] - sigmas * chance[1] / m**0.5)
+
+
+def test_groups_of_recordings_are_those_of_brute_force(spark):
+    """The registered vectors, and near copies of some: every offset of every pair by bit errors alone, then components."""
+    import pyarrow.parquet as pq
+
+    rng = np.random.default_rng(11)
+    x = np.array(pq.read_table(f"{SF}/embeddings.parquet").column("embedding").to_pylist())[:150]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    for k, n in ((3, 1), (40, 1), (77, 12), (120, 3)):
+        for _ in range(n):
+            rows.append((len(rows), (x[k] + rng.normal(0, 0.012, 64)).tolist()))
+    rows += [(len(rows), x[5].tolist()), (len(rows) + 1, x[5][:50].tolist()), (len(rows) + 2, x[9][::-1].tolist()), (None, x[5].tolist()), (9000, None), (9001, []), (9002, [None] * 64)]
+    media = queries.recordings(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = chroma.group(media, chance=queries.CHORD_CHANCE, sigmas=7.0).collect()
+    assert len(got) == len(rows)
+    by = {r.id: r for r in got if r.id is not None}
+    prints = {r.id: chroma.prints(chroma.chroma(np.frombuffer(bytes(r.audio), "<i2"), r.rate)) for r in media.where("id IS NOT NULL").collect()}
+    parent = {i: i for i in prints}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    found = 0
+    for a, b in itertools.combinations(sorted(i for i, p in prints.items() if len(p)), 2):
+        p, q = prints[a], prints[b]
+        for off in range(-len(p) + 1, len(q)):
+            u, v = p[max(0, -off) :], q[max(0, off) :]
+            m = min(len(u), len(v))
+            bound = chance_bound(m, queries.CHORD_CHANCE, 7.0)
+            if bound >= 0 and np.bitwise_count(u[:m] ^ v[:m]).sum() <= bound * 32 * m:
+                found += 1
+                parent[max(root(a), root(b))] = min(root(a), root(b))
+                break
+    want = {i: root(i) for i in prints}
+    sizes = {g: sum(1 for j in want.values() if j == g) for g in want.values()}
+    assert found >= 17 + 60 and len(set(want.values())) < len(want) - 15
+    right = sum(by[i].group_id == g for i, g in want.items())
+    assert right >= 0.99 * len(want)
+    # no group holds two of brute force, and nine tenths of its pairs are found
+    assert all(want[r.group_id] == want[r.id] for r in by.values())
+    pairs = [(a, b) for a, b in itertools.combinations(sorted(want), 2) if want[a] == want[b]]
+    assert sum(by[a].group_id == by[b].group_id for a, b in pairs) >= 0.9 * len(pairs)
+    for r in by.values():
+        assert r.n_prints == len(prints[r.id]) and (r.match_id is None) == (r.offset is None)
+        if r.match_id is not None:
+            p, q = prints[r.id], prints[r.match_id]
+            u, v = p[max(0, -r.offset) :], q[max(0, r.offset) :]
+            m = min(len(u), len(v))
+            assert r.match_id < r.id and abs(np.bitwise_count(u[:m] ^ v[:m]).sum() / (32 * m) - r.bit_error) < 1e-12
+    assert sizes[want[77]] >= 13 and [r.group_id for r in got if r.id is None] == [None]
+    assert by[9000].n_prints == by[9001].n_prints == 0 and by[9000].group_id == 9000
+
+
+def test_groups_of_hard_recordings(spark):
+    clashes = {c: F.lit(1) for c in ("cls", "name", "q", "r", "prints", "key", "at", "copies", "comp", "group_id", "m")}
+    rng = np.random.default_rng(2)
+    t = np.arange(1024) / 8000
+    song = (np.concatenate([np.sin(2 * np.pi * 440 * 2 ** (k / 12) * t) for k in rng.integers(-12, 12, 60)]) * 9000).astype("<i2")
+    rows = [(7, bytearray(song.tobytes()), 8000), (7, bytearray(song.tobytes()), 8000), (7, bytearray(song[1024 * 8 :].tobytes()), 8000), (9, bytearray(song[1024 * 4 :].tobytes()), 8000), (None, bytearray(song.tobytes()), 8000), (11, None, 8000), (12, bytearray(), None), (13, bytearray(400_000), 8000), (14, bytearray(400_000), 8000), (15, bytearray(300_000), 8000), (16, bytearray(b"abc"), 0)]
+    media = spark.createDataFrame(rows, "id long, audio binary, rate int").withColumns(clashes)
+    got = chroma.group(media).collect()
+    assert sorted(str(r.id) for r in got) == sorted(str(r[0]) for r in rows)
+    at = {r.id: r for r in got}
+    assert at[9].group_id == 7 and at[9].match_id == 7 and at[9].group_size >= 3 and at[9].offset in (8, 0, -8)
+    assert (at[14].group_id, at[14].match_id, at[14].bit_error, at[14].group_size) == (13, 13, 0.0, 3) and at[15].group_id == 13 and at[11].group_id == 11
+    assert chroma.group(media.limit(0)).count() == 0
+
+
+def test_rest_of_a_key_loses_no_link(spark, monkeypatch):
+    """Where the smallest sound of a key is like none of the others, the others are still linked."""
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 1 << 32, 80, dtype=np.uint64)
+    other = rng.integers(0, 1 << 32, 80, dtype=np.uint64)
+    other[30], other[46] = base[30], base[46]
+    near = [base.copy() for _ in range(3)]
+    for k, p in enumerate(near):
+        p[[i for i in range(80) if i not in (30, 46)]] ^= np.uint64(1 << k)
+    sounds = {1: other, **{2 + k: p for k, p in enumerate(near)}}
+    rows = [(i, hashlib.md5(p.tobytes()).digest(), [int(v) for v in p]) for i, p in sounds.items()]
+    made = spark.createDataFrame([(i, bytearray(c), p, []) for i, c, p in rows], "id long, cls binary, prints array<long>, weak array<long>")
+    monkeypatch.setattr(chroma, "fingerprints", lambda *a: made)
+    got = {r.id: r.group_id for r in chroma.group(made).collect()}
+    assert got == {1: 1, 2: 2, 3: 2, 4: 2}
+
+
 def test_pipeline_keeps_clean_documents_once(spark):
     import corpus_pipeline
 
