@@ -70,8 +70,8 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, id_col: str = "d
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("src"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), u.alias("u"), own.alias("own"))
     weight = F.greatest(F.coalesce(F.col("own").cast("double"), F.lit(0.0)), F.lit(0.0)) if isinstance(odds, str) else odds(F.col("size")) if odds else F.lit(1)
     rows = staged(rows.withColumn("weight", weight).drop("own"), "sizes")
-    totals = staged(rows.groupBy("src").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"), F.sum(F.col("size") * F.col("weight")).alias("mass")), "totals")
-    plan = source_targets(totals.select("src", "source_size"), share, most).join(totals.select(F.col("src").alias("s2"), "n", "mass"), F.col("src").eqNullSafe(F.col("s2"))).drop("s2")
+    totals = staged(rows.groupBy("src").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"), F.sum(F.col("size") * F.col("weight")).alias("mass"), F.coalesce(F.min(F.when(F.col("size") > 0, F.col("size"))), F.lit(1)).alias("smallest")), "totals")
+    plan = source_targets(totals.select("src", "source_size"), share, most).join(totals.select(F.col("src").alias("s2"), "n", "mass", "smallest"), F.col("src").eqNullSafe(F.col("s2"))).drop("s2")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     plan = plan.withColumn("whole", F.floor(ratio)).withColumn("left", F.col("target") - F.col("whole") * F.col("source_size")).withColumnRenamed("src", "s2")
     plan = staged(plan, "targets")
@@ -79,22 +79,21 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, id_col: str = "d
     same = F.col("src").eqNullSafe(F.col("s2"))
     p = F.least(F.lit(0.999), F.when(F.col("mass") > 0, F.col("left") * F.col("weight") / F.col("mass")).otherwise(0.0))
     q = F.when((p > 0) & (F.col("size") > 0), (F.col("u") / (1 - F.col("u"))) / (p / (1 - p)))
-    ranked = rows.join(sized(plan), same).withColumn("x", q / (1 + q)).drop("s2", "u", "weight", "mass", "n", "left")
+    ranked = rows.join(sized(plan), same).withColumn("x", q / (1 + q)).drop("s2", "u", "weight", "mass", "n", "left", "smallest")
     ranked = staged(ranked, "ranked")
 
-    first, missed = _decided(ranked, plan.where("left >= 1").select("s2", F.col("left").alias("room"), "n"), bucket_rows)
-    poor = staged(plan.join(missed.withColumnRenamed("s2", "m2"), F.col("s2").eqNullSafe(F.col("m2"))).where(F.col("room") > near * F.col("target")).select("s2", "room", "left", "n"), "missed")
+    first, missed = _decided(ranked, plan.select("s2", F.col("left").alias("room"), "n", "smallest"), plan, bucket_rows)
+    poor = staged(plan.join(missed.withColumnRenamed("s2", "m2"), F.col("s2").eqNullSafe(F.col("m2"))).where((F.col("left") >= 1) & (F.col("room") > near * F.col("target"))).select("s2", "room", "left", "n", "smallest"), "missed")
     if not poor.isEmpty():
         first = staged(first, "first-order")
         over = first.where("x IS NOT NULL AND NOT more").join(sized(poor), same).where("size <= left")
-        again = staged(over.groupBy("s2", "room", "left", "n").agg(F.min(F.struct("x", "doc_id", "size")).alias("lead")), "passed-over")
+        again = staged(over.groupBy("s2", "room", "left", "n", "smallest").agg(F.min(F.struct("x", "doc_id", "size")).alias("lead")), "passed-over")
         if not again.isEmpty():
             is_lead = F.struct("x", "doc_id", "size").eqNullSafe(F.col("lead"))
             led = ranked.join(sized(again.select("s2", "lead")), same)
-            second, missed = _decided(led.where(~is_lead).drop("s2", "lead"), again.select("s2", (F.col("left") - F.col("lead.size")).alias("room"), "n"), bucket_rows)
-            nearer = again.join(missed.select(F.col("s2").alias("m2"), F.col("room").alias("left_over")), F.col("s2").eqNullSafe(F.col("m2")), "left")
-            # a source whose room the lead has filled to the word has no second order to fill
-            nearer = sized(staged(nearer.where(F.coalesce("left_over", F.col("left") - F.col("lead.size")) < F.col("room")).select("s2"), "nearer"))
+            second, missed = _decided(led.where(~is_lead).drop("s2", "lead"), again.select("s2", (F.col("left") - F.col("lead.size")).alias("room"), "n", "smallest"), plan, bucket_rows)
+            nearer = again.join(missed.select(F.col("s2").alias("m2"), F.col("room").alias("left_over")), F.col("s2").eqNullSafe(F.col("m2")))
+            nearer = sized(staged(nearer.where("left_over < room").select("s2"), "nearer"))
             leads = led.where(is_lead).groupBy(*[c for c in ranked.columns]).agg(F.count("*").alias("c")).withColumn("take", F.lit(1).cast("long"))
             better = second.unionByName(_each(leads))
             first = first.join(nearer, same, "left_anti").unionByName(better.join(nearer, same, "left_semi"))
@@ -103,30 +102,31 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, id_col: str = "d
     return out.select("doc_id", F.col("src").alias("source"), "size", "source_size", "target", F.col("copies").cast("long").alias("copies"), (F.col("copies") * F.col("size")).cast("long").alias("taken"), F.col("x").alias("rank_odds"))
 
 
-def _decided(ranked: DataFrame, rooms: DataFrame, bucket_rows: int) -> tuple[DataFrame, DataFrame]:
+def _decided(ranked: DataFrame, rooms: DataFrame, plan: DataFrame, bucket_rows: int) -> tuple[DataFrame, DataFrame]:
     """ranked (src, x, doc_id, size, ..) with more, whether the row is taken when the rows of each source are filled into its room in
-    the order of x; and the room left (s2, room) of the sources in rooms (s2, room, n)."""
+    the order of x; and the room left (s2, room) of the sources in rooms (s2, room, n, smallest), smallest their smallest size."""
     # where each source stands: ranks over `after` and from lo to hi are being decided, room is the words left
-    lines = staged(rooms.select("s2", "room", F.lit(-1.0).alias("after"), F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi"), "n"), "standing")
-    spans, folds, ends = [], [], []
+    wide = F.col("room") >= F.col("smallest")
+    lines = staged(rooms.where(wide).select("s2", "room", F.lit(-1.0).alias("after"), F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi"), "n", "smallest"), "standing")
+    spans, folds, ends = [], [], [rooms.where(~wide).select("s2", "room")]
     while not lines.isEmpty():
         edges = staged(_edges(ranked, lines, bucket_rows), "edges")
         spans.append(edges.select("s2", F.struct("after", "lo", F.when(F.col("found"), F.col("f_lo")).otherwise(F.col("hi")).alias("until"), (~F.col("found")).alias("closed"), F.col("room").alias("most")).alias("span")))
         filled = staged(_filled(ranked, edges.where("found AND NOT refine")), "filled")
         folds.append(filled)
-        on = edges.where("refine").select("s2", F.col("room_left").alias("room"), "after", F.col("f_lo").alias("lo"), F.col("f_hi").alias("hi"), F.col("n_b").alias("n"))
-        past = edges.where("NOT found AND hi < 1").select("s2", F.col("room_left").alias("room"), F.col("hi").alias("after"), F.col("hi").alias("lo"), F.lit(1.0).alias("hi"), "n")
+        on = edges.where("refine").select("s2", F.col("room_left").alias("room"), "after", F.col("f_lo").alias("lo"), F.col("f_hi").alias("hi"), F.col("n_b").alias("n"), "smallest")
+        past = edges.where("NOT found AND hi < 1").select("s2", F.col("room_left").alias("room"), F.col("hi").alias("after"), F.col("hi").alias("lo"), F.lit(1.0).alias("hi"), "n", "smallest")
         # where none of the ranks to be filled fits any more, the room stays as it is
         full = edges.where("found AND NOT refine").join(filled.select(F.col("s2").alias("e2"), "end"), F.col("s2").eqNullSafe(F.col("e2")), "left")
-        after_fill = full.select("s2", F.coalesce("end", "room_left").alias("room"), F.col("f_hi").alias("after"), F.col("f_hi").alias("lo"), F.lit(1.0).alias("hi"), "n")
+        after_fill = full.select("s2", F.coalesce("end", "room_left").alias("room"), F.col("f_hi").alias("after"), F.col("f_hi").alias("lo"), F.lit(1.0).alias("hi"), "n", "smallest")
         # sources without a candidate have no edge: they go on after the ranks in question, or end with the room that they had
         idle = lines.join(edges.select(F.col("s2").alias("e2")), F.col("s2").eqNullSafe(F.col("e2")), "left_anti")
-        passed = idle.where("hi < 1").select("s2", "room", F.col("hi").alias("after"), F.col("hi").alias("lo"), F.lit(1.0).alias("hi"), "n")
+        passed = idle.where("hi < 1").select("s2", "room", F.col("hi").alias("after"), F.col("hi").alias("lo"), F.lit(1.0).alias("hi"), "n", "smallest")
         going = on.unionByName(past).unionByName(after_fill).unionByName(passed)
-        ends.append(idle.where("hi >= 1").select("s2", "room").unionByName(edges.where("NOT found AND hi >= 1").select("s2", F.col("room_left").alias("room"))).unionByName(going.where("room < 1").select("s2", "room")))
-        lines = staged(going.where("room >= 1"), "standing")
+        ends.append(idle.where("hi >= 1").select("s2", "room").unionByName(edges.where("NOT found AND hi >= 1").select("s2", F.col("room_left").alias("room"))).unionByName(going.where(~wide).select("s2", "room")))
+        lines = staged(going.where(wide), "standing")
     if not spans:
-        return ranked.withColumn("more", F.lit(False)), rooms.select("s2", "room")
+        return ranked.withColumn("more", F.lit(False)), _union(ends)
 
     same = F.col("src").eqNullSafe(F.col("s2"))
     taken = sized(staged(_union(spans).groupBy("s2").agg(F.collect_list("span").alias("spans")), "spans"))
@@ -138,7 +138,7 @@ def _decided(ranked: DataFrame, rooms: DataFrame, bucket_rows: int) -> tuple[Dat
     filled_in = F.exists("folds", lambda f: (x >= f["f_lo"]) & (x <= f["f_hi"]) & (size <= f["f_most"]))
     out = out.where(~F.coalesce(filled_in, F.lit(False))).withColumn("more", F.coalesce(inside, F.lit(False))).drop("spans", "folds")
     items = _union([f.select(F.col("s2").alias("src"), F.explode("items").alias("i")) for f in folds]).select("src", "i.*")
-    about = sized(staged(ranked.groupBy(F.col("src").alias("s2")).agg(*(F.first(c).alias(c) for c in ranked.columns if c not in ("src", "x", "doc_id", "size"))), "about"))
+    about = sized(plan.select("s2", *(c for c in ranked.columns if c not in ("src", "x", "doc_id", "size"))))
     return out.unionByName(_each(items.join(about, same).drop("s2"))), _union(ends)
 
 
@@ -155,7 +155,7 @@ def _edges(ranked: DataFrame, lines: DataFrame, bucket_rows: int) -> DataFrame:
     rows; room_left what is left before it."""
     span = F.greatest(F.col("hi") - F.col("lo"), F.lit(1e-300))
     bins = F.least(F.lit(BINS), F.greatest(F.lit(1), F.ceil(F.col("n") / bucket_rows)))
-    state = ["s2", "room", "after", "lo", "hi", "n"]
+    state = ["s2", "room", "after", "lo", "hi", "n", "smallest"]
     mine = ranked.select("src", "size", "x").join(sized(lines), F.col("src").eqNullSafe(F.col("s2")) & (F.col("x") > F.col("after")) & F.col("x").between(F.col("lo"), F.col("hi")) & (F.col("size") <= F.col("room")))
     sums = mine.groupBy(*state, F.floor((F.col("x") - F.col("lo")) / span * bins).alias("bin")).agg(F.sum("size").alias("words"), F.count("*").alias("rows"), F.min("x").alias("least"), F.max("x").alias("largest"))
     by, upto = Window.partitionBy("s2"), Window.partitionBy("s2").orderBy("bin")
