@@ -97,13 +97,25 @@ def with_words(lines: DataFrame, words: DataFrame) -> DataFrame:
     return lines.join(nested, ["page_id", "line_idx"], "left")
 
 
+#: Words of a line whose places are summed at once: what a fold has summed is copied with each step, so long lines go by parts.
+PART = 256
+
+
+def _sums(sizes: Column) -> Column:
+    """0 and the sums of the sizes up to each."""
+    return F.aggregate(sizes, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+
+
 def with_shared_words(lines: DataFrame) -> DataFrame:
     """lines with words, each over its share of the line's width by characters; made within the row."""
     rows = lines.withColumn("found", F.filter(F.split(strip(F.coalesce("text", F.lit(""))), " "), lambda w: w != ""))
-    size = lambda w: F.length(w) + 1
-    # the characters up to each word: a fold that keeps what it has summed
-    sums = F.aggregate("found", F.array(F.lit(0)), lambda acc, w: F.concat(acc, F.array(F.element_at(acc, -1) + size(w))))
-    rows = rows.withColumn("upto", sums).withColumn("unit", F.col("width") / F.greatest(F.lit(1), F.element_at("upto", -1) - 1))
+    sizes = F.transform("found", lambda w: F.length(w) + 1)
+    last = F.floor((F.greatest(F.size("found"), F.lit(1)) - 1) / PART).cast("int")
+    rows = rows.withColumn("sizes", sizes).withColumn("parts", F.transform(F.sequence(F.lit(0), last), lambda k: F.slice("sizes", k * PART + 1, F.lit(PART))))
+    rows = rows.withColumn("ahead", _sums(F.transform("parts", lambda p: F.aggregate(p, F.lit(0), lambda s, n: s + n))))
+    # the characters up to each word
+    upto = F.flatten(F.transform("parts", lambda p, k: F.transform(F.slice(_sums(p), F.lit(1), F.size(p)), lambda n: n + F.get("ahead", k))))
+    rows = rows.withColumn("upto", upto).withColumn("unit", F.col("width") / F.greatest(F.lit(1), F.element_at("ahead", -1) - 1))
     unit = F.col("unit")
     word = lambda w, i: F.struct(w.alias("word"), (F.col("hpos") + F.floor(F.get("upto", i) * unit)).cast("int").alias("x"), F.col("vpos").cast("int").alias("y"), F.ceil(F.length(w) * unit).cast("int").alias("w"), F.col("height").cast("int").alias("h"))
-    return rows.withColumn("words", F.transform("found", word)).drop("found", "upto", "unit")
+    return rows.withColumn("words", F.transform("found", word)).drop("found", "sizes", "parts", "ahead", "upto", "unit")

@@ -142,6 +142,19 @@ def test_alto_is_xml_and_holds_the_text(spark):
     assert not [e for e in got[2].iter() if e.tag.endswith("TextBlock")]
 
 
+def test_words_share_a_long_line(spark):
+    rng = random.Random(4)
+    texts = ["", "one", " ".join("x" * rng.randint(1, 9) for _ in range(1000)), " ".join(["ab"] * 256), " ".join(["ab"] * 257)]
+    rows = [(1, i, t, 7, 5, 3000 + i, 20) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "page_id long, line_idx int, text string, hpos int, vpos int, width int, height int")
+    for r in alto.with_shared_words(df).collect():
+        at, unit = 0, r.width / max(1, len(r.text))
+        assert len(r.words) == len(r.text.split())
+        for w, word in zip(r.words, r.text.split()):
+            assert (w.word, w.x, w.y, w.w, w.h) == (word, 7 + math.floor(at * unit), 5, math.ceil(len(word) * unit), 20)
+            at += len(word) + 1
+
+
 def test_requests_and_results(spark):
     keys = spark.createDataFrame([("ann", "k1")], "name string, key string")
     asked = spark.createDataFrame([("k1",), ("k2",), (None,)], "key string")
