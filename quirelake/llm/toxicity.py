@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -26,6 +27,31 @@ def features(word: str) -> list[str]:
     return [word, *(word[:n] + "*" for n in STEMS if len(word) >= n)]
 
 
+class Known(dict):
+    """token -> the log-odds of its most significant feature, or None; found once for each token, and forgotten when there are too
+    many."""
+
+    def __init__(self, weights: dict[str, tuple[float, float]]):
+        super().__init__()
+        self.weights = weights
+        self.stems = [(n, {f[:-1]: w for f, w in weights.items() if len(f) == n + 1 and f[-1] == "*"}) for n in STEMS]
+
+    def __missing__(self, token: str) -> float | None:
+        if len(self) > CACHE:
+            self.clear()
+        best = self.weights.get(token)
+        for n, stems in self.stems:
+            # a token of under n characters is no stem of that length
+            w = stems.get(token[:n])
+            if w is not None and (best is None or abs(w[1]) > abs(best[1])):
+                best = w
+        out = self[token] = None if best is None else best[0]
+        return out
+
+    def __reduce__(self):
+        return Known, (self.weights,)
+
+
 @dataclass
 class Model:
     """weights: log-odds and z of the words and stems that stand out; drift: what every other token costs; decay and scale: lambda
@@ -37,18 +63,10 @@ class Model:
     scale: float = 0.1
     slope: float = 1.0
     shift: float = 0.0
-    cache: dict[str, float | None] = field(default_factory=dict)
+    known: Known = field(init=False, repr=False)
 
-    def weight(self, token: str) -> float | None:
-        """The log-odds of the token's most significant feature, or None."""
-        try:
-            return self.cache[token]
-        except KeyError:
-            if len(self.cache) > CACHE:
-                self.cache.clear()
-            known = [w for f in features(token) if (w := self.weights.get(f))]
-            out = self.cache[token] = max(known, key=lambda w: abs(w[1]))[0] if known else None
-            return out
+    def __post_init__(self):
+        self.known = Known(self.weights)
 
 
 def segments(scores: list[float]) -> list[tuple[int, int, float]]:
@@ -74,7 +92,7 @@ def segments(scores: list[float]) -> list[tuple[int, int, float]]:
     return [(a, b, right - left) for left, right, a, b, _ in held]
 
 
-def sparse_segments(places: list[int], weights: list[float], drift: float) -> list[tuple[int, int, float]]:
+def sparse_segments(places: Sequence[int], weights: Sequence[float], drift: float) -> list[tuple[int, int, float]]:
     """As segments(), where all tokens but those at places score -drift; the gaps between are summed up."""
     scores: list[float] = []
     at: list[int] = []
@@ -162,15 +180,8 @@ def fit_words(words: DataFrame, prior: float = 0.05, least_z: float = 2.2, least
 
 def scored(model: Model, words: list[str]) -> list[tuple[int, int, float]]:
     """The maximal segments of a text."""
-    known, places, weights = model.cache, [], []
-    for i, t in enumerate(words):
-        try:
-            w = known[t]
-        except KeyError:
-            w = model.weight(t)
-        if w is not None:
-            places.append(i)
-            weights.append(w)
+    found = [(i, w) for i, w in enumerate(map(model.known.__getitem__, words)) if w is not None]
+    places, weights = zip(*found) if found else ((), ())
     return sparse_segments(places, weights, model.drift)
 
 
