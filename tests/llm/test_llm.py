@@ -311,6 +311,15 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (7, 7), (200, 150)]
     got = dict(components(spark.createDataFrame(edges, "a long, b long")).collect())
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 150: 150, 200: 150}
+    rng = random.Random(3)
+    for n, m in ((0, 5), (30, 40), (60, 60), (25, 40)):
+        edges = [(rng.randrange(m), rng.randrange(m)) for _ in range(n)]
+        least = {x: x for e in edges for x in e}
+        for _ in range(m):
+            for a, b in edges:
+                least[a] = least[b] = min(least[a], least[b])
+        linked = {x for a, b in edges if a != b for x in (a, b)}
+        assert dict(components(spark.createDataFrame(edges, "a long, b long")).collect()) == {x: c for x, c in least.items() if x in linked}
 
 
 @given(st.text(alphabet="aB9@.+-_% ()1é\n", max_size=60))
