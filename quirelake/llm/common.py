@@ -67,8 +67,8 @@ def numbered(df: DataFrame, *order: Column) -> DataFrame:
     return rows.join(F.broadcast(ahead), F.col("part") == F.col("n_part")).withColumn("no", F.col("n_ahead") + F.col("at")).drop("n_part", "n_ahead")
 
 
-def small_batches(spark: SparkSession, rows: int = 2000, mb: int = 8) -> None:
-    """Bound the Arrow batches, as one row may hold a very long text."""
+def small_batches(spark: SparkSession, rows: int = 1000, mb: int = 2) -> None:
+    """Bound the Arrow batches, as one row may hold a very long text, and as the JVM keeps the buffers of the largest one."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
 
