@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import long_schema, sized, small_batches, staged
-from .components import components
+from .components import components, grown
 
 WINDOW, HOP = 1024, 512
 #: Filters (kind, first pitch class, pitch classes, frames): the classic rectangle pairs over a sliding image of 12 classes.
@@ -209,7 +209,7 @@ def group(media: DataFrame, apart: int = SPAN, least_votes: int = 1, most_error:
     late = check(rest.join(other, "key").where("comp != r_comp AND r < q").select("q", "q_at", "r", "r_at"), "late-links")
     if not late.isEmpty():
         links = links.unionByName(late)
-        comps = components(links.select(F.col("q").alias("a"), F.col("r").alias("b")))
+        comps = grown(comps, late.select(F.col("q").alias("a"), F.col("r").alias("b")))
 
     best = links.groupBy("q").agg(F.min(F.struct("r", "offset", "votes", "bit_error")).alias("m"))
     named = sounds.select("cls", F.col("name").alias("q"), "copies").join(comps.withColumnRenamed("node", "q"), "q", "left").withColumn("group_id", F.coalesce("comp", "q")).join(best, "q", "left")

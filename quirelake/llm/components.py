@@ -44,3 +44,8 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
         raise RuntimeError("components did not settle")
     leaves = now.select(F.col("u").alias("node"), F.col("v").alias("comp"))
     return leaves.union(leaves.select(F.col("comp").alias("node"), "comp").distinct())
+
+
+def grown(comps: DataFrame, edges: DataFrame) -> DataFrame:
+    """components() of what comps (node, comp) connects already and of edges (a, b) besides: stars settle sooner than their links."""
+    return components(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(edges.select("a", "b")))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_bytes, chunks, long_schema, mix64, shingle_sets, sized, small_batches, splitmix, staged
-from .components import components
+from .components import components, grown
 
 HASHES, ROWS, BITS = 80, 4, 4
 LANES = 64 // BITS
@@ -376,8 +376,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, id_
     # the most similar pairs that weren't confirmed aren't tried again
     more = confirmed(staged(others.distinct().join(firsts, ["a", "b"], "left_anti"), "others"), "others")
     if not more.isEmpty():
-        links = links.union(more)
-        comps = components(links)
+        comps = grown(comps, more)
 
     wide = staged(members_apart(met.where(F.col("size") > SMALL), comps).join(classes.select("node", "n"), "node"), "apart")
     if not wide.isEmpty():
@@ -391,7 +390,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, id_
         meet = grouped(_dealt(some, BLOCK_SHINGLES).join(full, "node").select(*payload, "set"))
         late = staged(meet.mapInArrow(_links_of_apart(limit, threshold), pair_schema), "late-links")
         if not late.isEmpty():
-            comps = components(links.union(late))
+            comps = grown(comps, late)
     named = class_of.join(comps, "node", "left").select("cls", F.coalesce("comp", "node").alias("comp"))
     out = signed.select("doc_id", "n_shingles", "cls").join(named, "cls", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id"))
