@@ -13,13 +13,15 @@ WORD = "struct<word:string,x:int,y:int,w:int,h:int>"
 
 
 def escaped(t: Column) -> Column:
+    # most words hold nothing to escape, which one look tells
+    plain = t
     # XML can't hold other control characters; attribute values keep tabs and breaks as references
     t = F.regexp_replace(t, r"[\x00-\x08\x0B\x0C\x0E-\x1F]", "")
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
         t = F.replace(t, F.lit(a), F.lit(b))
     for a, b in (("\t", "&#9;"), ("\n", "&#10;"), ("\r", "&#13;")):
         t = F.replace(t, F.lit(a), F.lit(b))
-    return t
+    return F.when(plain.rlike('[\\x00-\\x1F&<>"]'), t).otherwise(plain)
 
 
 def _attrs(**values: Column | str) -> Column:
