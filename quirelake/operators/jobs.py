@@ -65,7 +65,7 @@ def admitted(requests: DataFrame, active: int, most: int) -> DataFrame:
         return requests.withColumn("status", F.lit(503)).withColumn("retry_after", F.lit(RETRY_AFTER))
     first = requests.orderBy("at", "request_id").limit(room).select(F.col("request_id").alias("a_id"), F.lit(True).alias("let_in"))
     rows = requests.join(F.broadcast(first), F.col("request_id") == F.col("a_id"), "left").drop("a_id")
-    return rows.withColumn("status", F.when(F.col("let_in"), 202).otherwise(503)).withColumn("retry_after", F.when(F.col("let_in").isNull(), RETRY_AFTER)).drop("let_in")
+    return rows.withColumn("status", F.when(F.col("let_in"), 202).otherwise(503)).withColumn("retry_after", F.when(F.col("let_in").isNull(), RETRY_AFTER).otherwise(0)).drop("let_in")
 
 
 def outcomes(outputs: DataFrame) -> DataFrame:

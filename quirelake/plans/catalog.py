@@ -616,7 +616,7 @@ def job_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["job_admission"] = V.with_views(V.V_UPLOAD, then="""
-SELECT request_id, at_, status, CASE WHEN status = 503 THEN 5 END AS retry_after FROM (
+SELECT request_id, at_, status, CASE WHEN status = 503 THEN 5 ELSE 0 END AS retry_after FROM (
     SELECT page_id AS request_id, page_id * 7919 % 1009 AS at_, CASE WHEN row_number() OVER (ORDER BY page_id * 7919 % 1009, page_id) <= 40 THEN 202 ELSE 503 END AS status FROM v_upload
 )""").replace("at_, status,", 'at_ AS "at", status,', 1)
 
