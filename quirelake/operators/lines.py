@@ -55,31 +55,43 @@ def calibrate_pitch(lines: DataFrame) -> DataFrame:
     return rows.withColumn("scale", scale).withColumn("asc", F.col("asc") * F.col("scale")).withColumn("desc", F.col("desc") * F.col("scale")).drop("n", "pitch")
 
 
-def by_page(rows: DataFrame, names: list[str], fn: Callable[[dict[str, np.ndarray]], dict[str, np.ndarray]], schema: str) -> DataFrame:
+def by_page(rows: DataFrame, names: list[str], fn: Callable[[dict[str, np.ndarray]], dict[str, np.ndarray]], schema: str, marks: DataFrame | None = None) -> DataFrame:
     """fn of each page's columns, as arrays in no set order, to columns of its results; schema names these, without page_id.
 
-    Pages are gathered by one shuffle and come in Arrow batches, many pages in each, so a small page costs its lines only.
+    Pages are gathered by one shuffle and come in Arrow batches, many pages in each, so a small page costs its lines only. Marks
+    (page_id and further columns) come to the same call with all their rows. They are gathered, not joined: a join may broadcast them
+    whole, as rows made by explode count for nothing in Spark's estimates.
     """
-    pages = rows.groupBy("page_id").agg(F.collect_list(F.struct(*names)).alias("rows"))
+    lists = {"rows": names}
+    given = rows.select("page_id", F.struct(*names).alias("rows"))
+    if marks is not None:
+        lists["marks"] = [c for c in marks.columns if c != "page_id"]
+        given = given.unionByName(marks.select("page_id", F.struct(*lists["marks"]).alias("marks")), allowMissingColumns=True)
+    pages = given.groupBy("page_id").agg(*(F.collect_list(c).alias(c) for c in lists))
     fields = [f.split() for f in schema.split(", ")]
     types = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64()}
 
     def run(batches):
         for batch in batches:
-            lists = batch.column("rows")
-            flat = lists.flatten()
-            cols = {n: flat.field(k).to_numpy(zero_copy_only=False) for k, n in enumerate(names)}
-            ends = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-            made = [fn({n: c[a:b] for n, c in cols.items()}) for a, b in zip(ends, ends[1:])]
+            cols: list[dict] = [{} for _ in range(batch.num_rows)]
+            for name, held in lists.items():
+                flat, ends = batch.column(name).flatten(), batch.column(name).offsets.to_numpy()
+                ends = ends - ends[0]
+                for k, n in enumerate(held):
+                    values = flat.field(k).to_numpy(zero_copy_only=False)
+                    for page, a, b in zip(cols, ends, ends[1:]):
+                        page[n] = values[a:b]
+            made = [fn(page) for page in cols]
             sizes = [len(m[fields[0][0]]) for m in made]
             page = batch.column("page_id").take(pa.array(np.repeat(np.arange(len(made)), sizes)))
             out = [pa.array(np.concatenate([m[n] for m in made]) if made else [], types[t]) for n, t in fields]
             yield pa.RecordBatch.from_arrays([page, *out], ["page_id", *(n for n, _ in fields)])
 
-    return pages.mapInArrow(run, f"page_id {dict(rows.dtypes)['page_id']}, {schema}")
+    return pages.mapInArrow(run, f"page_id {dict(pages.dtypes)['page_id']}, {schema}")
 
 
 LINE = ["seq", "x0", "x1", "cy", "asc", "desc"]
+PAIRS_AT_ONCE = 1 << 18
 
 
 def _joining(p: dict[str, np.ndarray], skip_later: bool = True) -> dict[str, np.ndarray]:
@@ -88,21 +100,32 @@ def _joining(p: dict[str, np.ndarray], skip_later: bool = True) -> dict[str, np.
     seq, x0, x1, cy = (p[c][order] for c in ("seq", "x0", "x1", "cy"))
     h = np.maximum(1.0, p["asc"] + p["desc"])[order]
     # what joins is within the tallest height, so partners behind that aren't looked at
-    ends = np.searchsorted(cy, cy + h.max(initial=0.0), side="right")
+    n = np.searchsorted(cy, cy + h.max(initial=0.0), side="right") - np.arange(1, len(cy) + 1)
     out: list[tuple] = []
-    for i, end in enumerate(ends):
-        b = slice(i + 1, end)
+    # lines come in blocks, so that the pairs at hand are bounded on crowded pages too
+    for rows in np.split(np.arange(len(n)), np.flatnonzero(np.diff(np.cumsum(n) // PAIRS_AT_ONCE)) + 1):
+        first = np.cumsum(n[rows]) - n[rows]
+        i = np.repeat(rows, n[rows])
+        b = i + 1 + np.arange(len(i)) - np.repeat(first, n[rows])
         d, mean = cy[b] - cy[i], 0.5 * (h[i] + h[b])
-        stop = np.flatnonzero(d > np.maximum(h[i], h[b]))
         left, right = np.where(x0[i] <= x0[b], x1[i], x1[b]), np.maximum(x0[i], x0[b])
         gap = right - left
         fits = (d <= 0.6 * mean) & (gap >= -0.5 * mean) & (gap <= GAP * mean)
-        if skip_later and len(stop):
-            fits[stop[0] :] = False
-        for k in np.flatnonzero(fits):
-            mid, half = np.floor(0.5 * (cy[i] + cy[i + 1 + k])), np.floor(0.5 * mean[k])
-            out.append((seq[i], seq[i + 1 + k], np.floor(min(left[k], right[k])), np.floor(max(left[k], right[k]) + 1), mid - half, mid + half + 1))
-    return {n: np.array([o[k] for o in out]) for k, n in enumerate(("a_seq", "b_seq", "gx0", "gx1", "gy0", "gy1"))}
+        if skip_later:
+            over = np.append(0, np.cumsum(d > np.maximum(h[i], h[b])))
+            fits &= over[1:] == np.repeat(over[first], n[rows])
+        i, b, mean, left, right = (c[fits] for c in (i, b, mean, left, right))
+        mid, half = np.floor(0.5 * (cy[i] + cy[b])), np.floor(0.5 * mean)
+        out.append((seq[i], seq[b], np.floor(np.minimum(left, right)), np.floor(np.maximum(left, right) + 1), mid - half, mid + half + 1))
+    return {n: np.concatenate([o[k] for o in out]) for k, n in enumerate(("a_seq", "b_seq", "gx0", "gx1", "gy0", "gy1"))}
+
+
+def _barred(found: dict[str, np.ndarray], y: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Whether the gap's box of each pair that _joining found holds one of the page's cells (y, x)."""
+    order = np.argsort(y, kind="stable")
+    y, x = y[order], x[order]
+    a, b = np.searchsorted(y, found["gy0"]), np.searchsorted(y, found["gy1"])
+    return np.array([((x[i:j] >= x0) & (x[i:j] < x1)).any() for i, j, x0, x1 in zip(a, b, found["gx0"], found["gx1"])], bool)
 
 
 def _named(seqs: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -128,12 +151,16 @@ def merge_candidates(lines: DataFrame, seps: DataFrame | None = None, skip_later
     the first line below it by more than the taller of both: with skip_later lines behind that one aren't joined, whatever
     their heights.
     """
-    pairs = by_page(lines, LINE, lambda p: _joining(p, skip_later), "a_seq int, b_seq int, gx0 long, gx1 long, gy0 long, gy1 long")
-    if seps is not None:
-        inside = F.col("page_id").eqNullSafe(F.col("s_page")) & (F.col("x") >= F.col("gx0")) & (F.col("x") < F.col("gx1")) & (F.col("y") >= F.col("gy0")) & (F.col("y") < F.col("gy1"))
-        barred = pairs.join(seps.where(F.col("sep") > SEP_GATE).select(F.col("page_id").alias("s_page"), "y", "x"), inside, "left_semi").select("page_id", "a_seq", "b_seq")
-        pairs = pairs.join(barred, ["page_id", "a_seq", "b_seq"], "left_anti")
-    return pairs.select("page_id", "a_seq", "b_seq")
+
+    def free(p):
+        found = _joining(p, skip_later)
+        ok = ~_barred(found, p["y"], p["x"])
+        return {n: found[n][ok] for n in ("a_seq", "b_seq")}
+
+    schema = "a_seq int, b_seq int"
+    if seps is None:
+        return by_page(lines, LINE, lambda p: _joining(p, skip_later), schema)
+    return by_page(lines, LINE, free, schema, seps.where(F.col("sep") > SEP_GATE).select("page_id", "y", "x"))
 
 
 def region_candidates(lines: DataFrame) -> DataFrame:

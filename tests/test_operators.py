@@ -120,6 +120,47 @@ def test_merge_stops_at_the_first_line_out_of_reach(spark):
     assert (1, 3) not in {(r.a_seq, r.b_seq) for r in lines.merge_candidates(df, seps, skip_later=False).collect()}
 
 
+def test_separators_of_many_cells_are_not_broadcast(spark):
+    # 400 cells for each of 300 pages and for the unnamed one; they bar the pairs of even pages and of the unnamed page
+    pages = spark.range(300).selectExpr("id AS page_id").union(spark.sql("SELECT CAST(NULL AS BIGINT)"))
+    line = "page_id long, seq int, x0 double, x1 double, cy double, asc double, desc double"
+    two = [(n, s, x, x + 50.0, 100.0, 7.0, 3.0) for n in [*range(300), None] for s, x in ((1, 0.0), (2, 55.0))]
+    cells = pages.where("page_id % 2 = 0 OR page_id IS NULL").selectExpr("page_id", "explode(sequence(90, 109)) AS y").selectExpr("page_id", "y", "explode(sequence(40, 59)) AS x", "0.9D AS sep")
+    faint = pages.where("page_id % 2 = 1").selectExpr("page_id", "100 AS y", "52 AS x", "0.2D AS sep")
+    beside = pages.where("page_id % 2 = 1").selectExpr("page_id", "100 AS y", "explode(array(49, 56)) AS x", "0.9D AS sep")
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "1m")
+    try:
+        got = lines.merge_candidates(spark.createDataFrame(two, line), cells.union(faint).union(beside))
+        assert got.columns == ["page_id", "a_seq", "b_seq"]
+        assert sorted(map(tuple, got.collect())) == [(n, 1, 2) for n in range(1, 300, 2)]
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+
+
+@pytest.mark.parametrize("at_once", [1, 40, 1 << 18])
+def test_joining_by_blocks_is_the_scan_by_lines(monkeypatch, at_once):
+    monkeypatch.setattr(lines, "PAIRS_AT_ONCE", at_once)
+    rng = np.random.default_rng(5)
+    for n in [0, 1, 2, *[40] * 30]:
+        x0, h = rng.integers(0, 300, n).astype(float), rng.integers(8, 15, n) * rng.choice([1.0, 8.0], n, p=[0.9, 0.1])
+        p = {"seq": np.arange(n), "x0": x0, "x1": x0 + rng.integers(20, 90, n), "cy": rng.integers(0, 200, n).astype(float), "asc": h, "desc": np.full(n, 3.0)}
+        y, x = rng.integers(0, 200, 60), rng.integers(0, 400, 60)
+        want = {}
+        order = sorted(range(n), key=lambda i: (p["cy"][i], x0[i], i))
+        for k, i in enumerate(order):
+            for j in order[k + 1 :]:
+                hi, hj = h[i] + 3, h[j] + 3
+                d, mean = p["cy"][j] - p["cy"][i], 0.5 * (hi + hj)
+                if d > max(hi, hj):
+                    break
+                left, right = p["x1"][i if x0[i] <= x0[j] else j], max(x0[i], x0[j])
+                if d <= 0.6 * mean and -0.5 * mean <= right - left <= 1.5 * mean:
+                    mid, half = np.floor(0.5 * (p["cy"][i] + p["cy"][j])), np.floor(0.5 * mean)
+                    want[i, j] = any(min(left, right) <= b < max(left, right) + 1 and mid - half <= a < mid + half + 1 for a, b in zip(y, x))
+        found = lines._joining(p)
+        assert dict(zip(zip(found["a_seq"], found["b_seq"]), lines._barred(found, y, x))) == want
+
+
 def test_separators_and_hulls():
     sep = np.zeros((40, 60))
     up, low = [(0, 10), (50, 10)], [(0, 30), (50, 30)]
