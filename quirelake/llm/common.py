@@ -73,6 +73,12 @@ def small_batches(spark: SparkSession, rows: int = 1000, mb: int = 2) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
 
 
+def short_reads(spark: SparkSession, rows: int = 128) -> None:
+    """Bound the rows that Parquet columns are read by: the texts of a batch are one array, which doubles as it grows, and of 4096
+    rows it is so large that the JVM's heap grows with it."""
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(rows))
+
+
 def chunks(texts: list[bytes], limit: int = 1 << 20):
     """Runs (first, last) of consecutive texts of about limit bytes together; one long text is a run of its own."""
     first, size = 0, 0

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, chunks, long_schema, mix64, shingle_sets, small_batches, staged
+from .common import as_bytes, chunks, long_schema, mix64, shingle_sets, short_reads, small_batches, staged
 
 TOKEN = re.compile(r"[^\W_]+")
 #: A task sends its counts on when it holds so many features; and forgets the weights of so many tokens.
@@ -267,6 +267,7 @@ def fit(docs: DataFrame, labels: DataFrame, fold: int = 2, folds: int = 4, most_
     """
     spark = docs.sparkSession
     small_batches(spark)
+    short_reads(spark)
     marks = labels.select(F.col(id_col).cast("long").alias("m_id"), F.col(label_col).cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & F.col("m_id").isNotNull())
     marks = staged(marks.where(~in_fold("m_id", fold, folds)).groupBy("m_id").agg(F.max("toxic").alias("toxic")), "labels")
     if (n := marks.count()) > most_rows:
@@ -307,6 +308,7 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = 0.3, fold:
     score is 0. Rows that repeat are each scored; an empty table gives an empty result.
     """
     small_batches(docs.sparkSession)
+    short_reads(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), in_fold(id_col, fold, folds).alias("held_out"), F.col(text_col).alias("text"))
 
@@ -326,6 +328,7 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = 0.3, fold:
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
     """The rows, with all their columns, whose text scores under threshold; nothing is shuffled."""
     small_batches(docs.sparkSession)
+    short_reads(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index(text_col)
 

@@ -580,6 +580,24 @@ def test_toxicity_on_held_out_rows(spark):
     assert hit.sum() / (got.toxic == 1).sum() > 0.8 and hit.sum() / (got.predicted == 1).sum() > 0.85
 
 
+def test_toxicity_reads_texts_in_short_batches(spark, tmp_path):
+    """4096 texts at a time are one array of the JVM, which doubles until it holds them."""
+
+    def nodes(plan):
+        yield plan
+        for i in range(plan.children().size()):
+            yield from nodes(plan.children().apply(i))
+
+    spark.range(2000).selectExpr("id AS doc_id", "concat('words of row ', id) AS text").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    docs, model = spark.read.parquet(f"{tmp_path}/documents.parquet"), toxicity.Model({"row": (1.0, 3.0)}, shift=-10.0)
+    for made in (toxicity.score_documents, toxicity.drop_toxic):
+        spark.conf.unset("spark.sql.parquet.columnarReaderBatchSize")
+        run = made(docs, model)._jdf.queryExecution()
+        assert run.toRdd().count() == 2000
+        batches = [p.metrics().apply("numInputBatches").value() for p in nodes(run.executedPlan()) if p.metrics().contains("numInputBatches")]
+        assert len(batches) == 1 and batches[0] >= 2000 / 128
+
+
 MESSAGE = "conv_id long, turn long, text string"
 
 
